@@ -93,8 +93,8 @@ def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     steps = paths.select("tree", "leaf", "branch", "score", F.posexplode("path").alias("at", "node")).alias("s")
     turns = steps.join(nodes.alias("n"), F.col("s.tree").eqNullSafe(F.col("n.tree")) & (F.col("s.node") == F.col("n.node")))
     role = F.replace(F.replace(F.col("n.role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    head = F.concat(F.lit(START), F.regexp_replace(role, r"<(\\*)\|", r"<$1\\\\|"), F.lit("\n"))
-    body = F.regexp_replace("n.text", r"<(\\*)\|", r"<$1\\\\|")
+    head = F.concat(F.lit(START), F.regexp_replace(role, r"<(\\*)\|", r"<$1\\|"), F.lit("\n"))
+    body = F.regexp_replace("n.text", r"<(\\*)\|", r"<$1\\|")
     gathered = turns.groupBy("s.tree", "s.leaf", "s.branch", "s.score").agg(
         F.array_sort(F.collect_list(F.struct(F.col("s.at"), head.alias("head"), body.alias("body"), (F.col("n.role") == "assistant").alias("learn")))).alias("turns")
     )
