@@ -1,8 +1,8 @@
 """Chat formatting over reply trees.
 
 `message_tree` turns (conversation, turn) rows into nodes with a parent, `root_paths` joins the
-nodes with themselves, doubling the length of the known path each round, until every leaf has its
-path from the root; `rank_branches` orders the leaves of a tree by score; `format_paths` writes each
+nodes with themselves, doubling the length of the known paths each round, until every leaf has its
+path to the root; `rank_branches` orders the leaves of a tree by score; `format_paths` writes each
 chosen path as one conversation with its loss mask; `parse_formatted` reads one back.
 
 Template: `<|im_start|>role\\n` text `<|im_end|>\\n` for each turn. Inside a text every `<`, any
@@ -49,59 +49,61 @@ def message_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def root_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path, score) for each leaf: node ids from the root, and the mean score along them.
+    """(tree, leaf, node, up): for each leaf the nodes on its path to the root, up steps above it.
 
-    Each round joins every node's known path with the path of the node above it, so a path of n
-    nodes takes log2(n) rounds. Rows whose parent is missing count as roots. A cycle has no root and
-    no leaf, and so gives no path.
+    Round k joins the paths known so far with a table of jumps over 2**k nodes, and that table with
+    itself, so a path of n nodes takes log2(n) rounds, no more rows are made than the paths have
+    steps, and short trees leave the work early. Nodes whose parent is missing count as roots.
+    A cycle has no leaf, and so gives no path.
     """
-    up = nodes.select("tree", F.col("parent").alias("node")).where(F.col("node").isNotNull()).distinct()
-    known = nodes.select("tree", "node")
-    same = lambda a, b: a["tree"].eqNullSafe(b["tree"]) & (a["node"] == b["node"])
-    n, k, p = nodes.alias("n"), known.alias("k"), up.alias("p")
-    state = (
-        n.join(k, F.col("n.tree").eqNullSafe(F.col("k.tree")) & (F.col("n.parent") == F.col("k.node")), "left")
-        .join(p, F.col("n.tree").eqNullSafe(F.col("p.tree")) & (F.col("n.node") == F.col("p.node")), "left")
-        .select("n.tree", "n.node", F.col("k.node").alias("above"), F.array("n.node").alias("path"), F.col("n.score").alias("total"), F.col("p.node").isNull().alias("is_leaf"))
-    )
-    state = stored(state, "paths")
-    while not state.where(F.col("above").isNotNull() & F.col("is_leaf")).isEmpty():
-        a, b = state.alias("a"), state.select("tree", "node", "above", "path", "total").alias("b")
-        state = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.above") == F.col("b.node")), "left").select(
-            "a.tree",
-            "a.node",
-            F.col("b.above").alias("above"),
-            F.when(F.col("b.node").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path"),
-            (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total"),
-            "a.is_leaf",
-        )
-        state = stored(state, "paths")
-    return state.where("is_leaf").select("tree", F.col("node").alias("leaf"), "path", (F.col("total") / F.size("path")).alias("score"))
-
-
-def rank_branches(paths: DataFrame, keep: int | None = None) -> DataFrame:
-    """Adds branch: 1 for the best-scoring leaf of each tree, ties to the smaller leaf id; keep bounds it."""
-    ranked = paths.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    jump = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
+    jump = stored(jump.alias("j").join(nodes.alias("n"), _same("j", "n", "to", "node"), "left_semi"), "jumps")
+    steps = nodes.alias("n").join(jump.alias("j"), _same("n", "j", "node", "to"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    parts, reach = [stored(steps, "steps")], 1
+    while not jump.isEmpty():
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.unionByName(part)
+        more = known.alias("s").join(jump.alias("j"), _same("s", "j", "node", "node")).select("s.tree", "s.leaf", F.col("j.to").alias("node"), (F.col("s.up") + reach).alias("up"))
+        parts.append(stored(more, "steps"))
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = stored(a.join(b, _same("a", "b", "to", "node")).select("a.tree", "a.node", "b.to"), "jumps")
+        reach *= 2
+    known = parts[0]
+    for part in parts[1:]:
+        known = known.unionByName(part)
+    return known
+
+
+def _same(a: str, b: str, left: str, right: str) -> Column:
+    """The same tree, which may be null, and node `left` of a is node `right` of b."""
+    return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{left}") == F.col(f"{b}.{right}"))
+
+
+def rank_branches(paths: DataFrame, nodes: DataFrame, keep: int | None = None) -> DataFrame:
+    """(tree, leaf, score, branch) for each leaf: the mean score along its path; branch 1 is the best
+    of a tree, ties to the smaller leaf id. keep bounds branch."""
+    scored = paths.alias("p").join(nodes.alias("n"), _same("p", "n", "node", "node")).groupBy("p.tree", "p.leaf").agg(F.avg("n.score").alias("score"))
+    ranked = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     return ranked if keep is None else ranked.where(F.col("branch") <= keep)
 
 
-def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, branch, score, formatted, loss_spans): one conversation per path.
+def format_paths(paths: DataFrame, nodes: DataFrame, branches: DataFrame) -> DataFrame:
+    """(tree, leaf, branch, score, formatted, loss_spans): one conversation per chosen branch.
 
     loss_spans are [start, end) positions, in code points of `formatted`, of the assistants' texts.
     """
-    steps = paths.select("tree", "leaf", "branch", "score", F.posexplode("path").alias("at", "node")).alias("s")
-    turns = steps.join(nodes.alias("n"), F.col("s.tree").eqNullSafe(F.col("n.tree")) & (F.col("s.node") == F.col("n.node")))
+    turns = paths.alias("p").join(nodes.alias("n"), _same("p", "n", "node", "node"))
     role = F.replace(F.replace(F.col("n.role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     head = F.concat(F.lit(START), F.regexp_replace(role, r"<(\\*)\|", r"<$1\\|"), F.lit("\n"))
     body = F.regexp_replace("n.text", r"<(\\*)\|", r"<$1\\|")
-    gathered = turns.groupBy("s.tree", "s.leaf", "s.branch", "s.score").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("s.at"), head.alias("head"), body.alias("body"), (F.col("n.role") == "assistant").alias("learn")))).alias("turns")
-    )
-    return gathered.select(
-        "tree", "leaf", "branch", "score",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "").alias("formatted"),
-        _spans("turns").alias("loss_spans"),
+    turn = F.struct((-F.col("p.up")).alias("at"), head.alias("head"), body.alias("body"), (F.col("n.role") == "assistant").alias("learn"))
+    gathered = turns.groupBy("p.tree", "p.leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chosen = gathered.alias("g").join(branches.alias("b"), _same("g", "b", "leaf", "leaf"))
+    return chosen.select(
+        "g.tree", "g.leaf", "b.branch", "b.score",
+        F.array_join(F.transform("g.turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "").alias("formatted"),
+        _spans("g.turns").alias("loss_spans"),
     )
 
 
@@ -153,4 +155,5 @@ def read_back(formatted: Column, spans: Column) -> Column:
 def format_conversations(rows: DataFrame, keep: int | None = None) -> DataFrame:
     """Rows of conversations to (tree, leaf, branch, score, formatted, loss_spans)."""
     nodes = stored(message_tree(rows), "nodes")
-    return format_paths(rank_branches(root_paths(nodes), keep), nodes)
+    paths = root_paths(nodes)
+    return format_paths(paths, nodes, rank_branches(paths, nodes, keep))

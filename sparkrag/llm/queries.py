@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrag.llm import byte_cnn, chat, media, packing, toxicity, voronoi
+from sparkrag.llm import byte_cnn, chat, media, minhash, packing, toxicity, voronoi
 from sparkrag.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_media_columns": op7_media_columns,
+    "op8_minhash": op8_minhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
