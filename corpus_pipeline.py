@@ -1,26 +1,61 @@
-"""A corpus cleaned and packed for training: quality, toxicity, near copies, repeated passages, packing."""
+"""A corpus cleaned and packed for training: quality, toxicity, near copies, repeated passages, packing.
+
+Every stage works on what the one before kept and returns its rows with the columns of documents; the
+last returns the pieces of the packed sequences. Both classifiers learn from a bounded sample of the
+labelled documents of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkrag.llm import byte_cnn, minhash, packing, suffix_dedup, toxicity
+from sparkrag.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score is below 0.3."""
+    model = byte_cnn.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.where(byte_cnn.score_column(docs, model) >= 0.3)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the chain calls toxic."""
+    chain = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.where(~toxicity.flag_column(docs, chain))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return minhash.drop_near_duplicates(docs)
+
 
-from sparkrag.llm import packing
-from sparkrag.llm.common import stored
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeats of at least 200 bytes out of the texts, all but the first copy."""
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
-def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 1024 tokens."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
-    ("packing", _packed),
+    ("quality classifier", quality),
+    ("toxicity", toxic),
+    ("minhash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed),
 ]
 
+#: The classifiers and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

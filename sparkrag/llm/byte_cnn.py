@@ -161,6 +161,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     return ByteCnn().fit([t.encode() for t in rows["text"]], rows["label"].to_numpy())
 
 
+def score_column(docs: DataFrame, model: ByteCnn, text: str = "text") -> F.Column:
+    """The score of a text column of docs, for use in a filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.score((t or "").encode()) for t in texts], dtype=float)
+
+    return F.pandas_udf(run, "double")(F.col(text))
+
+
 def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """(doc_id, score) of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

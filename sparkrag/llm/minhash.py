@@ -235,3 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = sketched.select("doc_id", "n_shingles", "class_a", "class_b").join(by_class, ["class_a", "class_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs without those that aren't the smallest id of their component. Rows with a null id stay."""
+    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

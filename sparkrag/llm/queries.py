@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrag.llm import byte_cnn, chat, html_extract, media, minhash, packing, suffix_dedup, toxicity, voronoi
+from sparkrag.llm import byte_cnn, chat, html_extract, media, minhash, packing, pieces, suffix_dedup, toxicity, voronoi
 from sparkrag.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_voronoi_top_k": op2_voronoi_top_k,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,

@@ -186,3 +186,14 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
     schema = ", ".join(["doc_id long", *(f"{n} double" for n in names), *(f"{n} int" for n in flags)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def flag_column(docs: DataFrame, chain: Chain, category: str = "toxic", text: str = "text") -> F.Column:
+    """Whether a text column of docs counts as of the category, for use in a filter."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
+
+    def run(texts: pd.Series) -> pd.Series:
+        got = sent.value.predict([features((t or "").encode()) for t in texts])
+        return pd.Series(got[:, at] >= sent.value.levels[at])
+
+    return F.pandas_udf(run, "boolean")(F.col(text))
