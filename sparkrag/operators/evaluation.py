@@ -83,11 +83,13 @@ def eval_run(queries: DataFrame, chunks: DataFrame, k: int = 5, mode: str = "gen
     """(metrics, per query) of queries (query_id, workspace_id, question, expected) on chunks."""
     from sparkrag.operators.answers import citations, route_answers, select_contexts
     from sparkrag.operators.retrieval import retrieve
+    from sparkrag.sources.io import settled
 
+    queries = settled(queries)
     asked = queries.select("query_id", "workspace_id", "question").distinct()
-    hits = retrieve(asked, chunks, k=k, **how)
+    hits = settled(retrieve(asked, settled(chunks), k=k, **how))
     contexts = select_contexts(hits)
-    answers = route_answers(asked, contexts, mode=mode, on_no_answer=on_no_answer)
+    answers = settled(route_answers(asked, contexts, mode=mode, on_no_answer=on_no_answer))
     top = citations(contexts).where("idx = 1").join(answers.where("answer_kind <> 'no_answer'").select("query_id"), "query_id", "left_semi").select("query_id", "filename")
     place = first_match(hits, queries)
     per = asked.join(answers, "query_id", "left").join(place, "query_id", "left").join(top.withColumnRenamed("filename", "top_citation"), "query_id", "left")

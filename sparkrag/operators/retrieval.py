@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrag.functions.text import content_tokens, keywords, rewrite_query, should_rewrite, title_tokens
 from sparkrag.settings import DEFAULTS, Settings
+from sparkrag.sources.io import settled
 
 #: Rows of a block of chunks, and of queries, that meet in one task.
 BLOCK, QUERY_BLOCK = 8192, 1024
@@ -42,23 +44,21 @@ def _unit(col: pa.Array) -> np.ndarray:
 
 
 def _nearest(k: int):
-    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("dense_score", pa.float64())])
-
     def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", queries.schema.field("query_id").type), ("chunk_id", chunks.schema.field("chunk_id").type), ("dense_score", pa.float64())])
         if not chunks.num_rows or not queries.num_rows:
             return schema.empty_table()
         x, q = _unit(chunks["embedding"].combine_chunks()), _unit(queries["embedding"].combine_chunks())
         if x.shape[1] != q.shape[1]:
             return schema.empty_table()
-        ids, asked, out = np.array(chunks["chunk_id"].to_pylist(), object), queries["query_id"].to_pylist(), []
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
+        order = pc.sort_indices(chunks["chunk_id"].combine_chunks())  # ties go to the smaller id
+        ids, x, asked, out = chunks["chunk_id"].combine_chunks().take(order), x[order.to_numpy()], queries["query_id"].to_pylist(), []
         for at in range(0, len(q), 256):
             scores = np.round(np.maximum(0, q[at : at + 256] @ x.T), 12)
             for i, s in enumerate(scores):
                 best = np.argsort(-s, kind="stable")[:k] if len(s) <= 4 * k else (m := np.flatnonzero(s >= np.partition(s, -k)[-k]))[np.argsort(-s[m], kind="stable")[:k]]
-                out.append((asked[at + i], ids[best], s[best]))
-        return pa.table([pa.array([n for n, b, _ in out for _ in b], pa.string()), pa.array(np.concatenate([b for _, b, _ in out]), pa.string()), pa.array(np.concatenate([s for _, _, s in out]))], schema=schema)
+                out.append((asked[at + i], best, s[best]))
+        return pa.table([pa.array([n for n, b, _ in out for _ in b], schema.field("query_id").type), ids.take(pa.array(np.concatenate([b for _, b, _ in out]))), pa.array(np.concatenate([s for _, _, s in out]))], schema=schema)
 
     return run
 
@@ -80,13 +80,9 @@ def dense_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidate
     left = data.join(n_asked, by).withColumn("q", spread("n_q"))
     right = asked.join(n_data, by).withColumn("d", spread("n_d"))
     keys = [*by, "d", "q"]
-    found = (
-        left.select(*keys, F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").groupBy(*keys)
-        .cogroup(right.select(*keys, F.col("query_id").cast("string").alias("query_id"), "embedding").groupBy(*keys))
-        .applyInArrow(_nearest(k), "query_id string, chunk_id string, dense_score double")
-    )
-    ids = found.select(F.col("query_id").cast(queries.schema["query_id"].dataType), F.col("chunk_id").cast(chunks.schema["chunk_id"].dataType), "dense_score")
-    return top_by(ids, k, ["query_id"], F.desc("dense_score"), F.col("chunk_id"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, dense_score double"
+    pairs = left.select(*keys, "chunk_id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "embedding").groupBy(*keys))
+    return top_by(pairs.applyInArrow(_nearest(k), schema), k, ["query_id"], F.desc("dense_score"), F.col("chunk_id"))
 
 
 def ivf_cells(chunks: DataFrame, lists: int = 100, sample: int = 50_000, seed: int = 1) -> np.ndarray:
@@ -295,9 +291,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = No
         asked = asked.join(queries.select(F.col("query_id").alias("_query"), "embedding"), "_query")
     link = asked.select("query_id", "_query", "variant")
     own = lambda found: found.join(link, "query_id").drop("query_id").withColumnRenamed("_query", "query_id")
-    dense = multi_variant_candidates(own(dense_knn(asked, chunks, candidates)), "dense_score")
-    words = multi_variant_candidates(own(keyword_search(asked, index, candidates)), "keyword_score")
-    hits = fallback_best(fuse(dense, words, settings.min_score, overlap, settings), dense, words)
+    dense = settled(multi_variant_candidates(own(dense_knn(asked, chunks, candidates)), "dense_score"))
+    words = settled(multi_variant_candidates(own(keyword_search(asked, index, candidates)), "keyword_score"))
+    hits = settled(fallback_best(fuse(dense, words, settings.min_score, overlap, settings), dense, words))
     rows = with_content(hits, queries, chunks)
     if rerank_hits:
         rows = bm25_rerank(rows, settings.rerank_top_n, settings)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.operators.ingest import checksum
+from sparkrag.sources.io import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,7 +86,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     grams = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))).alias("key"))
     pairs = grams.join(keys.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    hits = pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", "question")).select("query_id", "doc_id", "source")
+    hits = settled(pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", "question")).select("query_id", "doc_id", "source"))
     own = hits.groupBy("query_id").agg(F.min_by("source", "doc_id").alias("_ws"))
     rows = items.join(own, "query_id", "left").join(hits.select("query_id", "doc_id"), "query_id", "left")
     workspace = F.coalesce("_ws", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))

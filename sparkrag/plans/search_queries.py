@@ -14,6 +14,7 @@ from sparkrag.operators.chunking import chunk_documents, index_rows
 from sparkrag.operators.sections import char_section_array, page_documents
 from sparkrag.plans.registry import QUESTIONS_SQL, query, questions, read
 from sparkrag.plans.text_queries import CONTENT_SQL, TOKENS_SQL
+from sparkrag.settings import Settings
 
 
 def chunks(spark, sf_dir):
@@ -214,7 +215,7 @@ def r10_retrieve(spark, sf_dir):
 
 
 _CTX_SQL = f"""{_SEARCH_SQL}, c AS (SELECT kw.query_id, kw.rank, kw.chunk_id, d.text AS content, sum(length(d.text)) OVER (PARTITION BY kw.query_id ORDER BY kw.rank) AS total,
-  row_number() OVER (PARTITION BY kw.query_id ORDER BY kw.rank) AS at FROM kw JOIN documents d ON d.doc_id = kw.chunk_id), ctx AS (SELECT * FROM c WHERE total <= 6000 OR at = 1)"""
+  row_number() OVER (PARTITION BY kw.query_id ORDER BY kw.rank) AS pos FROM kw JOIN documents d ON d.doc_id = kw.chunk_id), ctx AS (SELECT * FROM c WHERE total <= 6000 OR pos = 1)"""
 
 
 @query("a1_select_contexts", f"WITH {_CTX_SQL} SELECT query_id, rank, chunk_id FROM ctx")
@@ -243,7 +244,7 @@ def a4_overlap_answer(spark, sf_dir):
     return A.overlap_answer(A.select_contexts(_hits(spark, sf_dir)))
 
 
-@query("a5_retrieval_answer", f"""WITH {_CTX_SQL} SELECT query_id, string_agg('[' || at || '] ' || CASE WHEN length({_FLAT}) > 800 THEN rtrim(substr({_FLAT}, 1, 800), ' ') || '…' ELSE {_FLAT} END, chr(10) || chr(10) ORDER BY rank) AS text FROM ctx GROUP BY query_id""")
+@query("a5_retrieval_answer", f"""WITH {_CTX_SQL} SELECT query_id, string_agg('[' || pos || '] ' || CASE WHEN length({_FLAT}) > 800 THEN rtrim(substr({_FLAT}, 1, 800), ' ') || '…' ELSE {_FLAT} END, chr(10) || chr(10) ORDER BY rank) AS text FROM ctx GROUP BY query_id""")
 def a5_retrieval_answer(spark, sf_dir):
     return A.retrieval_answer(A.select_contexts(_hits(spark, sf_dir)))
 
@@ -253,7 +254,7 @@ def a6_route_answers(spark, sf_dir):
     return A.route_answers(asked(spark, sf_dir), A.select_contexts(_hits(spark, sf_dir)), mode="auto")
 
 
-@query("a7_citations", f"WITH {_CTX_SQL} SELECT ctx.query_id, CAST(at AS INTEGER) AS idx, ctx.chunk_id, 'doc-' || ctx.chunk_id || '.md' AS filename, round(kw.keyword_score, 6) AS score, 'internal' AS source_type FROM ctx JOIN kw ON kw.query_id = ctx.query_id AND kw.rank = ctx.rank")
+@query("a7_citations", f"WITH {_CTX_SQL} SELECT ctx.query_id, CAST(pos AS INTEGER) AS idx, ctx.chunk_id, 'doc-' || ctx.chunk_id || '.md' AS filename, round(kw.keyword_score, 6) AS score, 'internal' AS source_type FROM ctx JOIN kw ON kw.query_id = ctx.query_id AND kw.rank = ctx.rank")
 def a7_citations(spark, sf_dir):
     return A.citations(A.select_contexts(_hits(spark, sf_dir))).select("query_id", "idx", "chunk_id", "filename", "score", "source_type")
 
@@ -317,9 +318,9 @@ def w3_rank_by_relevance(spark, sf_dir):
     return W.rank_by_relevance(_scored(spark, sf_dir)).select("query_id", "url", F.round("relevance", 6).alias("relevance"), "rank")
 
 
-@query("w4_evidence_gate", f"""WITH {_RES_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS at FROM sc WHERE relevance >= 0.1) SELECT query_id, rank, url FROM k WHERE n >= 2 AND at <= 3""")
+@query("w4_evidence_gate", f"""WITH {_RES_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM sc WHERE relevance >= 0.03) SELECT query_id, rank, url FROM k WHERE n >= 2 AND pos <= 3""")
 def w4_evidence_gate(spark, sf_dir):
-    return W.evidence_gate(_scored(spark, sf_dir), 0.1, 2).select("query_id", "rank", "url")
+    return W.evidence_gate(_scored(spark, sf_dir), 0.03, 2).select("query_id", "rank", "url")
 
 
 @query("w5_pick_provider", f"""WITH {_RES_SQL}, t AS (SELECT query_id, provider, provider_order, max(relevance) AS top FROM sc GROUP BY ALL),
@@ -348,7 +349,7 @@ def w8_web_evidence(spark, sf_dir):
     body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("rank", "title", "url", F.col("snippet").alias("content")))).alias("results")))
     raw = rows.groupBy("query_id", "provider").agg(body.alias("body")).withColumn("format", F.lit("json"))
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    out = W.web_evidence(q, raw, {"a": 1, "b": 2}, deny=["example.org"])
+    out = W.web_evidence(q, raw, {"a": 1, "b": 2}, deny=["example.org"], settings=Settings(web_min_relevance=0.03))
     return out.select("query_id", "rank", "url", F.round("relevance", 6).alias("relevance"))
 
 
@@ -416,8 +417,8 @@ def e8_eval_run(spark, sf_dir):
     return V.eval_run(questions(spark, sf_dir), E.hash_embed(chunks(spark, sf_dir)))[0].select("metric", F.round("value", 6).alias("value"))
 
 
-@query("e9_compare_positions", f"""WITH {_EVAL_SQL}, g AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN position ELSE position + 1 END AS position FROM f)
-SELECT f.query_id, f.position AS before, g.position AS after, CASE WHEN f.position IS NOT DISTINCT FROM g.position THEN 'same' WHEN g.position < f.position THEN 'up' ELSE 'down' END AS moved FROM f JOIN g USING (query_id)""")
+@query("e9_compare_positions", f"""WITH {_EVAL_SQL}, f2 AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN position ELSE position + 1 END AS position FROM f)
+SELECT f.query_id, f.position AS before, f2.position AS after, CASE WHEN f.position IS NOT DISTINCT FROM f2.position THEN 'same' WHEN f2.position < f.position THEN 'up' ELSE 'down' END AS moved FROM f JOIN f2 USING (query_id)""")
 def e9_compare_positions(spark, sf_dir):
     a = V.first_match(_named_hits(spark, sf_dir), questions(spark, sf_dir))
     b = a.withColumn("position", F.when(F.col("query_id") % 2 == 0, F.col("position")).otherwise(F.col("position") + 1))
@@ -433,8 +434,8 @@ def e9_compare_runs(spark, sf_dir):
 
 
 @query("e10_quality_gate", f"""WITH {_EVAL_SQL}, m AS (SELECT 'mrr' AS metric, coalesce(avg(coalesce(1.0 / position, 0)), 0) AS value FROM f),
-g(metric, how, level) AS (VALUES ('recall_at_k', '>=', 0.8), ('mrr', '>=', 0.6), ('citation_correctness', '>=', 0.8), ('no_answer_accuracy', '>=', 1.0), ('hallucination_rate', '<=', 0.0), ('false_no_answer_rate', '<=', 0.2))
-SELECT g.metric, coalesce(CASE WHEN how = '>=' THEN value >= level ELSE value <= level END, false) AS passed FROM g LEFT JOIN m USING (metric)""")
+gates(metric, how, level) AS (VALUES ('recall_at_k', '>=', 0.8), ('mrr', '>=', 0.6), ('citation_correctness', '>=', 0.8), ('no_answer_accuracy', '>=', 1.0), ('hallucination_rate', '<=', 0.0), ('false_no_answer_rate', '<=', 0.2))
+SELECT gates.metric, coalesce(CASE WHEN how = '>=' THEN value >= level ELSE value <= level END, false) AS passed FROM gates LEFT JOIN m USING (metric)""")
 def e10_quality_gate(spark, sf_dir):
     m = V.mrr(_named_hits(spark, sf_dir), questions(spark, sf_dir)).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
     return V.quality_gate(m).select("metric", "passed")

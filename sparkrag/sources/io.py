@@ -76,3 +76,9 @@ def write_eval_report(metrics: DataFrame, per_query: DataFrame, path: str) -> No
     per_query.write.mode("overwrite").parquet(f"{path}/per_query")
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in per_query.columns]
     per_query.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/lines")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: by checkpoint() where spark.checkpoint.dir is set, else kept in memory and on disk."""
+    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return df.checkpoint() if folder else df.persist()
