@@ -81,7 +81,8 @@ def dense_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidate
     right = asked.join(n_data, by).withColumn("d", spread("n_d"))
     keys = [*by, "d", "q"]
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, dense_score double"
-    pairs = left.select(*keys, "chunk_id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "embedding").groupBy(*keys))
+    fresh = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in (*keys, *cols)]).groupBy(*keys)  # noqa: E731  the sides may share a source
+    pairs = fresh(left, "chunk_id", "embedding").cogroup(fresh(right, "query_id", "embedding"))
     return top_by(pairs.applyInArrow(_nearest(k), schema), k, ["query_id"], F.desc("dense_score"), F.col("chunk_id"))
 
 
