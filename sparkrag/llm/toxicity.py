@@ -7,7 +7,7 @@ enter the next model's training. When scoring, the earlier models fitted on the
 
 Features are hashed words and the hashed first bytes of words (PREFIXES), A-Z lowered. From the
 sample each category keeps the KEEP features that are most strongly associated with it, by likelihood
-ratio, among those in at least MIN_DOCS documents; their presence enters a ridge logistic model.
+ratio (LEAST at least), among those in at least MIN_DOCS documents; their presence enters a ridge logistic model.
 
 Training takes at most SAMPLE labelled documents of at most LONGEST bytes to the driver. Scoring
 reads every whole document.
@@ -32,6 +32,8 @@ from sparkrag.llm.common import LOWER, ByteHasher, word_spans
 
 SAMPLE, LONGEST, FOLDS = 6000, 16_384, 5
 BITS, PREFIXES, KEEP, MIN_DOCS = 22, (4, 5), 3000, 3
+#: Least likelihood ratio of a kept feature; chance passes it once in 2000 features.
+LEAST = 12.0
 _TRIM = np.zeros(256, bool)
 _TRIM[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _HASH = ByteHasher(11)
@@ -95,7 +97,9 @@ class Linear:
         total = np.bincount(flat, minlength=1 << BITS)
         seen = np.flatnonzero(total >= MIN_DOCS)
         a, t = np.bincount(flat[y[row] > 0], minlength=1 << BITS)[seen], total[seen]
-        best = np.argsort(-_association(a, t - a, n1, n - n1), kind="stable")[:KEEP]
+        strength = _association(a, t - a, n1, n - n1)
+        best = np.argsort(-strength, kind="stable")[:KEEP]
+        best = best[strength[best] >= LEAST]
         out = cls(np.sort(seen[best]), np.zeros(len(best)), np.zeros(1 + earlier.shape[1]), share)
         out.rest[0] = np.log(share / (1 - share))
         row, at = out.present(docs)
