@@ -1,0 +1,462 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, with the odd cases:
+nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import collections
+import hashlib
+import html
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from sparkrag.llm import byte_cnn, chat, components, html_extract, media, minhash, packing, pieces, suffix_dedup, toxicity, voronoi
+from sparkrag.llm.tokens import ByteBpe
+
+DOCS = "doc_id long, text string, score double, node long, bands string"
+
+
+def documents(spark, rows):
+    """Rows (doc_id, text) with extra columns whose names clash with those the operators make."""
+    return spark.createDataFrame([(i, t, 0.5, 7, "x") for i, t in rows], DOCS)
+
+
+ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "a"), (4, "a"), (None, "null id"), (5, "word " * 30_000)]
+
+
+# 1 SentencePiece
+
+
+def _best(text, scores, unknown):
+    """Plain dynamic programming over all substrings."""
+    best = [(0.0, [])] + [(-1e18, [])] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(end):
+            piece = text[start:end]
+            s = scores.get(piece, unknown if end - start == 1 else None)
+            if s is not None and best[start][0] + s > best[end][0]:
+                best[end] = best[start][0] + s, [*best[start][1], piece]
+    return best[-1]
+
+
+def test_viterbi_is_optimal():
+    rng = random.Random(1)
+    model = [("<unk>", 0.0, pieces.UNK)] + [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)]
+    texts = {"".join(rng.choices("abc▁", k=rng.randint(1, 4))) for _ in range(60)} | {"a", "b", "▁"}
+    model += [(t, -rng.random() * 10, pieces.NORMAL) for t in sorted(texts)]
+    scores = {p: s for p, s, k in model if k == pieces.NORMAL}
+    m = pieces.PieceModel(pieces=model, prefix=False)
+    for _ in range(300):
+        text = "".join(rng.choices("abcd é", k=rng.randint(0, 20)))
+        ids = np.frombuffer(m.encode(text), "<u4").tolist()
+        marked = text.replace(" ", "▁")
+        total = sum(model[i][1] for i in ids if model[i][2] == pieces.NORMAL) + m.unknown * sum(c not in scores for c in marked)
+        assert total == pytest.approx(_best(marked, scores, m.unknown)[0])
+        assert m.decode(m.encode(text)) == text
+
+
+def test_pieces_round_trip(spark):
+    rows = [(10, "Hello  world\n\n日本 é "), (11, " lead"), (12, "x" * 5000), *ODD]
+    done = pieces.encode_pieces(documents(spark, rows)).collect()
+    assert len(done) == len(rows) and all(r["restored"] for r in done)
+    assert {r["n_pieces"] for r in done if r["doc_id"] in (1, 2)} == {0}
+    back = pieces.decode_pieces(pieces.encode_pieces(documents(spark, rows)))
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(repr, ((i, t or "") for i, t in rows)))
+    assert pieces.encode_pieces(documents(spark, []), with_ids=False).count() == 0
+
+
+# 2 top-k
+
+
+def _brute_top(rows, every, k):
+    clean = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    clean = list({(i, tuple(v)) for i, v in clean})
+    out = []
+    for i, q in clean:
+        if i % every == 0:
+            s = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in clean if j != i))[:k]
+            out += [(i, n + 1, j, -t) for n, (t, j) in enumerate(s)]
+    return sorted(out)
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    hot = [0.5, -0.25, 0.125, 1.0]
+    rows = [(i, [float(x) for x in rng.standard_normal(4) + 4 * (i % 3)]) for i in range(300)]
+    rows += [(i, hot) for i in range(300, 420)]  # one vector shared by many
+    rows += [(500, None), (501, [1.0, None, 0.0, 0.0]), (502, [float("nan"), 0.0, 0.0, 0.0]), (503, [float("inf")] * 4), (None, hot), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    for how in ({}, {"pivots": 12, "block": 50}):
+        got = sorted(tuple(r) for r in voronoi.top_k(df, every=10, **how).collect())
+        assert got == _brute_top(rows, 10, 5)
+    few = df.where("vec_id in (10, 11, 12)")
+    assert voronoi.top_k(few, every=10).count() == 2
+    assert voronoi.top_k(df.limit(0)).count() == 0
+
+
+# 3 and 6 classifiers
+
+
+def _labelled(n=600):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("aeioutnshr", k=rng.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.randint(20, 80))
+        junk, toxic = i % 4 == 0, i % 3 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["vilemost", "vilewort", "grotsch", "grotlin"])
+        text = " ".join(words)
+        rows.append((i, (text.upper().replace(" ", "!! ") if junk else text), int(not junk), int(toxic)))
+    return rows
+
+
+def test_quality_classifier(spark):
+    rows = _labelled()
+    docs = documents(spark, [(i, t) for i, t, _, _ in rows] + [(9000 + i if i else None, t) for i, t in ODD])
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = byte_cnn.fit_quality(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in byte_cnn.score_documents(docs, model).collect()}
+    held = [(i, q) for i, _, q, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.3) == bool(q) for i, q in held]) > 0.95
+    assert all(0 <= s <= 1 for s in got.values())
+    assert byte_cnn.score_documents(docs.limit(0), model).count() == 0
+    assert byte_cnn.fit_quality(docs, labels.limit(0)).score(b"x") == 0.5
+
+
+def test_chunks_cover_long_texts():
+    net = byte_cnn.ByteCnn()
+    raw = bytes(random.Random(2).choices(range(32, 120), k=5000))
+    whole = net.pooled(raw)
+    old = byte_cnn.SPAN
+    try:
+        byte_cnn.SPAN = 4 * byte_cnn.STRIDE
+        assert np.allclose(net.pooled(raw).max(axis=0), whole.max(axis=0), atol=1e-5)
+    finally:
+        byte_cnn.SPAN = old
+
+
+def test_toxicity_chain(spark):
+    rows = _labelled(900)
+    docs = documents(spark, [(i, t) for i, t, _, _ in rows] + [(9000 + i if i else None, t) for i, t in ODD])
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_toxicity(docs, labels)
+    assert chain.categories == ["junk", "toxic"] and len(chain.models[1].rest) == 2
+    got = {r["doc_id"]: r["is_toxic"] for r in toxicity.score_toxicity(docs, chain).collect()}
+    held = [(i, t) for i, _, _, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] for i, t in held if t]) > 0.9 and np.mean([got[i] for i, t in held if not t]) < 0.05
+    assert toxicity.score_toxicity(docs.limit(0), chain).count() == 0
+    one_sided = toxicity.fit_toxicity(docs, labels.where("toxic = 0"))
+    assert set(one_sided.predict([toxicity.features(b"any text")])[:, 1]) == {0.0}
+
+
+# 4 suffix arrays
+
+
+def _brute_repeats(rows, width, keep_first):
+    first, count = {}, collections.Counter()
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    for i, b in sorted(raw, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for p in range(len(b) - width + 1):
+            count[b[p : p + width]] += 1
+            first.setdefault(b[p : p + width], (i, p))
+    out = []
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - width + 1):
+            w = b[p : p + width]
+            if first[w] != (i, p) if keep_first else count[w] > 1:
+                gone[p : p + width] = True
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def passages():
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(0, 250)))
+    base, rows = [make() for _ in range(6)], []
+    for i in range(60):
+        t, k = make(), rng.random()
+        if k < 0.4:
+            b = rng.choice(base)
+            a = rng.randint(0, max(0, len(b) - 1))
+            t = t[:50] + b[a : a + rng.randint(10, 200)] + t[50:]
+        elif k < 0.5:
+            t = rng.choice(base)
+        elif k < 0.6:
+            t = "xyz " * rng.randint(1, 40) + t
+        rows.append((i, t))
+    return [*rows, (100, None), (101, ""), (None, base[0]), (102, base[1])]
+
+
+@pytest.mark.parametrize(("contexts", "keep_first"), [(1000, False), (1000, True), (2, True)])
+def test_repeats(spark, passages, contexts, keep_first):
+    got = suffix_dedup.digests(documents(spark, passages), keep_first=keep_first, width=20, gram=8, contexts=contexts)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_repeats(passages, 20, keep_first)
+
+
+def test_repeats_odd_cases(spark):
+    docs = documents(spark, ODD)
+    got = suffix_dedup.remove_repeats(docs)
+    assert got.columns == docs.columns and got.count() == len(ODD)
+    assert {r["text"] for r in got.where("doc_id = 1").collect()} == {None}
+    assert suffix_dedup.digests(docs.limit(0)).count() == 0
+
+
+def test_factor_flags_match_brute_force():
+    rng = random.Random(8)
+    for _ in range(50):
+        text = bytes(rng.choices(b"ab", k=60))
+        at = list(range(50))
+        later, other = suffix_dedup.factor_flags(text, at, 6)
+        for p in at:
+            assert later[p] == any(text[q : q + 6] == text[p : p + 6] for q in range(p))
+            assert other[p] == any(text[q : q + 6] == text[p : p + 6] for q in range(p + 1, 50))
+
+
+def test_fingerprints_in_pieces_find_the_same_strings():
+    data = np.frombuffer(bytes(random.Random(3).choices(b"abcdef", k=5000)), np.uint8)
+    old = suffix_dedup.PIECE
+    flat = lambda f: {s + i: int(h) for h, s, n in zip(f[0], f[2].tolist(), f[3].tolist(), strict=True) for i in range(n)}
+    whole = flat(suffix_dedup.fingerprints(data))
+    try:
+        suffix_dedup.PIECE = 700
+        assert flat(suffix_dedup.fingerprints(data)) == whole and len(whole) == 4801
+    finally:
+        suffix_dedup.PIECE = old
+
+
+# 5 pages
+
+
+def test_main_text(spark):
+    nav = "<nav><ul><li><a href='/x'>Menu</a></li></ul></nav>"
+    page = lambda body: f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{nav}<!-- c --><div class='ad'>Buy</div>{body}<footer>&copy;</footer></body></html>"
+    rows = [
+        (1, "http://a.org/1", page("<article><h1>Head &amp; more</h1><p><b>One  two<br>three<p>Four</p><aside>no</aside><section class='comments'><p>reader</p></section><form>f</form></article>")),
+        (2, "http://a.org/2", None), (3, None, ""), (4, "http://a.org/4", "plain &lt;text&gt;"), (5, "x", page("<main><p>m</p></main>")), (1, "http://a.org/1", page("<article><p>again</p></article>")),
+    ]
+    # a site without article tags, with a banner that recurs
+    rows += [(10 + i, "http://b.org/p", f"<body><div><p>Same banner text</p></div><div><p>Story {i}</p></div></body>") for i in range(8)]
+    df = spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, host string, text string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_main_text(df).collect())
+    want = [(1, "Head & more One two three Four"), (1, "again"), (2, ""), (3, ""), (4, "plain <text>"), (5, "m"), *((10 + i, f"Story {i}") for i in range(8))]
+    assert got == sorted((i, t, len(t)) for i, t in want)
+    assert html_extract.extract_main_text(df.limit(0)).count() == 0
+    assert html.unescape("&copy;") == "©"
+
+
+# 7 media
+
+
+def test_media(spark):
+    rows = [(10, "é" * 1000), (11, "é" * 1000), *ODD]
+    got = media.media_digests(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next((t or "") for i, t in rows if i == r["doc_id"])
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+    a, b = (next(r for r in got if r["doc_id"] == i) for i in (10, 11))
+    assert a["feature"] == b["feature"] and a["media_sha256"] == b["media_sha256"]
+    row = media.audio_features(documents(spark, [(1, "hello " * 3000)])).first()
+    batch = pa.ipc.open_stream(row["features"]).read_all()
+    assert batch.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.MELS))
+    assert media.wav_payload(bytes(row["media"])).startswith(b"hello ") and all(s["start_s"] < s["end_s"] for s in row["segments"])
+    assert media.media_digests(documents(spark, [])).count() == 0
+
+
+def test_resampling_in_blocks():
+    samples = np.random.default_rng(0).integers(0, 256, 20_000, dtype=np.uint8)
+    whole, old = media.log_mel(samples), media.SPAN
+    try:
+        media.SPAN = 3 * 256
+        assert np.allclose(media.log_mel(samples), whole, atol=1e-4)
+    finally:
+        media.SPAN = old
+
+
+# 8 near copies
+
+
+def _components(rows):
+    sets = {}
+    for n, (i, t) in enumerate(rows):
+        words = [bytes(w).lower() for w in (t or "").encode().replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w]
+        sets[n] = (i, frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    root = {i: i for i, _ in sets.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, (i, a) in sets.items():
+        for _, (j, b) in sets.items():
+            if a and b and i != j and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return sorted((i, len(s), find(i), find(i) == i) for i, s in sets.values())
+
+
+def test_near_duplicates(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    rows, n = [], 0
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([6, 60, 150]))]
+        for _ in range(rng.randint(1, 12)):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((n, " ".join(w)))
+            n += 1
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "two words"), (1004, "Two  WORDS"), (1005, rows[0][1])]
+    want = _components(rows)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(documents(spark, rows)).collect()) == want
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)  # many block pairs
+    assert sorted(tuple(r) for r in minhash.near_duplicates(documents(spark, rows)).collect()) == want
+    assert minhash.near_duplicates(documents(spark, [])).count() == 0
+    got = minhash.near_duplicates(documents(spark, ODD)).collect()
+    assert len(got) == len(ODD) and all(r["kept"] for r in got)
+    kept = minhash.drop_near_duplicates(documents(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _, k in want if k] and kept.columns == documents(spark, []).columns
+
+
+def test_sketch_agreement_follows_similarity():
+    rng = np.random.default_rng(0)
+    same = []
+    for _ in range(20):
+        a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        b = np.concatenate([a[:250], rng.integers(0, 2**63, 50, dtype=np.uint64)])
+        s = minhash.sketches([a, b, a[:1]])
+        assert not (s == minhash._MAX).any()
+        same.append((s[0] == s[1]).mean())
+    assert abs(np.mean(same) - 250 / 350) < 0.03
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(400, 400)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        x, y = sorted((find(u), find(v)))
+        root[y] = x
+    got = components.connected_components(spark.createDataFrame([*edges, (None, 1)], "u long, v long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in root}
+
+
+# 9 chats
+
+
+def test_chat(spark):
+    nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "a<\\\\|b<|", "line\nbreak", "", None, "\\n<|"]
+    rows = [(1, i, ("user", "assistant", "sys\ntem<|", None)[i % 4], t) for i, t in enumerate(nasty)] + [(2, 0, "user", "q"), (2, 0, "user", "q"), (3, None, "assistant", "late"), (None, 0, "assistant", "none")]
+    rows += [(4, i, "assistant", f"t{i}") for i in range(37)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, score int")
+    done = {r["tree"]: r for r in chat.format_conversations(df).collect()}
+    assert len(done) == 5
+    for tree, r in done.items():
+        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == tree))
+        assert chat.parse_formatted(r["formatted"]) == [(role, text) for _, role, text in turns]
+        learned = "".join(chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss_spans"])
+        assert learned == "".join(text for _, role, text in turns if role == "assistant")
+    assert chat.format_conversations(df.limit(0)).count() == 0
+    for t in nasty:
+        assert chat.unescape(chat.escape(t or "")) == (t or "") and "<|" not in chat.escape(t or "")
+
+
+def test_reply_tree(spark):
+    nodes = spark.createDataFrame([(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.5)], "tree long, node long, parent long, role string, text string, score double")
+    paths = chat.root_paths(nodes)
+    best = chat.rank_branches(paths, nodes, 1)
+    assert [r["leaf"] for r in best.collect()] == [4] and best.first()["score"] == pytest.approx(1.4 / 3)
+    got = {r["leaf"]: [t for _, t in chat.parse_formatted(r["formatted"])] for r in chat.format_paths(paths, nodes, chat.rank_branches(paths, nodes)).collect()}
+    assert got == {2: ["q", "bad"], 4: ["q", "good", "more"]}
+
+
+# 10 packing
+
+
+def test_best_fill_is_optimal():
+    rng = random.Random(7)
+    for _ in range(200):
+        items = [rng.randint(1, 30) for _ in range(rng.randint(1, 10))]
+        counts = np.bincount(items, minlength=41)
+        got = packing.best_fill(counts, 40)
+        sums = {0}
+        for x in items:
+            sums |= {s + x for s in sums}
+        assert all(counts[n] >= k for n, k in got.items())
+        assert sum(n * k for n, k in got.items()) == max(s for s in sums if s <= 40)
+
+
+def test_packing(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abc def\n", k=rng.randint(0, 6000)))) for i in range(10, 60)] + ODD
+    done = packing.pack_documents(documents(spark, rows)).collect()
+    bpe, by_doc, by_seq = ByteBpe(), collections.defaultdict(list), collections.defaultdict(list)
+    for r in done:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by_seq.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end == 1024 or end & (end - 1) == 0
+    for r in done:
+        by_doc[r["doc_id"]].append(r)
+    for i, t in {i: t for i, t in rows}.items():
+        ids = bpe.model.encode(t or "", add_special_tokens=False).ids + [0]
+        parts = sorted(by_doc[i], key=lambda r: r["start"])
+        times = sum(1 for j, _ in rows if j == i)
+        assert sum(r["length"] for r in parts) == times * len(ids)
+        for r in parts:
+            assert r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    assert packing.pack_documents(documents(spark, [])).count() == 0
+
+
+def test_byte_bpe_is_the_tokenizer():
+    bpe = ByteBpe()
+    for t in ("", " ", "a  b", "\n\n", "a \n b", "it's <|endoftext|> x", "\tfoo bar  baz", "日本 語", "x  y\x1c z", "\x85a b", "don't 's 're", "é à\nb"):
+        for _ in range(2):
+            assert np.frombuffer(bpe.encode(t), "<u4").tolist() == bpe.model.encode(t, add_special_tokens=False).ids
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _labelled(400)
+    copies = [(1000 + i, rows[1][1] + (" tail" if i else "")) for i in range(3)]
+    shared = " ".join(f"passage{i}" for i in range(60))
+    extra = [(2000 + i, f"{rows[5 + i][1]} {shared} {rows[9 + i][1]}") for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*((i, t) for i, t, _, _ in rows), *copies, *extra]], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert sorted(now.columns) == sorted(docs.columns)
+        kept[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    last = kept["suffix-array dedup"]
+    assert not {1000, 1001, 1002} & last.keys() and sum(shared in t for t in last.values()) <= 1
+    junk, toxic = {i for i, _, q, _ in rows if not q}, {i for i, _, _, t in rows if t}
+    assert len(junk & kept["quality classifier"].keys()) < 0.05 * len(junk) and len(toxic & kept["toxicity"].keys()) < 0.1 * len(toxic)
+    clean = {i for i, _, q, t in rows if q and not t and i != 1}
+    assert len(clean & last.keys()) > 0.95 * len(clean)
+    pieces_ = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"] for r in pieces_} == last.keys() and all(r["n"] == r["t"] for r in pieces_)
