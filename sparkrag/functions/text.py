@@ -191,7 +191,10 @@ def identity_key(authorization: Column, address: Column) -> Column:
 
 
 def vector_to_literal(vector: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,...] with seven decimals, halves to even as in C."""
+    exact = lambda x: F.bround(x.cast("decimal(38,20)"), F.lit(7)).cast("decimal(25,7)").cast("string")
+    number = lambda x: F.when(F.abs(x) < 1e17, exact(x)).otherwise(F.format_string("%.7f", x))
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: number(x.cast("double"))), ","), F.lit("]"))
 
 
 def literal_to_vector(text: Column) -> Column:
