@@ -43,7 +43,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def fingerprints(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each context: hash of its fingerprint, hash of its bytes, first string, strings, and place of the fingerprint in the first.
+    """Of each context: hash of its fingerprint, hash of its bytes and of the fingerprint's place in them, first string, and number of strings.
 
     A long text is worked through in pieces of strings; a context cut by a piece's end goes on in the
     next with the same fingerprint, and so is two contexts, which is the same for a copy cut alike or not:
@@ -61,8 +61,8 @@ def fingerprints(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tupl
         count = np.diff(np.append(first, len(chosen)))
         chosen = chosen[first]
         whole = _HASH.spans(sums, first, first + count + width - 1)
-        parts.append((grams[chosen], whole ^ (chosen - first).astype(np.uint64), first + at, count, chosen - first))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        parts.append((grams[chosen], whole ^ (chosen - first).astype(np.uint64), first + at, count))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
 
 
 def _smaller(order: np.ndarray) -> tuple[list[int], list[int]]:
@@ -103,7 +103,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(with_hashes: bool, width: int, gram: int):
-    names = ["a", "b", "h", "c", "start", "strings", "place"]
+    names = ["a", "b", "h", "c", "start", "strings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,7 @@ def _anchors(with_hashes: bool, width: int, gram: int):
                     continue
                 n = [len(f[0]) for f in found]
                 cols = [np.repeat(part[k].to_numpy(), n) for k in ("a", "b")] + [np.concatenate([f[i] for f in found]) for i in range(3)]
-                cols += [np.concatenate([f[i] for f in found]).astype(np.int32) for i in (3, 4)]
+                cols.append(np.concatenate([f[3] for f in found]).astype(np.int32))
                 yield pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=names)
 
     return run
@@ -128,7 +128,7 @@ def _cut(width: int):
                 raw = batch["text"][i].as_py().encode()
                 rows = pa.RecordBatch.from_struct_array(batch["places"][i].values)
                 texts = [raw[s : s + n + width - 1] for s, n in zip(rows["start"].to_pylist(), rows["strings"].to_pylist(), strict=True)]
-                yield pa.record_batch([*(rows[c] for c in ("h", "c", "strings", "place")), pa.array([batch["a"][i].as_py()] * len(texts), pa.int64()), pa.array([batch["b"][i].as_py()] * len(texts), pa.int64()), rows["start"], pa.array(texts, pa.binary())], names=["h", "c", "strings", "place", "a", "b", "start", "bytes"])
+                yield pa.record_batch([*(rows[c] for c in ("h", "c", "strings", "hot")), pa.array([batch["a"][i].as_py()] * len(texts), pa.int64()), pa.array([batch["b"][i].as_py()] * len(texts), pa.int64()), rows["start"], pa.array(texts, pa.binary())], names=["h", "c", "strings", "hot", "a", "b", "start", "bytes"])
 
     return run
 
@@ -201,7 +201,7 @@ _RUNS = "array<struct<lo: long, hi: long>>"
 
 def _hot_factors(contexts: DataFrame, width: int) -> DataFrame:
     """What `_factors` yields, a row for each string, by counting: no task holds all contexts of a fingerprint."""
-    rows = stored(contexts.mapInArrow(_strings(width), "h long, c long, a long, b long, start long, at long, x long, y long"), "strings")
+    rows = contexts.mapInArrow(_strings(width), "h long, c long, a long, b long, start long, at long, x long, y long")
     here = F.struct("a", "b", (F.col("start") + F.col("at")).alias("p"))
     firsts = rows.groupBy("h", "x", "y").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
     run = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
@@ -221,21 +221,20 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
     own = keyed(docs)
     long_ = own.where(F.octet_length("text") >= width)
     counts = long_.mapInArrow(_anchors(False, width, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    anchors = long_.mapInArrow(_anchors(True, width, gram), "a long, b long, h long, c long, start long, strings int, place int")
+    anchors = long_.mapInArrow(_anchors(True, width, gram), "a long, b long, h long, c long, start long, strings int")
     shared = stored(anchors.join(counts, "h"), "contexts")
 
     here = F.struct("a", "b", "start")
-    distinct = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(here).alias("first"), F.first("strings").alias("strings"), F.first("place").alias("place"))
+    distinct = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(here).alias("first"), F.first("strings").alias("strings"))
     distinct = stored(distinct, "distinct")
     many = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     several = distinct.join(many, "h")
-    places = several.groupBy("first.a", "first.b").agg(F.collect_list(F.struct("h", "c", "strings", "place", F.col("first.start").alias("start"))).alias("places"))
-    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, place int, a long, b long, start long, bytes binary")
-    hot = many.where(F.col("m") > contexts).select("h")
-    usual = cut if hot.isEmpty() else cut.join(F.broadcast(hot), "h", "left_anti") if hot.count() < 100_000 else cut.join(hot, "h", "left_anti")
-    found = usual.select("h", "c", "strings", "a", "b", "start", "bytes").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}")
-    if not hot.isEmpty():
-        found = found.unionByName(_hot_factors(cut.join(hot, "h", "left_semi"), width))
+    one = F.struct("h", "c", "strings", (F.col("m") > contexts).alias("hot"), F.col("first.start").alias("start"))
+    places = several.groupBy("first.a", "first.b").agg(F.collect_list(one).alias("places"))
+    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, a long, b long, start long, bytes binary")
+    found = cut.where("not hot").select("h", "c", "strings", "a", "b", "start", "bytes").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}")
+    if not many.where(F.col("m") > contexts).isEmpty():
+        found = found.unionByName(_hot_factors(cut.where("hot").drop("hot"), width))
 
     known = distinct.join(found, ["h", "c"], "left").select("h", "c", "n", "first", "later", "both")
     rows = shared.join(known.where("n > 1 or both is not null"), ["h", "c"])
