@@ -65,6 +65,15 @@ def s7_eval_report(spark, sf_dir):
     return spark.read.text(f"{path}/lines")
 
 
+@query("s7_eval_report_whole")
+def s7_eval_report_whole(spark, sf_dir):
+    """All items, those with line ends too."""
+    path = _scratch(spark, "report")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    io.write_eval_report(rows.agg(F.count("*").alias("value")), rows, path)
+    return spark.read.text(f"{path}/lines")
+
+
 @query("j1_list_files", f"WITH {FILES_SQL} SELECT workspace_id, file_id, filename, status FROM files WHERE NOT is_deleted AND status = 'indexed' AND contains(lower(filename), 'c-1')")
 def j1_list_files(spark, sf_dir):
     return J.list_files(files(spark, sf_dir), status="indexed", name_like="C-1").select("workspace_id", "file_id", "filename", "status")
@@ -120,6 +129,12 @@ def j7_last_admin(spark, sf_dir):
     return J.last_admin(memberships(spark, sf_dir).where("user_id % 40 < 2"))
 
 
+@query("j7_last_admin_whole")
+def j7_last_admin_whole(spark, sf_dir):
+    """The memberships of all users."""
+    return J.last_admin(memberships(spark, sf_dir))
+
+
 @query("j8_status_counts", f"WITH {FILES_SQL} SELECT workspace_id, status, count(*) AS n_files FROM files GROUP BY ALL")
 def j8_status_counts(spark, sf_dir):
     return J.status_counts(files(spark, sf_dir))

@@ -141,8 +141,10 @@ def r4_keyword_search(spark, sf_dir):
 def _fused_inputs(spark, sf_dir):
     """Two rankings of the same vectors: by cosine, and by id as a stand-in of keyword hits."""
     dense = R.dense_knn(vector_queries(spark, sf_dir), vectors(spark, sf_dir)).withColumn("dense_score", F.round("dense_score", 6))
-    pairs = vector_queries(spark, sf_dir).select("query_id", "workspace_id").join(vectors(spark, sf_dir).select("chunk_id", "workspace_id"), "workspace_id")
-    keyed = R.top_by(pairs.where("(chunk_id + query_id) % 7 = 0"), 12, ["query_id"], F.col("chunk_id"))
+    # The chunks whose id and the query's add up to a multiple of 7: ranked once for each remainder of a workspace.
+    ranked = R.top_by(vectors(spark, sf_dir).select("chunk_id", "workspace_id", F.pmod(F.col("chunk_id"), F.lit(7)).alias("rest")), 12, ["workspace_id", "rest"], F.col("chunk_id"))
+    asking = vector_queries(spark, sf_dir).select("query_id", "workspace_id", F.pmod(-F.col("query_id"), F.lit(7)).alias("rest"))
+    keyed = asking.join(ranked, ["workspace_id", "rest"])
     return dense, keyed.select("query_id", "chunk_id", (1.0 / F.col("rank")).alias("keyword_score"), "rank")
 
 

@@ -185,6 +185,13 @@ def t19_title_tokens(spark, sf_dir):
     return docs.select("doc_id", F.sort_array(T.title_tokens(content, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")))).alias("tokens"))
 
 
+@query("t19_title_tokens_whole")
+def t19_title_tokens_whole(spark, sf_dir):
+    """All documents, with the heading lines that they hold."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sort_array(T.title_tokens(F.col("text"), name)).alias("tokens"))
+
+
 @query("t20_slugify", "SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM benchmark")
 def t20_slugify(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", T.slugify(F.col("text")).alias("slug"))
@@ -217,6 +224,12 @@ def p2_md_title(spark, sf_dir):
     return docs.select("doc_id", sections.md_title(F.concat(F.lit("intro\n # "), F.col("text"))).alias("title"))
 
 
+@query("p2_md_title_whole")
+def p2_md_title_whole(spark, sf_dir):
+    """All documents, with the '# ' line that they hold, if any."""
+    return read(spark, sf_dir, "documents").select("doc_id", sections.md_title(F.col("text")).alias("title"))
+
+
 @query("p3_html_sections")
 def p3_html_sections(spark, sf_dir):
     return sections.html_sections(read(spark, sf_dir, "pages"), key="page_id", text="html")

@@ -71,10 +71,11 @@ def replace_by_file(index: DataFrame, fresh: DataFrame, key: str = "file_id") ->
 
 
 def write_eval_report(metrics: DataFrame, per_query: DataFrame, path: str) -> None:
-    """metrics/ and per_query/ as Parquet, and lines/ as a markdown table, one part per file."""
+    """metrics/ and per_query/ as Parquet, and lines/ as a markdown table, one part per file. Line ends in a
+    cell become <br>, so that a row is one line."""
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     per_query.write.mode("overwrite").parquet(f"{path}/per_query")
-    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in per_query.columns]
+    cells = [F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\r\n|\r|\n", "<br>"), F.lit("")) for c in per_query.columns]
     per_query.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/lines")
 
 
