@@ -21,9 +21,10 @@ import sys
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,10 +197,15 @@ def piece_model(path: str | None = None) -> PieceModel:
     return PieceModel(path)
 
 
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, restored boolean"
+COUNTS = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long"
+SCHEMA = COUNTS + ", restored boolean"
+#: Bytes of ids in a batch.
+SIZE = 16 << 20
 
 
-def _encoded(path: str | None, with_ids: bool):
+def _encoded(path: str | None):
+    """(doc_id, text) to COUNTS, the text that decoding should give, and ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
@@ -207,38 +213,45 @@ def _encoded(path: str | None, with_ids: bool):
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
                 ids = model.encode(text)
-                rows.append((batch.column(0)[i].as_py(), len(ids) // 4, zlib.crc32(ids), len(text.encode()), model.decode(ids) == text.replace(MARK, " ")))
-                if with_ids:
-                    ids_out.append(array("I", ids))
-                    size += len(ids)
-                    if size > 16 << 20:
-                        yield _record(rows, ids_out)
-                        rows, ids_out, size = [], [], 0
-            yield _record(rows, ids_out if with_ids else None)
+                rows.append((batch.column(0)[i].as_py(), len(ids) // 4, zlib.crc32(ids), len(text.encode()), text.replace(MARK, " ")))
+                ids_out.append(ids)
+                size += len(ids)
+                if size > SIZE:
+                    yield _record(rows, ids_out)
+                    rows, ids_out, size = [], [], 0
+            yield _record(rows, ids_out)
 
     return run
 
 
-def _record(rows: list[tuple], ids: list[array] | None) -> pa.RecordBatch:
+def _record(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 5
-    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.record_batch(arrays if ids is None else [*arrays, pa.array(ids, pa.list_(pa.int32()))], names=names if ids is None else [*names, "ids"])
+    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    values = np.frombuffer(b"".join(ids), "<i4").astype(np.int32, copy=False)
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    return pa.record_batch([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=[*names, "given", "ids"])
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, n_bytes, restored[, ids]) of docs (doc_id, text); restored: decoding gave the text back."""
+    """(doc_id, n_pieces, ids_crc32, n_bytes, restored[, ids]) of docs (doc_id, text); restored: `decode_pieces` gave the text back."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_encoded(model, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    encoded = rows.mapInArrow(_encoded(model), COUNTS + ", given string, ids array<int>")
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    back = decode_pieces(encoded, model, keep=[*names[1:], "given", "ids"])
+    return back.select(*names, (F.col("text") == F.col("given")).alias("restored"), *(["ids"] if with_ids else []))
 
 
-def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids)."""
+def decode_pieces(rows: DataFrame, model: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, *keep) of rows (doc_id, ids, *keep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = piece_model(model).decode
         for batch in batches:
-            texts = [None if x is None else decode(array("I", x).tobytes()) for x in batch["ids"].to_pylist()]
-            yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+            ids = batch["ids"]
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+            texts = [decode(values[a:b].astype("<i4", copy=False).tobytes()) if known else None for a, b, known in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist(), strict=True)]
+            yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string()), *(batch[c] for c in keep)], names=["doc_id", "text", *keep])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys(["ids", *keep])).mapInArrow(run, "doc_id long, text string" + kept)

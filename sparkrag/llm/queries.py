@@ -12,7 +12,7 @@ from sparkrag.llm.common import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"))
 
 
 def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

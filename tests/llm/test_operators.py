@@ -67,6 +67,26 @@ def test_pieces_round_trip(spark):
     assert pieces.encode_pieces(documents(spark, []), with_ids=False).count() == 0
 
 
+def test_piece_query_returns_ids(spark, tmp_path):
+    from sparkrag.llm.queries import op1_sentencepiece
+
+    rows = [(10, "Hello  world\n\n日本 é "), (11, " lead"), (12, "x" * 5000), *ODD]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    done = op1_sentencepiece(spark, str(tmp_path)).collect()
+    model = pieces.piece_model()
+    want = sorted(repr((i, np.frombuffer(model.encode(t or ""), "<u4").tolist())) for i, t in rows)
+    assert sorted(repr((r["doc_id"], r["ids"])) for r in done) == want
+    assert all(r["restored"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in done)
+
+
+def test_restored_is_told_from_the_ids(spark, monkeypatch):
+    """With a decoder that spoils the ids, nothing but empty texts is restored."""
+    plain = pieces.decode_pieces
+    monkeypatch.setattr(pieces, "decode_pieces", lambda rows, *a, **k: plain(rows.withColumn("ids", F.slice("ids", 2, 1 << 30)), *a, **k))
+    done = pieces.encode_pieces(documents(spark, [(1, "some words"), (2, "")])).collect()
+    assert {r["doc_id"]: r["restored"] for r in done} == {1: False, 2: True}
+
+
 # 2 top-k
 
 
