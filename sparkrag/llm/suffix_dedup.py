@@ -169,6 +169,8 @@ def _factors(width: int):
         keys, texts, strings, size, last = [], [], [], 0, None
         for batch in batches:
             for h, c, n, text in zip(*(batch[k].to_pylist() for k in ("h", "c", "strings", "bytes")), strict=True):
+                if keys and keys[-1] == (h, c):  # cut from a row that repeats id and text
+                    continue
                 if h != last and size > BATCH:
                     yield record(list(solve(keys, texts, strings)))
                     keys, texts, strings, size = [], [], [], 0
@@ -203,7 +205,8 @@ def _hot_factors(contexts: DataFrame, width: int) -> DataFrame:
     """What `_factors` yields, a row for each string, by counting: no task holds all contexts of a fingerprint."""
     rows = contexts.mapInArrow(_strings(width), "h long, c long, a long, b long, start long, at long, x long, y long")
     here = F.struct("a", "b", (F.col("start") + F.col("at")).alias("p"))
-    firsts = rows.groupBy("h", "x", "y").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
+    # A row that repeats id and text gives the same places again, which aren't other copies.
+    firsts = rows.groupBy("h", "x", "y").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
     run = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
     found = rows.join(firsts, ["h", "x", "y"]).select("h", "c", F.when(here != F.col("first"), run).otherwise(F.array().cast(_RUNS)).alias("later"), run.alias("both"))
     return found.groupBy("h", "c").agg(F.flatten(F.collect_list("later")).alias("later"), F.flatten(F.collect_list("both")).alias("both"))

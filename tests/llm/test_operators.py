@@ -219,6 +219,14 @@ def test_repeats(spark, passages, contexts, keep_first):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_repeats(passages, 20, keep_first)
 
 
+@pytest.mark.parametrize("contexts", [1000, 2])
+def test_repeats_of_repeated_rows(spark, passages, contexts):
+    """Rows that repeat id and text keep alike."""
+    rows = [*passages, *passages[::2], *passages[-2:]]
+    got = suffix_dedup.digests(documents(spark, rows), keep_first=True, width=20, gram=8, contexts=contexts)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_repeats(rows, 20, True)
+
+
 def test_repeats_odd_cases(spark):
     docs = documents(spark, ODD)
     got = suffix_dedup.remove_repeats(docs)
