@@ -2,6 +2,7 @@
 
 import re
 
+from sparkrag.operators import retrieval as R
 from sparkrag.plans import registry
 from sparkrag.plans import ops_queries, search_queries, text_queries  # noqa: F401  they register their queries
 from sparkrag.settings import STOPWORDS
@@ -61,3 +62,11 @@ def test_stand_in_ranking(spark, tmp_path):
     assert sorted((r["query_id"], r["chunk_id"], float(r["keyword_score"]), r["rank"]) for r in keyed.collect()) == sorted(want)
     plan = keyed._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("Join") < plan.find("Window")  # ranked below the join, not after pairing a workspace
+
+
+def test_recall_is_that_of_the_defaults(spark, tmp_path, monkeypatch):
+    _write(spark, tmp_path, "embeddings", [(i, i % 3, [float(i % 11), float(i % 7), 1.0]) for i in range(300)], "vec_id long, label int, embedding array<float>")
+    asked, search = [], R.ivf_knn
+    monkeypatch.setattr(R, "ivf_knn", lambda q, c, k, **how: asked.append(how) or search(q, c, k, **how))
+    assert 0 < _rows(spark, "r3_ivf_knn", tmp_path)[0]["recall"] <= 1
+    assert asked == [{}]
