@@ -3,41 +3,51 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrag.functions.text import content_tokens
-from sparkrag.settings import DEFAULTS
+from sparkrag.settings import DEFAULTS, STOPWORDS
 
 
-def hash_vectors(tokens: Column, dim: int = DEFAULTS.embed_dim) -> Column:
-    """Unit vectors of token counts over `dim` buckets, by an 8-byte BLAKE2b hash; no tokens: zeros."""
+_WORD = re.compile("[a-z0-9]{2,}")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket: dict[str, int] = {}
 
-        def one(words) -> np.ndarray:
-            for w in set(words) - bucket.keys():
-                bucket[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % dim
-            v = np.bincount([bucket[w] for w in words], minlength=dim).astype(float) if len(words) else np.zeros(dim)
-            n = np.sqrt((v * v).sum())
-            return (v / n if n else v).astype(np.float32)
+def hash_vectors(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
+    """Unit vectors of the counts of a text's content tokens over `dim` buckets, by an 8-byte BLAKE2b hash; no
+    tokens: zeros. The text goes to Python once and is cut into tokens there; each token is hashed once a worker."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bucket = dict.fromkeys(STOPWORDS, dim)  # one bucket more, which is thrown away
         for batch in batches:
-            if len(bucket) > 1_000_000:
-                bucket.clear()
-            yield batch.map(one, na_action="ignore")
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<float>")(tokens)
+            out = np.zeros((len(batch), dim), np.float32)
+            for i in range(len(batch)):
+                words = _WORD.findall(batch[i].as_py() or "")
+                at = list(map(bucket.get, words))
+                if None in at:
+                    for w in set(words) - bucket.keys():
+                        bucket[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % dim
+                    at = [bucket[w] for w in words]
+                counts = np.bincount(at, minlength=dim + 1)[:dim].astype(float) if at else out[i]
+                n = np.sqrt((counts * counts).sum())
+                out[i] = counts / n if n else counts
+            if len(bucket) > 400_000:
+                bucket = dict.fromkeys(STOPWORDS, dim)
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim)
+            yield pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)), mask=batch.is_null() if batch.null_count else None)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<float>")(F.lower(text))
 
 
 def hash_embed(df: DataFrame, text: str = "content", dim: int = DEFAULTS.embed_dim, out: str = "embedding") -> DataFrame:
-    return df.withColumn(out, hash_vectors(content_tokens(F.col(text)), dim))
+    return df.withColumn(out, hash_vectors(F.col(text), dim))
 
 
 def md5_bucket(token: Column, dim: int) -> Column:
@@ -71,10 +81,11 @@ def upsert_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def reembed(chunks: DataFrame, workspace_id=None, dim: int = DEFAULTS.embed_dim) -> DataFrame:
-    """All vectors, or those of one workspace, from the contents anew."""
-    fresh = hash_vectors(content_tokens(F.col("content")), dim)
-    chosen = F.lit(True) if workspace_id is None else F.col("workspace_id") == workspace_id
-    return chunks.withColumn("embedding", F.when(chosen, fresh).otherwise(F.col("embedding")))
+    """All vectors, or those of one workspace, from the contents anew. Only the chosen rows are embedded."""
+    if workspace_id is None:
+        return hash_embed(chunks, "content", dim).select(*chunks.columns)
+    chosen = F.coalesce(F.col("workspace_id") == workspace_id, F.lit(False))
+    return hash_embed(chunks.where(chosen), "content", dim).select(*chunks.columns).unionByName(chunks.where(~chosen))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -290,6 +290,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = No
         asked = hash_embed(asked, "question", dim)
     elif not rewrite:
         asked = asked.join(queries.select(F.col("query_id").alias("_query"), "embedding"), "_query")
+    asked = settled(asked)
     link = asked.select("query_id", "_query", "variant")
     own = lambda found: found.join(link, "query_id").drop("query_id").withColumnRenamed("_query", "query_id")
     dense = settled(multi_variant_candidates(own(dense_knn(asked, chunks, candidates)), "dense_score"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkrag.operators import tenancy as J
@@ -13,10 +10,7 @@ from sparkrag.sources import io
 from sparkrag.streaming import jobs as K
 
 
-def _scratch(spark, name: str) -> str:
-    """A new path in the shared folder; a temporary one where none is set, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkrag-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+_scratch = io.shared_path
 
 
 @query("s1_read_files")

@@ -79,13 +79,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    words = lambda t: F.split(t, " ")
     # Inner words only: the first word of a passage may follow other characters without a blank.
-    start = F.xxhash64(F.slice(words(F.col("question")), 2, 3))
-    keys = items.withColumn("key", start)
-    runs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))).alias("key"))
-    pairs = grams.join(keys.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    keys = items.select("query_id", F.split("question", " ").alias("w")).select("query_id", three("w", F.lit(1)).alias("key"))
+    runs = docs.select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 3)
+    grams = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three("w", i))).alias("key"))
+    pairs = grams.join(keys, "key").select("query_id", "doc_id").distinct()
     hits = settled(pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", "question")).select("query_id", "doc_id", "source"))
     own = hits.groupBy("query_id").agg(F.min_by("source", "doc_id").alias("_ws"))
     rows = items.join(own, "query_id", "left").join(hits.select("query_id", "doc_id"), "query_id", "left")

@@ -15,6 +15,7 @@ from sparkrag.operators.sections import char_section_array, page_documents
 from sparkrag.plans.registry import QUESTIONS_SQL, query, questions, read
 from sparkrag.plans.text_queries import CONTENT_SQL, TOKENS_SQL
 from sparkrag.settings import Settings
+from sparkrag.sources.io import settled
 
 
 def chunks(spark, sf_dir):
@@ -32,7 +33,13 @@ def whole(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", "workspace_id", "question").distinct()
+    return settled(questions(spark, sf_dir).select("query_id", "workspace_id", "question").distinct())
+
+
+def searched(spark, sf_dir):
+    """(questions, hits of the keyword search): questions, postings and hits are made once."""
+    q = asked(spark, sf_dir)
+    return q, settled(R.keyword_search(q, settled(R.postings(whole(spark, sf_dir)))))
 
 
 def vectors(spark, sf_dir):
@@ -134,7 +141,7 @@ kw AS (SELECT query_id, chunk_id, CASE WHEN max(weight) OVER (PARTITION BY query
 
 @query("r4_keyword_search", f"WITH {_SEARCH_SQL} SELECT query_id, chunk_id, round(keyword_score, 6) AS keyword_score, rank FROM kw")
 def r4_keyword_search(spark, sf_dir):
-    found = R.keyword_search(asked(spark, sf_dir), R.postings(whole(spark, sf_dir)))
+    found = searched(spark, sf_dir)[1]
     return found.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), "rank")
 
 
@@ -187,8 +194,12 @@ df AS (SELECT query_id, term, count(*) FILTER (tf > 0) AS df FROM tt GROUP BY AL
 
 
 def _hits(spark, sf_dir):
-    found = R.keyword_search(asked(spark, sf_dir), R.postings(whole(spark, sf_dir))).withColumnRenamed("keyword_score", "score")
-    return R.with_content(found, asked(spark, sf_dir), whole(spark, sf_dir))
+    return _asked_hits(spark, sf_dir)[1]
+
+
+def _asked_hits(spark, sf_dir):
+    q, found = searched(spark, sf_dir)
+    return q, settled(R.with_content(found.withColumnRenamed("keyword_score", "score"), q, whole(spark, sf_dir)))
 
 
 @query("r8_bm25_rerank", f"""WITH {_HITS_SQL}, bm AS (SELECT tt.query_id, tt.chunk_id, sum(CASE WHEN tf > 0 THEN ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1.0 - 0.75 + 0.75 * tt.len / n.avg_len)) ELSE 0 END) AS b
@@ -208,11 +219,16 @@ def r9_lexical_confidence(spark, sf_dir):
     return out.where("total_terms > 0").select("query_id", "chunk_id", "confidence", F.size("matched_terms").alias("n_matched"), "total_terms")
 
 
+def indexed(spark, sf_dir):
+    """(chunks with vectors, postings), the stored index of a collection."""
+    own = settled(E.hash_embed(chunks(spark, sf_dir)), "index")
+    return own, settled(R.postings(own), "postings")
+
+
 @query("r10_retrieve")
 def r10_retrieve(spark, sf_dir):
-    """Hybrid retrieval of all questions over all chunks."""
-    own = E.hash_embed(chunks(spark, sf_dir))
-    out = R.retrieve(asked(spark, sf_dir), own)
+    """Hybrid retrieval of all questions over all chunks: the index is made first, once, and then searched."""
+    out = R.retrieve(asked(spark, sf_dir), *indexed(spark, sf_dir))
     return out.select("query_id", "rank", "chunk_id", "filename", F.round("score", 6).alias("score"), F.round("final", 6).alias("final"))
 
 
@@ -253,7 +269,8 @@ def a5_retrieval_answer(spark, sf_dir):
 
 @query("a6_route_answers")
 def a6_route_answers(spark, sf_dir):
-    return A.route_answers(asked(spark, sf_dir), A.select_contexts(_hits(spark, sf_dir)), mode="auto")
+    q, hits = _asked_hits(spark, sf_dir)
+    return A.route_answers(q, A.select_contexts(hits), mode="auto")
 
 
 @query("a7_citations", f"WITH {_CTX_SQL} SELECT ctx.query_id, CAST(pos AS INTEGER) AS idx, ctx.chunk_id, 'doc-' || ctx.chunk_id || '.md' AS filename, round(kw.keyword_score, 6) AS score, 'internal' AS source_type FROM ctx JOIN kw ON kw.query_id = ctx.query_id AND kw.rank = ctx.rank")
@@ -365,7 +382,7 @@ def w9_web_contexts(spark, sf_dir):
 
 
 def _named_hits(spark, sf_dir):
-    found = R.keyword_search(asked(spark, sf_dir), R.postings(whole(spark, sf_dir)))
+    found = searched(spark, sf_dir)[1]
     return found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".md")).alias("filename"))
 
 
@@ -416,7 +433,8 @@ def e7_token_cost(spark, sf_dir):
 
 @query("e8_eval_run")
 def e8_eval_run(spark, sf_dir):
-    return V.eval_run(questions(spark, sf_dir), E.hash_embed(chunks(spark, sf_dir)))[0].select("metric", F.round("value", 6).alias("value"))
+    own, index = indexed(spark, sf_dir)
+    return V.eval_run(questions(spark, sf_dir), own, index=index)[0].select("metric", F.round("value", 6).alias("value"))
 
 
 @query("e9_compare_positions", f"""WITH {_EVAL_SQL}, f2 AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN position ELSE position + 1 END AS position FROM f)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +82,18 @@ def write_eval_report(metrics: DataFrame, per_query: DataFrame, path: str) -> No
     per_query.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/lines")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once for several uses: by checkpoint() where spark.checkpoint.dir is set, else kept in memory and on disk."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df.persist()
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="sparkrag-")
+        sc.setCheckpointDir(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """df computed once for several uses: a table in the shared folder, of which each use reads the columns it needs."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
