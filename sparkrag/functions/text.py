@@ -28,8 +28,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references to characters; only texts that hold any go to Python."""
-    return F.when(F.contains(text, F.lit("&")), F.pandas_udf(_unescape, "string")(text)).otherwise(text)
+    """Character references to characters. All texts go to Python, as a condition around a UDF doesn't keep rows from it."""
+    return F.pandas_udf(_unescape, "string")(text)
 
 
 def collapse(text: Column) -> Column:
@@ -201,6 +201,13 @@ def literal_to_vector(text: Column) -> Column:
     return F.from_json(text, "array<float>")
 
 
-def to_json_text(**fields: Column) -> Column:
-    """A struct of the given columns as JSON text."""
-    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+def answer_meta_json(kind: Column, used_chunk_ids: Column, citation_count: Column, web_fallback: Column | None = None) -> Column:
+    """An answer's metadata as JSON text: its kind, the chunks used, how many citations, and what a web fallback told (a map or struct)."""
+    web = F.create_map().cast("map<string, string>") if web_fallback is None else web_fallback
+    return F.to_json(F.struct(kind.alias("answer_kind"), used_chunk_ids.alias("used_chunk_ids"), citation_count.alias("citation_count"), web.alias("web_fallback")))
+
+
+def web_log_json(entries: Column, error: Column | None = None) -> Column:
+    """A web search's log as JSON text: an array of entries (title, url, score, fetched, used, rejected), null fields
+    kept, and an error or null."""
+    return F.to_json(F.struct(entries.alias("results"), (F.lit(None).cast("string") if error is None else error).alias("error")), {"ignoreNullFields": "false"})

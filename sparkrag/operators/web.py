@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrag.functions.text import clean_inline_html, decode_entities, normalize_query, query_terms, sanitize_web_text, strip
+from sparkrag.functions.text import clean_inline_html, decode_entities, normalize_query, query_terms, sanitize_web_text, strip, web_log_json
 from sparkrag.functions.urls import domain_allowed
 from sparkrag.settings import DEFAULTS
 
@@ -87,10 +87,11 @@ def apply_domain_acl(results: DataFrame, allow: list[str] | None = None, deny: l
 
 
 def web_search_log(results: DataFrame) -> DataFrame:
-    """(query_id, results_count, log) of results with a column `rejected`, null if kept."""
-    entry = F.struct("rank", "title", "url", F.round("relevance", 3).alias("score"), "rejected")
+    """(query_id, results_count, log) of results with a column `rejected`, null if kept, and columns `fetched` and `used` where known."""
+    told = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in results.columns else F.lit(False).alias(c) for c in ("fetched", "used")]
+    entry = F.struct("rank", "title", "url", F.round("relevance", 3).alias("score"), *told, "rejected")
     rows = results.groupBy("query_id").agg(F.count_if(F.col("rejected").isNull()).alias("results_count"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    return rows.select("query_id", "results_count", F.to_json(F.transform("entries", lambda e: e.dropFields("rank"))).alias("log"))
+    return rows.select("query_id", "results_count", web_log_json(F.transform("entries", lambda e: e.dropFields("rank"))).alias("log"))
 
 
 def web_evidence(queries: DataFrame, payloads: DataFrame, providers: dict[str, int], allow: list[str] | None = None, deny: list[str] | None = None, settings=DEFAULTS) -> DataFrame:

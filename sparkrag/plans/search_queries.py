@@ -359,7 +359,7 @@ def w6_domain_acl(spark, sf_dir):
 def w7_web_search_log(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("rejected", F.when(F.col("relevance") < 0.1, "low_relevance"))
     out = W.web_search_log(rows)
-    return out.select("query_id", "results_count", F.size(F.from_json("log", "array<struct<url: string>>")).cast("long").alias("n_entries"))
+    return out.select("query_id", "results_count", F.size(F.from_json("log", "results array<struct<url: string>>")["results"]).cast("long").alias("n_entries"))
 
 
 @query("w8_web_evidence")
