@@ -1,13 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document's bytes pass learned filters of WIDTH bytes. Besides the byte itself a filter sees how
-recently the same four bytes occurred before (a repeat code), so that it can learn repetition.
-Responses are max-pooled over overlapping chunks that cover the whole document; the chunks' pooled
-vectors are combined by their maximum and their mean, and a logistic layer gives one probability.
+A document's bytes pass learned filters of WIDTH bytes. Beside the byte channel there is a second input
+channel made by hand: how recently the same four bytes occurred before (a repeat code), so that the
+filters can learn repetition. Responses are max-pooled over overlapping chunks that cover the whole
+document; the chunks' pooled vectors are combined by their maximum and their mean, and a logistic
+layer gives one probability.
 
-Training takes a bounded sample of labelled documents (SAMPLE rows of at most LONGEST bytes, equal
-numbers of either label where there are enough) to the driver; the fitted weights, a few hundred KB, go to
-the tasks. Scoring works through every whole document in blocks of bounded size.
+Training takes a bounded sample of labelled documents (at most SAMPLE rows, whole texts, equal numbers
+of either label where there are enough) to the driver; the fitted weights, a few hundred KB, go to
+the tasks. Training and scoring work through every whole document in blocks of bounded size.
 
 Cases: a null or empty text is scored as one empty chunk; equal texts get equal scores; long texts
 are worked through block by block; with no labelled rows the model is the prior 0.5; an empty table
@@ -19,24 +20,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrag.llm.common import kept_rows, slices, training_ids, training_rows
+
 WIDTH, FILTERS = 7, 24
 CHUNK, STRIDE = 512, 256
 CODES = 256 + 6
-SAMPLE, LONGEST, EPOCHS = 3000, 16_384, 4
-#: Bytes scored at a time; a multiple of STRIDE.
-SPAN = 1 << 20
+SAMPLE, EPOCHS = 3000, 4
+#: Bytes worked on at a time; a multiple of STRIDE.
+SPAN = 1 << 16
 #: Furthest distance, in bytes, at which a repeat counts.
 NEAR = 512
 
 
 def repeat_codes(data: np.ndarray) -> np.ndarray:
     """0 where the four bytes from here don't occur within NEAR before, else 1 to 5 by distance."""
-    out = np.zeros(len(data), np.int64)
+    out = np.zeros(len(data), np.uint8)
     if len(data) < 8:
         return out
     wide = data.astype(np.uint64)
@@ -71,21 +73,32 @@ class ByteCnn:
         out += self.conv[0, 256:].take(codes, axis=0)
         return out
 
-    def pool(self, responses: np.ndarray) -> np.ndarray:
-        """Maxima over chunks of CHUNK positions that start every STRIDE."""
-        halves = np.maximum.reduceat(responses, np.arange(0, len(responses), STRIDE), axis=0)
-        return np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
+    def tops(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each chunk's largest response to each filter, its position and the repeat code there.
 
-    def pooled(self, raw: bytes) -> np.ndarray:
-        """The chunks' maxima, first and last chunk of neighbouring blocks overlapping like any others."""
-        data = np.frombuffer(raw, np.uint8) if raw else np.zeros(1, np.uint8)
-        parts = []
+        Chunks of CHUNK positions start every STRIDE, so each is two neighbouring parts of STRIDE positions.
+        """
+        found = []
         for at in range(0, len(data), SPAN):
-            lead = min(at, NEAR + STRIDE)
+            lead = min(at, NEAR)
             block = data[at - lead : at + SPAN + WIDTH - 1]
-            got = self.respond(block, repeat_codes(block))[lead - min(lead, STRIDE) : lead + SPAN]
-            parts.append(self.pool(got))
-        return np.maximum(np.concatenate(parts), 0)
+            codes = repeat_codes(block)
+            got, codes = self.respond(block, codes)[lead : lead + SPAN], codes[lead : lead + SPAN]
+            n = -(-len(got) // STRIDE)
+            got = np.concatenate([got, np.full((n * STRIDE - len(got), FILTERS), -np.inf, np.float32)])
+            parts = got.reshape(n, STRIDE, FILTERS)
+            most = parts.argmax(axis=1)
+            place = most + STRIDE * np.arange(n)[:, None]
+            found.append((np.take_along_axis(parts, most[:, None], axis=1)[:, 0], place + at, codes[place]))
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)]
+        if len(parts[0]) == 1:
+            return tuple(parts)
+        later = parts[0][1:] > parts[0][:-1]
+        return tuple(np.where(later, x[1:], x[:-1]) for x in parts)
+
+    def pooled(self, raw: bytes) -> np.ndarray:
+        """The chunks' maxima, at least 0."""
+        return np.maximum(self.tops(np.frombuffer(raw or b"\0", np.uint8))[0], 0)
 
     def score(self, raw: bytes) -> float:
         chunks = self.pooled(raw)
@@ -98,7 +111,7 @@ class ByteCnn:
             self.head[:] = 0
             return self
         rng = np.random.default_rng(seed)
-        prepared = [(d := np.frombuffer(t or b"\0", np.uint8), repeat_codes(d)) for t in texts]
+        prepared = [np.frombuffer(t or b"\0", np.uint8) for t in texts]
         params = [self.conv, self.bias, self.head]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         step, total = 0, epochs * -(-len(texts) // 16)
@@ -107,7 +120,7 @@ class ByteCnn:
                 grads = [np.zeros_like(p) for p in params]
                 shift = 0.0
                 for i in batch.tolist():
-                    shift += self._backward(*prepared[i], float(labels[i]), grads) / len(batch)
+                    shift += self._backward(prepared[i], float(labels[i]), grads) / len(batch)
                 step += 1
                 lr = rate * (1 - step / (total + 1))
                 self.shift -= np.float32(lr * shift)
@@ -118,11 +131,8 @@ class ByteCnn:
                     p -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def _backward(self, data: np.ndarray, codes: np.ndarray, label: float, grads: list[np.ndarray]) -> float:
-        responses = self.respond(data, codes)
-        starts = range(0, max(1, len(data) - STRIDE), STRIDE)
-        where = np.stack([responses[s : s + CHUNK].argmax(axis=0) + s for s in starts])
-        top = np.take_along_axis(responses, where, axis=0)
+    def _backward(self, data: np.ndarray, label: float, grads: list[np.ndarray]) -> float:
+        top, where, codes = self.tops(data)
         chunks = np.maximum(top, 0)
         best = chunks.argmax(axis=0)
         features = np.concatenate([chunks.max(axis=0), chunks.mean(axis=0)])
@@ -137,38 +147,20 @@ class ByteCnn:
         padded = np.concatenate([data, np.zeros(WIDTH - 1, data.dtype)])
         for k in range(WIDTH):
             np.add.at(grads[0][k], (padded[at + k], filters), value)
-        np.add.at(grads[0][0], (256 + codes[at], filters), value)
+        np.add.at(grads[0][0], (256 + codes[rows, filters].astype(np.int64), filters), value)
         np.add.at(grads[1], filters, value)
         return float(delta)
 
 
-def held_out(doc_id) -> F.Column:
-    """True for the documents kept from training: crc32 of the id as text is a multiple of 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, longest: int = LONGEST) -> pd.DataFrame:
-    """At most `sample` labelled rows not held out, chosen by a hash of their id, half of each label if possible."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    pick = lambda v: known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most `sample` rows of two integers
-    own = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text")
-    return own.join(chosen, "doc_id").orderBy("doc_id", "text").limit(sample).toPandas()
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> ByteCnn:
-    rows = training_sample(docs, labels, label, sample)
+    rows = training_rows(docs, training_ids(docs, labels, {"label": label}, sample), sample).orderBy("doc_id", "text").toPandas()
     return ByteCnn().fit([t.encode() for t in rows["text"]], rows["label"].to_numpy())
 
 
-def score_column(docs: DataFrame, model: ByteCnn, text: str = "text") -> F.Column:
-    """The score of a text column of docs, for use in a filter."""
+def keep_good(docs: DataFrame, model: ByteCnn, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores `least` or more; columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score((t or "").encode()) for t in texts], dtype=float)
-
-    return F.pandas_udf(run, "double")(F.col(text))
+    return kept_rows(docs, lambda texts: np.array([sent.value.score((t or "").encode()) >= least for t in texts], bool))
 
 
 def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
@@ -178,7 +170,7 @@ def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:
-            scores = [net.score((batch.column(1)[i].as_py() or "").encode()) for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            scores = [net.score((t or "").encode()) for part in slices(batch, "text") for t in part["text"].to_pylist()]
+            yield pa.record_batch([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

@@ -3,7 +3,8 @@
 `audio_features` keeps the payload as a mono 8-bit PCM WAV column and derives features from the
 stored bytes: polyphase resampling from 12 kHz to 8 kHz, overlapped log-mel frames, and energy
 segments found with hysteresis. Features of one row are an Arrow IPC stream whose `mel` column has
-the fixed-shape tensor type (FRAMES x MELS), beside each tensor's time span.
+the fixed-shape tensor type (FRAMES x MELS), beside each tensor's time span. `media_digests` reads
+these columns, and nothing else, and tells the payload, the tensors, their spans and the segments from them.
 
 Cases: null or empty text stores one block of 576 bytes of 255. Long texts are worked through in
 blocks of bounded size. Repeated rows and ties give repeated equal rows; an empty table gives an
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrag.llm.common import slices
+
 BLOCK = 576
 RATE_IN, RATE_OUT = 12_000, 8_000
 UP, DOWN, TAPS = 2, 3, 12
@@ -164,15 +167,10 @@ def _row(text: str | None) -> tuple[int, bytes, np.ndarray, list[tuple[float, fl
     return len((text or "").encode("utf-8")), media, mel, spans
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
-    for i in range(batch.num_rows):
-        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0
-        for doc_id, text in _batches(batch):
+        for doc_id, text in ((i, t) for part in slices(batch, "text") for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)):
             n, media, mel, spans = _row(text)
             rows.append((doc_id, n, media, tensor_ipc(mel), [{"start_s": a, "end_s": b} for a, b in spans]))
             size += len(media) + mel.nbytes
@@ -188,16 +186,27 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), span), strict=True)], names=["doc_id", "n_bytes", "media", "features", "segments"])
 
 
+def read_tensors(features: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log-mel frames of a row's tensors (frames x MELS, without the padding of the last), and the start and end of each tensor."""
+    table = pa.ipc.open_stream(features).read_all()
+    tensors = np.concatenate([c.to_numpy_ndarray() for c in table["mel"].chunks])
+    start, end = table["start_s"].to_numpy(), table["end_s"].to_numpy()
+    frames = int(round((end[-1] * RATE_OUT - FRAME) / HOP)) + 1
+    return tensors.reshape(-1, MELS)[:frames], start, end
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in DIGEST.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for doc_id, text in _batches(batch):
-            n, media, mel, spans = _row(text)
+        for i in range(batch.num_rows):
+            media = batch["media"][i].as_py()
             payload = wav_payload(media)
-            feature = f"frames={len(mel)};tensors={-(-len(mel) // FRAMES)};segments={len(spans)};first={spans[0][0] if spans else -1:.3f};mean={float(mel.mean(dtype=np.float64)):.2f}"
-            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            mel, start, _ = read_tensors(batch["features"][i].as_buffer())
+            spans = batch["segments"][i].as_py()
+            feature = f"frames={len(mel)};tensors={len(start)};segments={len(spans)};first={spans[0]['start_s'] if spans else -1:.3f};last={start[-1]:.3f};mean={float(mel.mean(dtype=np.float64)):.2f}"
+            rows.append((batch["doc_id"][i].as_py(), batch["n_bytes"][i].as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         cols = list(zip(*rows, strict=True)) or [[]] * len(types)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -207,6 +216,6 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features, SCHEMA)
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`audio_features` with digests of the stored and re-read bytes in place of the bytes themselves."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_digests, DIGEST)
+def media_digests(rows: DataFrame) -> DataFrame:
+    """Digests of what `audio_features` stored, read back from its columns."""
+    return rows.mapInArrow(_digests, DIGEST)

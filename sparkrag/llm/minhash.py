@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import LOWER, ByteHasher, mix64, stored, word_spans
+from sparkrag.llm.common import LOWER, ByteHasher, hot_keys, mix64, slices, spread_join, stored, word_spans
 from sparkrag.llm.components import connected_components
 
 WORDS, ROWS, BANDS = 5, 6, 32
 COORDS = ROWS * BANDS
 #: Bytes of text hashed at a time, and shingles and documents of a verification block.
-SPAN, BLOCK_SHINGLES, BLOCK_DOCS = 2 << 20, 1 << 18, 512
+SPAN, BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 1 << 18, 512
 _HASH = ByteHasher(23)
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -131,21 +131,19 @@ def band_hashes(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "class_a", "class_b", "bands"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sets = shingle_sets(part.column(1).to_pylist())
+        for part in slices(batch, "text", 512):
+            sets = shingle_sets(part["text"].to_pylist())
             bands = band_hashes(sketches(sets)).view(np.int64)
             mixed = [mix64(s ^ _U(0x1234567)) for s in sets]
             a = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
             b = np.array([int(s.sum(dtype=np.uint64)) for s in mixed], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1)))
-            yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), lists], names=names)
+            yield pa.record_batch([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), lists], names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in slices(batch, "text", 512):
             sets = [s.view(np.int64) for s in shingle_sets(part["text"].to_pylist())]
             yield pa.record_batch([part["group"], part["node"], pa.array(sets, pa.list_(pa.int64())), part["blocks"]], names=["group", "node", "shingles", "blocks"])
 
@@ -211,12 +209,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stored(own.mapInArrow(_sketch, "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"), "sketches")
     classes = stored(
-        sketched.where("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        sketched.where("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
     )
     buckets = classes.select("node", F.explode("bands").alias("band"))
-    smallest = buckets.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "u")
-    candidates = buckets.join(smallest, "band").select("u", F.col("node").alias("v")).where("u <> v").distinct()
+    bands = stored(buckets.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1"), "bands")
+    hot = hot_keys(bands, ["band"], "n", classes.count() * BANDS)
+    candidates = spread_join(buckets, bands.select("band", "u"), ["band"], hot).select("u", F.col("node").alias("v")).where("u <> v").distinct()
     groups = stored(connected_components(candidates), "groups")
 
     sizes = classes.select("node", "n_shingles").join(groups, "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
@@ -231,13 +230,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = paired.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_confirmed(percent), "u long, v long")
     found = connected_components(links)
 
-    by_class = classes.select("class_a", "class_b", "node").join(found, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "class_a", "class_b").join(by_class, ["class_a", "class_b"], "left")
+    by_class = stored(classes.select("class_a", "class_b", "node").join(found, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component")), "by-class")
+    key = ["class_a", "class_b"]
+    rows = spread_join(sketched.select("doc_id", "n_shingles", *key), by_class, key, hot_keys(classes, key, "n", sketched.count()), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without those that aren't the smallest id of their component. Rows with a null id stay."""
-    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs without those that aren't the smallest id of their component; columns as they are. Rows that repeat
+    an id are one document and stay or go together; rows with a null id stay."""
+    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

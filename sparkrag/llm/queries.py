@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.llm import byte_cnn, chat, html_extract, media, minhash, packing, pieces, suffix_dedup, toxicity, voronoi
-from sparkrag.llm.common import table
+from sparkrag.llm.common import held_out, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = byte_cnn.fit_quality(docs, table(spark, sf_dir, "labels"))
     return byte_cnn.score_documents(docs, model).select(
-        "doc_id", byte_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
@@ -41,7 +41,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(table(spark, sf_dir, "documents"))
+    return media.media_digests(media.audio_features(table(spark, sf_dir, "documents")))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,11 @@ Features are hashed words and the hashed first bytes of words (PREFIXES), A-Z lo
 sample each category keeps the KEEP features that are most strongly associated with it, by likelihood
 ratio (LEAST at least), among those in at least MIN_DOCS documents; their presence enters a ridge logistic model.
 
-Training takes at most SAMPLE labelled documents of at most LONGEST bytes to the driver. Scoring
-reads every whole document.
+The label table tells of one kind of toxicity beside quality, so the chain's default categories are junk
+(not of quality) and then toxic; more label columns are more categories, in the order they are given.
+
+The features of at most SAMPLE labelled documents, of their whole texts, go to the driver for training.
+Scoring reads every whole document, a bounded part of a batch at a time.
 
 Cases: a null or empty text has no features and gets the models' intercepts; equal texts get equal
 scores; a category without both labels in the sample is predicted by its share; a null label counts
@@ -27,17 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.byte_cnn import held_out
-from sparkrag.llm.common import LOWER, ByteHasher, word_spans
+from sparkrag.llm.common import LOWER, ByteHasher, kept_rows, slices, training_ids, training_rows, word_spans
 
-SAMPLE, LONGEST, FOLDS = 6000, 16_384, 5
+SAMPLE, FOLDS = 6000, 5
 BITS, PREFIXES, KEEP, MIN_DOCS = 22, (4, 5), 3000, 3
 #: Least likelihood ratio of a kept feature; chance passes it once in 2000 features.
 LEAST = 12.0
 _TRIM = np.zeros(256, bool)
 _TRIM[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _HASH = ByteHasher(11)
-_PIECE = 4 << 20
+_PIECE = 1 << 18
 
 
 def features(raw: bytes) -> np.ndarray:
@@ -48,21 +50,21 @@ def features(raw: bytes) -> np.ndarray:
         end = max(end, min(at + _PIECE, len(raw))) if end <= at else end
         found.append(_piece(np.frombuffer(raw[at:end], np.uint8)))
         at = end
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 def _piece(data: np.ndarray) -> np.ndarray:
     data = LOWER[data]
     start, end = word_spans(data)
     if not len(start):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     trim = _TRIM[data]
     for _ in range(3):  # up to three marks at either end
         start = start + (trim[start] & (end - start > 1))
         end = end - (trim[end - 1] & (end - start > 1))
     sums = _HASH.prefix(data)
     heads = [_HASH.spans(sums, start, np.minimum(end, start + n)) ^ np.uint64(0x5555555555555555 + n) for n in PREFIXES]
-    return np.unique(np.concatenate([_HASH.spans(sums, start, end), *heads]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.unique(np.concatenate([_HASH.spans(sums, start, end), *heads]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 class Linear:
@@ -165,16 +167,21 @@ def _level(p: np.ndarray, y: np.ndarray) -> float:
 CATEGORIES = {"junk": "1 - quality", "toxic": "toxic"}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = SAMPLE, longest: int = LONGEST) -> Chain:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = [features((t or "").encode()) for t in part["text"].to_pylist()]
+            yield pa.record_batch([*(part[c] for c in part.schema.names if c != "text"), pa.array(found, pa.list_(pa.int32()))], names=[*(c for c in part.schema.names if c != "text"), "features"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, sample: int = SAMPLE) -> Chain:
     """Fits on at most `sample` labelled documents, half of them with the last category where possible."""
     categories = CATEGORIES if categories is None else categories
-    last = list(categories)[-1]
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", *[F.expr(e).cast("int").alias(c) for c, e in categories.items()]).dropna().dropDuplicates(["doc_id"])
-    pick = lambda v: known.where(F.col(last) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most `sample` rows of a few integers
-    own = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text")
-    rows = own.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
-    return fit_chain([features(t.encode()) for t in rows["text"]], rows, list(categories))
+    rows = training_rows(docs, training_ids(docs, labels, categories, sample), sample)
+    got = rows.mapInArrow(_featured, ", ".join(["doc_id long", *(f"{c} int" for c in categories), "features array<int>"])).toArrow()
+    ends, flat = got["features"].combine_chunks().offsets.to_numpy(), got["features"].combine_chunks().values.to_numpy()
+    found = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fit_chain(found, got.select(list(categories)).to_pandas(), list(categories))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -184,20 +191,16 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = sent.value.predict([features((batch.column(1)[i].as_py() or "").encode()) for i in range(batch.num_rows)])
-            yes = [pa.array((got[:, i] >= level).astype(np.int32)) for i, level in enumerate(sent.value.levels)]
-            yield pa.record_batch([batch.column(0), *(pa.array(got[:, i]) for i in range(len(names))), *yes], names=["doc_id", *names, *flags])
+            for part in slices(batch, "text"):
+                got = sent.value.predict([features((t or "").encode()) for t in part["text"].to_pylist()])
+                yes = [pa.array((got[:, i] >= level).astype(np.int32)) for i, level in enumerate(sent.value.levels)]
+                yield pa.record_batch([part["doc_id"], *(pa.array(got[:, i]) for i in range(len(names))), *yes], names=["doc_id", *names, *flags])
 
     schema = ", ".join(["doc_id long", *(f"{n} double" for n in names), *(f"{n} int" for n in flags)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def flag_column(docs: DataFrame, chain: Chain, category: str = "toxic", text: str = "text") -> F.Column:
-    """Whether a text column of docs counts as of the category, for use in a filter."""
+def drop_flagged(docs: DataFrame, chain: Chain, category: str = "toxic") -> DataFrame:
+    """The rows of docs whose text doesn't count as of the category; columns as they are."""
     sent, at = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
-
-    def run(texts: pd.Series) -> pd.Series:
-        got = sent.value.predict([features((t or "").encode()) for t in texts])
-        return pd.Series(got[:, at] >= sent.value.levels[at])
-
-    return F.pandas_udf(run, "boolean")(F.col(text))
+    return kept_rows(docs, lambda texts: sent.value.predict([features((t or "").encode()) for t in texts])[:, at] < sent.value.levels[at])
