@@ -11,7 +11,8 @@ it away restores the text. Backslashes and line ends of a role are written as `\
 
 Cases: a null text or role is empty; a null turn comes first; rows with equal turns are ordered by
 role, then text; repeated rows are turns of their own; a null conversation id is a conversation of
-its own; an empty table gives no conversations; other columns are ignored.
+its own; in a reply tree a repeated node id counts once, and nodes on a cycle or under one have no path;
+an empty table gives no conversations; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,30 +49,35 @@ def message_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     )
 
 
+def unique_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes with one row for each (tree, node): of rows that repeat an id the smallest by parent, role and text counts."""
+    rest = [c for c in ("parent", "role", "text", "score") if c in nodes.columns]
+    return nodes.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("n")).select("tree", "node", *[F.col(f"n.{c}").alias(c) for c in rest])
+
+
 def root_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): for each leaf the nodes on its path to the root, up steps above it.
 
-    Round k joins the paths known so far with a table of jumps over 2**k nodes, and that table with
-    itself, so a path of n nodes takes log2(n) rounds, no more rows are made than the paths have
-    steps, and short trees leave the work early. Nodes whose parent is missing count as roots.
-    A cycle has no leaf, and so gives no path.
+    Round k joins the paths known so far with a table of jumps over 2**k nodes, made of the table before
+    joined with itself, so a path of n nodes takes log2(n) rounds, no more rows are made than the paths have
+    steps, and short trees leave the work early. Nodes whose parent is missing count as roots. Ids are
+    unique in a tree (see `unique_nodes`). What still jumps after as many rounds as the largest tree can
+    need leads into a cycle: such nodes have no root, and the leaves among them no path.
     """
     jump = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
     jump = stored(jump.alias("j").join(nodes.alias("n"), _same("j", "n", "to", "node"), "left_semi"), "jumps")
-    steps = nodes.alias("n").join(jump.alias("j"), _same("n", "j", "node", "to"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    parts, reach = [stored(steps, "steps")], 1
-    while not jump.isEmpty():
-        known = parts[0]
-        for part in parts[1:]:
-            known = known.unionByName(part)
-        more = known.alias("s").join(jump.alias("j"), _same("s", "j", "node", "node")).select("s.tree", "s.leaf", F.col("j.to").alias("node"), (F.col("s.up") + reach).alias("up"))
-        parts.append(stored(more, "steps"))
+    leaves = stored(nodes.alias("n").join(jump.alias("j"), _same("n", "j", "node", "to"), "left_anti").select("tree", F.col("node").alias("leaf")), "leaves")
+    largest = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps = []
+    while len(jumps) <= largest.bit_length() and not jump.isEmpty():
+        jumps.append(jump)
         a, b = jump.alias("a"), jump.alias("b")
         jump = stored(a.join(b, _same("a", "b", "to", "node")).select("a.tree", "a.node", "b.to"), "jumps")
-        reach *= 2
-    known = parts[0]
-    for part in parts[1:]:
-        known = known.unionByName(part)
+    steps = leaves.alias("l").join(jump.alias("j"), _same("l", "j", "leaf", "node"), "left_anti").select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    known = stored(steps, "steps")
+    for k, jump in enumerate(jumps):
+        more = known.alias("s").join(jump.alias("j"), _same("s", "j", "node", "node")).select("s.tree", "s.leaf", F.col("j.to").alias("node"), (F.col("s.up") + 2**k).alias("up"))
+        known = known.unionByName(stored(more, "steps"))
     return known
 
 
@@ -154,6 +160,15 @@ def read_back(formatted: Column, spans: Column) -> Column:
 
 def format_conversations(rows: DataFrame, keep: int | None = None) -> DataFrame:
     """Rows of conversations to (tree, leaf, branch, score, formatted, loss_spans)."""
-    nodes = stored(message_tree(rows), "nodes")
+    return _formatted(message_tree(rows), keep)
+
+
+def format_trees(nodes: DataFrame, keep: int | None = None) -> DataFrame:
+    """As `format_conversations`, of nodes (tree, node, parent, role, text, score) of any reply trees."""
+    return _formatted(unique_nodes(nodes), keep)
+
+
+def _formatted(nodes: DataFrame, keep: int | None) -> DataFrame:
+    nodes = stored(nodes, "nodes")
     paths = root_paths(nodes)
     return format_paths(paths, nodes, rank_branches(paths, nodes, keep))
