@@ -12,8 +12,10 @@ A query is sent to the cells whose upper bound reaches its lower bound, and to n
 data meet in blocks of bounded size, each block pair keeps its K+1 best rows a query, and those are
 ranked once more. Of the two sides the queries are replicated, as they are fewer by far.
 
-Cases: null ids, null vectors, vectors with null or non-finite components or of another length than
-the longest take no part; a repeated (id, vector) row counts once; ties go to the smaller id; with
+Vectors of different lengths have no product: each is searched among those of its own length, whose cells
+have pivots of that length. More than MOST_LENGTHS lengths are an error.
+
+Cases: null ids, null or empty vectors, and vectors with null or non-finite components take no part; a repeated (id, vector) row counts once; ties go to the smaller id; with
 fewer candidates than K all are returned; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from sparkrag.llm.common import stored
 
 #: Rows of a data block and of a query block, and the most pivots.
 BLOCK, MOST_PIVOTS = 4096, 1024
+MOST_LENGTHS = 64
 
 
 def quantised(col: Column) -> Column:
@@ -56,15 +60,33 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _cells(pivots: np.ndarray):
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch for each length of their vectors `v`, with the vectors as a matrix."""
+    size = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+    for n in np.unique(size):
+        part = batch.take(pa.array(np.flatnonzero(size == n)))
+        yield part, matrix(part["v"])
+
+
+class Pivots:
+    """centres: a vector for each cell; cells of the same length are told apart by distance."""
+
+    def __init__(self, centres: list[list[int]]):
+        size = np.array([len(c) for c in centres])
+        self.count = len(centres)
+        self.of = {int(n): (at := np.flatnonzero(size == n), np.array([centres[i] for i in at], np.float64)) for n in np.unique(size)}
+
+
+def _cells(pivots: Pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch["v"]).astype(np.float64)
-            if len(x):
-                far = np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None], 0)
-                cell = far.argmin(1)
-                reach = np.linalg.norm(x - pivots[cell], axis=1)
-                yield pa.record_batch([batch["key"], batch["v"], batch["ids"], pa.array(cell), pa.array(reach)], names=["key", "v", "ids", "cell", "reach"])
+            for part, x in by_length(batch):
+                cells, centres = pivots.of[x.shape[1]]
+                x = x.astype(np.float64)
+                far = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None], 0)
+                best = far.argmin(1)
+                reach = np.linalg.norm(x - centres[best], axis=1)
+                yield pa.record_batch([part["key"], part["v"], part["ids"], pa.array(cells[best]), pa.array(reach)], names=["key", "v", "ids", "cell", "reach"])
 
     return run
 
@@ -72,32 +94,35 @@ def _cells(pivots: np.ndarray):
 class Summary:
     """What the driver keeps of the cells: as many rows as there are pivots."""
 
-    def __init__(self, pivots: np.ndarray, rows: list, keep: int):
-        self.pivots, self.keep, n = pivots, keep, len(pivots)
+    def __init__(self, pivots: Pivots, rows: list, keep: int):
+        self.pivots, self.keep, n = pivots, keep, pivots.count
         self.count, self.radius, self.near = np.zeros(n, np.int64), np.full(n, -1.0), np.full((n, keep), np.inf)
         for r in rows:
             self.count[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]
             self.near[r["cell"], : len(r["near"])] = r["near"]
 
-    def needed(self, q: np.ndarray) -> np.ndarray:
-        """For each query, which cells may hold one of its best rows."""
+    def needed(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of q and cells that may hold one of their best rows."""
+        cells, centres = self.pivots.of[q.shape[1]]
+        near, radius = self.near[cells], np.maximum(self.radius[cells], 0)
         q = q.astype(np.float64)
-        at, size = q @ self.pivots.T, np.linalg.norm(q, axis=1)[:, None]
-        slack = 1e-6 * (1 + np.abs(at) + size * np.maximum(self.radius, 0))
+        at, size = q @ centres.T, np.linalg.norm(q, axis=1)[:, None]
+        slack = 1e-6 * (1 + np.abs(at) + size * radius)
         with np.errstate(invalid="ignore"):
-            low = np.nan_to_num(at[:, :, None] - size[:, :, None] * self.near[None], nan=-np.inf).reshape(len(q), -1)
-        low[:, np.isinf(self.near.reshape(-1))] = -np.inf
+            low = np.nan_to_num(at[:, :, None] - size[:, :, None] * near[None], nan=-np.inf).reshape(len(q), -1)
+        low[:, np.isinf(near.reshape(-1))] = -np.inf
         least = np.partition(low, -self.keep, axis=1)[:, -self.keep]
-        return (at + size * np.maximum(self.radius, 0) + slack >= (least - slack.max(axis=1))[:, None]) & (self.count > 0)
+        row, cell = np.nonzero((at + size * radius + slack >= (least - slack.max(axis=1))[:, None]) & (self.count[cells] > 0))
+        return row, cells[cell]
 
 
 def _sent(summary: Summary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, cell = np.nonzero(summary.needed(matrix(part["v"])))
-                yield pa.record_batch([part["key"].take(pa.array(row)), part["v"].take(pa.array(row)), pa.array(cell)], names=["key", "v", "cell"])
+                for part, q in by_length(batch.slice(at, 256)):
+                    row, cell = summary.needed(q)
+                    yield pa.record_batch([part["key"].take(pa.array(row)), part["v"].take(pa.array(row)), pa.array(cell)], names=["key", "v", "cell"])
 
     return run
 
@@ -128,18 +153,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     keep = k + 1
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vec_col)).alias("v"))
     rows = stored(rows.withColumn("key", F.sha2(F.to_json("v"), 256)), "vectors")
-    facts = rows.agg(F.max(F.size("v")).alias("size"), F.count("*").alias("n")).first()
-    if not facts["n"]:
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy("size").limit(MOST_LENGTHS + 1).collect()
+    if not sizes:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    rows = rows.where(F.size("v") == facts["size"])
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
 
     first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     merged = rows.select("key", "id").distinct().withColumn("at", first).where(F.col("at") <= keep).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     distinct = merged.join(rows.groupBy("key").agg(F.first("v").alias("v")), "key").select("key", "v", "ids")
 
-    n_pivots = pivots or int(min(MOST_PIVOTS, max(8, facts["n"] // block)))
-    chosen = rows.select("key", "v").distinct().orderBy(F.substring("key", 9, 16), "key").limit(n_pivots).collect()  # at most MOST_PIVOTS rows
-    centres = np.array([r["v"] for r in chosen], np.float64)
+    n = sum(r["n"] for r in sizes)
+    n_pivots = pivots or int(min(MOST_PIVOTS, max(8, n // block)))
+    centres = []  # at most MOST_PIVOTS rows, and one for each length
+    for r in sizes:
+        share = max(1, round(n_pivots * r["n"] / n))
+        centres += [c["v"] for c in rows.where(F.size("v") == r["size"]).select("key", "v").distinct().orderBy(F.substring("key", 9, 16), "key").limit(share).collect()]
+    centres = Pivots(centres)
     data = stored(distinct.mapInArrow(_cells(centres), "key string, v array<long>, ids array<long>, cell long, reach double"), "cells")
 
     nearest = F.row_number().over(Window.partitionBy("cell").orderBy("reach"))
@@ -151,7 +181,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     queries = asked.select("key").distinct().join(data.select("key", "v"), "key")
     sent = stored(queries.mapInArrow(_sent(summary), "key string, v array<long>, cell long"), "sent")
     load = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
-    blocks = lambda count: F.element_at(F.lit([max(1, -(-int(count.get(c, 0)) // block)) for c in range(len(centres))]), F.col("cell").cast("int") + 1)
+    blocks = lambda count: F.element_at(F.lit([max(1, -(-int(count.get(c, 0)) // block)) for c in range(centres.count)]), F.col("cell").cast("int") + 1)
     data_blocks, query_blocks = blocks(dict(enumerate(summary.count.tolist()))), blocks(load)
     number = F.abs(F.xxhash64("key"))
     spread = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int") - 1))
