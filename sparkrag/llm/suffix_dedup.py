@@ -3,12 +3,16 @@
 Every string of WIDTH bytes holds a fingerprint of GRAM bytes that is the rightmost smallest of its
 hashes, so equal strings have equal fingerprints at the same place. Neighbouring strings with one
 fingerprint make a context: the bytes that they cover together. Only contexts whose fingerprint occurs
-more than once can hold repeats. Equal contexts are counted as one row. Different contexts with one
-fingerprint go to a task together, which sorts their candidate suffixes, finds for each the previous
-and next smaller position in suffix order, and so its longest previous factor (and likewise, by larger
-positions, its longest next factor): a factor of WIDTH bytes or more is a repeat. Fingerprints
-with more than CONTEXTS different contexts have their strings counted by hash in Spark instead, where
-no task holds a whole group.
+more than once can hold repeats. The different contexts of a fingerprint go to a task together, those
+that occur more than once with their first and their last copy. The task sorts the suffixes that start
+a string, takes the common prefixes of neighbours (up to WIDTH), and finds for each the previous and the next smaller
+position in suffix order and so its longest previous factor (and by larger positions its longest next
+factor): a factor of WIDTH bytes or more is a repeat. What holds for the last copy of a context holds
+for all between it and the first.
+
+A fingerprint with more than CONTEXTS different contexts (a very common line in ever other
+surroundings) would be a group without bound. It is split by the strings themselves: Spark groups equal
+strings by a 128-bit hash, and each group keeps its first and last place. No case is dropped by that.
 
 Cases: a null text is empty; texts shorter than WIDTH have no repeats; the first copy is the one with
 the smallest id, then text hash, then place; rows that repeat id and text count as copies of each other,
@@ -26,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import ByteHasher, stored
+from sparkrag.llm.common import ByteHasher, hot_keys, slices, spread_join, stored
 
 WIDTH, GRAM = 200, 64
 #: Most different contexts of a fingerprint that one task sorts; bytes sorted at a time; piece of a long text.
-CONTEXTS, BATCH, PIECE = 8192, 1 << 20, 1 << 20
+CONTEXTS, BATCH, PIECE = 2048, 1 << 19, 1 << 18
 NO_ID = -(1 << 63)
 _HASH = ByteHasher(41)
 
@@ -65,36 +69,71 @@ def fingerprints(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tupl
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
 
 
-def _smaller(order: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each entry of a suffix order, the index of the previous and of the next entry with a smaller position; -1 if none."""
-    before, after, stack = [-1] * len(order), [-1] * len(order), []
-    for i, p in enumerate(order):
-        while stack and order[stack[-1]] > p:
-            after[stack.pop()] = i
-        before[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return before, after
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Rank of each key among the distinct keys."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
+    return out
 
 
-def factor_flags(text: bytes, positions: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes at `positions` (ascending): has its longest previous factor `width` bytes, has its longest next factor.
+def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `starts` (ascending) in the order of their first `width` bytes, ties by position, and the
+    common prefix of each with the one before: `width`, or 0 for all that is less.
 
-    Factors are compared up to `width` bytes, so the longest common prefix of two suffixes is full
-    if the lower bounds between them in suffix order all are.
+    Ranks by a prefix's length come from the ranks of its parts; prefixes grow threefold each time
+    while three ranks fit one key.
+    """
+    n, k = len(data), 1
+    rank, bits = data.astype(np.int64), 8
+    after = lambda d: np.concatenate([rank[d:], np.zeros(min(d, n), np.int64)])
+    while k < 8 and 2 * k <= width:
+        rank, k, bits = rank << 8 * k | after(k), 2 * k, 16 * k
+    if bits > 16:
+        rank, bits = _dense(rank), max(16, n.bit_length())
+    ways = 3 if bits <= 21 else 2
+    while ways * k < width:
+        key = rank
+        for i in range(1, ways):
+            key = key << bits | after(i * k)
+        rank, k = _dense(key), ways * k
+    key = rank[starts]
+    for i in range(1, ways):
+        key = key << bits | rank[starts + i * (width - k) // (ways - 1)]
+    block = _dense(key)
+    order = np.argsort(block, kind="stable") if bits > 31 else np.sort(block << 32 | np.arange(len(block))) & 0xFFFFFFFF
+    same = block[order[1:]] == block[order[:-1]]
+    return order, np.concatenate([np.zeros(min(1, len(order)), np.int64), np.where(same, width, 0)])
+
+
+def _back(place: np.ndarray, common: np.ndarray, width: int) -> np.ndarray:
+    """Common prefix, if it is `width`, with the nearest suffix before in suffix order whose place is smaller.
+
+    All suffixes jump at once, each over those before it that have larger places; a jump ends early
+    where the common prefix falls below `width`.
     """
-    suffixes = [text[p : p + width] for p in positions]
-    order = sorted(range(len(positions)), key=suffixes.__getitem__)
-    full = [False] + [suffixes[a] == suffixes[b] for a, b in zip(order[:-1], order[1:], strict=True)]
-    block = np.cumsum(~np.array(full, bool))
-    flags = []
-    for ranks in (order, [-i for i in order]):  # smaller positions, then larger ones
-        before, after = map(np.array, _smaller(ranks))
-        here = np.arange(len(order))
-        reach = lambda other: (other >= 0) & (block[np.maximum(other, 0)] == block[here])  # noqa: B023, E731
-        flag = np.zeros(len(order), bool)
-        flag[order] = reach(before) | reach(after)
-        flags.append(flag)
-    return flags[0], flags[1]
+    low, prev = common.copy(), np.arange(len(place)) - 1
+    live = np.flatnonzero((low >= width) & (place[prev] > place))
+    while len(live):
+        j = prev[live]
+        low[live], prev[live] = np.minimum(low[live], low[j]), prev[j]
+        live = live[(low[live] >= width) & (place[prev[live]] > place[live])]
+    return np.where(low >= width, low, 0)
+
+
+def longest_factors(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factors of the suffixes at `starts`: what they have in common with one
+    that starts earlier, or later. Lengths up to `width`; 0 stands for all that are shorter."""
+    order, common = suffix_order(data, starts, width)
+    place, reverse = starts[order], np.concatenate([common[:1], common[:0:-1]])
+    out = []
+    for p in (place, -place):
+        both = np.maximum(_back(p, common, width), _back(p[::-1], reverse, width)[::-1])
+        found = np.empty_like(both)
+        found[order] = both
+        out.append(found)
+    return out[0], out[1]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -107,8 +146,7 @@ def _anchors(with_hashes: bool, width: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 found = [fingerprints(np.frombuffer((t or "").encode(), np.uint8), width, gram) for t in part["text"].to_pylist()]
                 if not with_hashes:
                     yield pa.record_batch([pa.array(np.concatenate([f[0] for f in found]).view(np.int64))], names=["h"])
@@ -122,63 +160,73 @@ def _anchors(with_hashes: bool, width: int, gram: int):
 
 
 def _cut(width: int):
+    names = ["h", "c", "strings", "hot", "again", "a", "b", "start", "bytes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch["text"][i].as_py().encode()
+                now = a, b = batch["a"][i].as_py(), batch["b"][i].as_py()
+                if now == last:  # a row that repeats id and text
+                    continue
+                last, raw = now, batch["text"][i].as_py().encode()
                 rows = pa.RecordBatch.from_struct_array(batch["places"][i].values)
                 texts = [raw[s : s + n + width - 1] for s, n in zip(rows["start"].to_pylist(), rows["strings"].to_pylist(), strict=True)]
-                yield pa.record_batch([*(rows[c] for c in ("h", "c", "strings", "hot")), pa.array([batch["a"][i].as_py()] * len(texts), pa.int64()), pa.array([batch["b"][i].as_py()] * len(texts), pa.int64()), rows["start"], pa.array(texts, pa.binary())], names=["h", "c", "strings", "hot", "a", "b", "start", "bytes"])
+                ids = [pa.array([x] * len(texts), pa.int64()) for x in now]
+                yield pa.record_batch([*(rows[c] for c in names[:5]), *ids, rows["start"], pa.array(texts, pa.binary())], names=names)
 
     return run
 
 
 def _factors(width: int):
-    """Streams contexts sorted by (h, a, b, start); yields (h, c, later runs, all runs) of those with repeats."""
+    """Streams contexts sorted by (h, a, b, start); yields (h, c, later, both, again) of those with repeats: which
+    strings of the first copy occur earlier, which anywhere else, and which of the last copy occur earlier."""
     runs_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    types = [pa.int64(), pa.int64(), runs_type, runs_type, runs_type]
 
-    def solve(keys: list[tuple[int, int]], texts: list[bytes], strings: list[int]) -> Iterator[tuple]:
-        text = b"".join(texts)
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
+    def solve(keys: list[tuple[int, int]], last: list[bool], texts: list[bytes], strings: list[int]) -> Iterator[tuple]:
+        base = np.cumsum([0, *map(len, texts)])[:-1]
         count = np.array(strings)
-        owner = np.repeat(np.arange(len(texts)), count)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        place = base[owner] + inside
-        data = np.frombuffer(text, np.uint8)
-        hashes = _HASH.windows(_HASH.prefix(data), width)[place]
-        ordered = np.sort(hashes)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(twice):
-            return
-        at = np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)
-        chosen = np.flatnonzero(twice[at] == hashes)
-        later, other = factor_flags(text, place[chosen].tolist(), width)
-        for i in np.unique(owner[chosen]).tolist():
-            lo, hi = np.searchsorted(owner[chosen], [i, i + 1])
-            flags = np.zeros((2, strings[i]), bool)
-            flags[0, inside[chosen[lo:hi]]] = later[lo:hi]
-            flags[1, inside[chosen[lo:hi]]] = later[lo:hi] | other[lo:hi]
-            if flags[1].any():
-                yield *keys[i], *([{"lo": a, "hi": b} for a, b in _runs(f)] for f in flags)
+        ends = np.cumsum(count)
+        place = np.repeat(base - (ends - count), count) + np.arange(ends[-1])
+        previous, next_ = longest_factors(np.frombuffer(b"".join(texts), np.uint8), place, width)
+        later, both = previous >= width, (previous >= width) | (next_ >= width)
+        held = np.add.reduceat(both, ends - count) > 0
+        found: dict[tuple[int, int], list] = {}
+        for i in np.flatnonzero(held).tolist():
+            mine = slice(ends[i] - count[i], ends[i])
+            row = found.setdefault(keys[i], [[], [], []])
+            if last[i]:
+                row[2] = _runs(later[mine])
+            else:
+                row[0], row[1] = _runs(later[mine]), _runs(both[mine])
+        for key, row in found.items():
+            yield *key, *row
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), runs_type, runs_type), strict=True)], names=["h", "c", "later", "both"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "c", "later", "both", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, strings, size, last = [], [], [], 0, None
+        keys, last, texts, strings, size, now = [], [], [], [], 0, None
+        seen: set[tuple] = set()
         for batch in batches:
-            for h, c, n, text in zip(*(batch[k].to_pylist() for k in ("h", "c", "strings", "bytes")), strict=True):
-                if keys and keys[-1] == (h, c):  # cut from a row that repeats id and text
+            for h, c, n, again, text in zip(*(batch[k].to_pylist() for k in ("h", "c", "strings", "again", "bytes")), strict=True):
+                if h != now:
+                    seen.clear()
+                    if size > BATCH:
+                        yield record(list(solve(keys, last, texts, strings)))
+                        keys, last, texts, strings, size = [], [], [], [], 0
+                now = h
+                if (c, again) in seen:  # cut from a row that repeats id and text
                     continue
-                if h != last and size > BATCH:
-                    yield record(list(solve(keys, texts, strings)))
-                    keys, texts, strings, size = [], [], [], 0
+                seen.add((c, again))
                 keys.append((h, c))
+                last.append(again)
                 texts.append(text)
                 strings.append(n)
-                size, last = size + len(text), h
-        yield record(list(solve(keys, texts, strings)) if keys else [])
+                size += len(text)
+        yield record(list(solve(keys, last, texts, strings)) if keys else [])
 
     return run
 
@@ -192,8 +240,8 @@ def _strings(width: int):
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch["bytes"][i].as_py(), np.uint8)
                 x, y = (k.windows(k.prefix(data), width).view(np.int64) for k in (_HASH, other))
-                same = [pa.array([batch[k][i].as_py()] * len(x), pa.int64()) for k in ("h", "c", "a", "b", "start")]
-                yield pa.record_batch([*same, pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], names=["h", "c", "a", "b", "start", "at", "x", "y"])
+                same = [pa.array([batch[k][i].as_py()] * len(x), batch[k].type) for k in ("h", "c", "again", "a", "b", "start")]
+                yield pa.record_batch([*same, pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], names=["h", "c", "again", "a", "b", "start", "at", "x", "y"])
 
     return run
 
@@ -202,14 +250,16 @@ _RUNS = "array<struct<lo: long, hi: long>>"
 
 
 def _hot_factors(contexts: DataFrame, width: int) -> DataFrame:
-    """What `_factors` yields, a row for each string, by counting: no task holds all contexts of a fingerprint."""
-    rows = contexts.mapInArrow(_strings(width), "h long, c long, a long, b long, start long, at long, x long, y long")
+    """What `_factors` yields, by counting: no task holds all contexts of a fingerprint."""
+    rows = contexts.mapInArrow(_strings(width), "h long, c long, again boolean, a long, b long, start long, at long, x long, y long")
     here = F.struct("a", "b", (F.col("start") + F.col("at")).alias("p"))
     # A row that repeats id and text gives the same places again, which aren't other copies.
     firsts = rows.groupBy("h", "x", "y").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
     run = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
-    found = rows.join(firsts, ["h", "x", "y"]).select("h", "c", F.when(here != F.col("first"), run).otherwise(F.array().cast(_RUNS)).alias("later"), run.alias("both"))
-    return found.groupBy("h", "c").agg(F.flatten(F.collect_list("later")).alias("later"), F.flatten(F.collect_list("both")).alias("both"))
+    none = F.array().cast(_RUNS)
+    later = F.when(here != F.col("first"), run).otherwise(none)
+    found = rows.join(firsts, ["h", "x", "y"]).select("h", "c", F.when(F.col("again"), none).otherwise(later).alias("later"), F.when(F.col("again"), none).otherwise(run).alias("both"), F.when(F.col("again"), later).otherwise(none).alias("again"))
+    return found.groupBy("h", "c").agg(*[F.flatten(F.collect_list(k)).alias(k) for k in ("later", "both", "again")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -223,30 +273,33 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
     occur earlier too (keep_first) or anywhere else; spans may overlap."""
     own = keyed(docs)
     long_ = own.where(F.octet_length("text") >= width)
-    counts = long_.mapInArrow(_anchors(False, width, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    counts = stored(long_.mapInArrow(_anchors(False, width, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     anchors = long_.mapInArrow(_anchors(True, width, gram), "a long, b long, h long, c long, start long, strings int")
-    shared = stored(anchors.join(counts, "h"), "contexts")
+    shared = stored(spread_join(anchors, counts.select("h"), ["h"], hot_keys(counts, ["h"], "n", total)), "contexts")
 
     here = F.struct("a", "b", "start")
-    distinct = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(here).alias("first"), F.first("strings").alias("strings"))
+    distinct = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(here).alias("first"), F.max(here).alias("last"), F.first("strings").alias("strings"))
     distinct = stored(distinct, "distinct")
-    many = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    several = distinct.join(many, "h")
-    one = F.struct("h", "c", "strings", (F.col("m") > contexts).alias("hot"), F.col("first.start").alias("start"))
-    places = several.groupBy("first.a", "first.b").agg(F.collect_list(one).alias("places"))
-    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, a long, b long, start long, bytes binary")
-    found = cut.where("not hot").select("h", "c", "strings", "a", "b", "start", "bytes").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}")
-    if not many.where(F.col("m") > contexts).isEmpty():
+    many = distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > contexts)
+    hot = stored(many.withColumn("hot", F.lit(True)), "hot")  # at most a fingerprint for each `contexts` contexts
+    marked = spread_join(distinct, hot.select("h", "hot"), ["h"], hot_keys(hot, ["h"], "m", distinct.count()), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    one = lambda at, again: F.struct(*[F.col(k) for k in ("h", "c", "strings", "hot")], F.lit(again).alias("again"), F.col(f"{at}.a").alias("a"), F.col(f"{at}.b").alias("b"), F.col(f"{at}.start").alias("start"))
+    copies = F.when(F.col("first") < F.col("last"), F.array(one("first", False), one("last", True))).otherwise(F.array(one("first", False)))
+    places = marked.select(F.explode(copies).alias("x")).select("x.*").groupBy("a", "b").agg(F.collect_list(F.struct("h", "c", "strings", "hot", "again", "start")).alias("places"))
+    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, again boolean, a long, b long, start long, bytes binary")
+    found = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}, again {_RUNS}")
+    if not hot.isEmpty():
         found = found.unionByName(_hot_factors(cut.where("hot").drop("hot"), width))
 
-    known = distinct.join(found, ["h", "c"], "left").select("h", "c", "n", "first", "later", "both")
-    rows = shared.join(known.where("n > 1 or both is not null"), ["h", "c"])
-    all_strings = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("strings").cast("long").alias("hi")))
+    known = distinct.join(found, ["h", "c"], "left").select("h", "c", "n", "first", "later", "both", "again", (F.col("first") == F.col("last")).alias("same"))
+    known = stored(known.where("both is not null or n > 1"), "known")
+    rows = spread_join(shared, known, ["h", "c"], hot_keys(known, ["h", "c"], "n", shared.count()))
     nothing = F.array().cast(_RUNS)
     if keep_first:
-        runs = F.when(here == F.col("first"), F.coalesce("later", nothing)).otherwise(all_strings)
-    else:
-        runs = F.when(F.col("n") > 1, all_strings).otherwise(F.coalesce("both", nothing))
+        runs = F.when(here == F.col("first"), F.coalesce("later", nothing)).otherwise(F.coalesce("again", nothing))
+    else:  # the rows of one place repeat id and text, and are copies of each other
+        runs = F.when(F.col("same") & (F.col("n") > 1), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("strings").cast("long").alias("hi")))).otherwise(F.coalesce("both", nothing))
     spans = F.transform(runs, lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start") + (width - 1)).alias("hi")))
     return rows.select("a", "b", spans.alias("spans")).where(F.size("spans") > 0).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -298,21 +351,30 @@ def _id() -> Column:
     return F.when(F.col("a") != NO_ID, F.col("a")).alias("doc_id")
 
 
-def _texts(texts, spans):
-    import pandas as pd
+def _texts(names: list[str]):
+    at = names.index("text")
 
-    out = []
-    for text, row in zip(texts, spans, strict=True):
-        raw = text.encode()
-        out.append(text if row is None or not len(row) else without(raw, merged([(s["lo"], s["hi"]) for s in row])).decode("utf-8", "ignore"))
-    return pd.Series(out, dtype=object)
+    def cut(text: str | None, spans: pa.Array, i: int) -> str | None:
+        found = _spans_of(spans, i)
+        return without(text.encode(), found).decode("utf-8", "ignore") if text and found else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                cols = part["row"].flatten()
+                texts = [cut(t, part["spans"], i) for i, t in enumerate(cols[at].to_pylist())]
+                cols[at] = pa.array(texts, cols[at].type)
+                yield pa.record_batch(cols, names=names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs with the repeats cut out of `text`, other columns as they are. What a run's edge leaves of a
     character goes with it. Null texts stay null."""
-    rows = docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_b": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    spans = repeated_spans(docs, **how).withColumnsRenamed({"a": "_a", "b": "_b", "spans": "_spans"})
-    joined = rows.join(spans, ["_a", "_b"], "left")
-    text = F.when(F.col("_spans").isNotNull(), F.pandas_udf(_texts, "string")(F.coalesce(F.col("text"), F.lit("")), "_spans")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name can clash
+    text = F.col("row")["text"]
+    rows = row.select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NO_ID)).alias("a"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("b"))
+    joined = rows.join(repeated_spans(docs, **how), ["a", "b"], "left")
+    return joined.select("row", "spans").mapInArrow(_texts(docs.columns), docs.schema)
