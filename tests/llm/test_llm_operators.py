@@ -5,14 +5,16 @@ import collections
 import hashlib
 import html
 import random
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrag.llm import byte_cnn, chat, components, html_extract, media, minhash, packing, pieces, suffix_dedup, toxicity, voronoi
+from sparkrag.llm import byte_cnn, chat, common, components, html_extract, media, minhash, packing, pieces, suffix_dedup, toxicity, voronoi
 from sparkrag.llm.tokens import ByteBpe
 
 DOCS = "doc_id long, text string, score double, node long, bands string"
@@ -111,6 +113,12 @@ def test_top_k(spark):
     for how in ({}, {"pivots": 12, "block": 50}):
         got = sorted(tuple(r) for r in voronoi.top_k(df, every=10, **how).collect())
         assert got == _brute_top(rows, 10, 5)
+    longer = [(600 + i, [float(x) for x in rng.standard_normal(6)]) for i in range(25)]
+    mixed = df.unionByName(spark.createDataFrame([(i, v, 1) for i, v in longer], "vec_id long, embedding array<float>, score int"))
+    want = sorted(_brute_top(rows, 10, 5) + _brute_top(longer, 10, 5))
+    assert sorted(tuple(r) for r in voronoi.top_k(mixed, every=10, pivots=12, block=50).collect()) == want
+    with pytest.raises(ValueError, match="lengths"):
+        voronoi.top_k(spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(voronoi.MOST_LENGTHS + 1)], "vec_id long, embedding array<float>"))
     few = df.where("vec_id in (10, 11, 12)")
     assert voronoi.top_k(few, every=10).count() == 2
     assert voronoi.top_k(df.limit(0)).count() == 0
@@ -142,20 +150,69 @@ def test_quality_classifier(spark):
     held = [(i, q) for i, _, q, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.3) == bool(q) for i, q in held]) > 0.95
     assert all(0 <= s <= 1 for s in got.values())
-    assert byte_cnn.score_documents(docs.limit(0), model).count() == 0
+    assert len(got) == len(rows) + len({i for i, _ in ODD}) and got[9001] == got[9002]
+    kept = byte_cnn.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in got.items() if x >= 0.3}
+    assert byte_cnn.score_documents(docs.limit(0), model).count() == 0 and byte_cnn.keep_good(docs.limit(0), model).count() == 0
     assert byte_cnn.fit_quality(docs, labels.limit(0)).score(b"x") == 0.5
 
 
-def test_chunks_cover_long_texts():
-    net = byte_cnn.ByteCnn()
-    raw = bytes(random.Random(2).choices(range(32, 120), k=5000))
-    whole = net.pooled(raw)
-    old = byte_cnn.SPAN
-    try:
-        byte_cnn.SPAN = 4 * byte_cnn.STRIDE
-        assert np.allclose(net.pooled(raw).max(axis=0), whole.max(axis=0), atol=1e-5)
-    finally:
-        byte_cnn.SPAN = old
+def _plain_pooled(net, raw):
+    """The convolution and the pooling written out: every response of every chunk, a position at a time."""
+    n, out = max(1, len(raw)), []
+    data = np.frombuffer(raw or b"\0", np.uint8)
+    codes = byte_cnn.repeat_codes(data)
+    for start in range(0, max(1, n - byte_cnn.STRIDE), byte_cnn.STRIDE):
+        best = np.full(byte_cnn.FILTERS, -np.inf)
+        for p in range(start, min(n, start + byte_cnn.CHUNK)):
+            z = net.bias + net.conv[0, 256 + int(codes[p])].astype(float)
+            for k in range(byte_cnn.WIDTH):
+                z = z + net.conv[k, int(data[p + k]) if p + k < n else 0]
+            best = np.maximum(best, z)
+        out.append(np.maximum(best, 0))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 255, 256, 257, 512, 513, 1500])
+def test_pooling_matches_the_plain_convolution(n, monkeypatch):
+    net, raw = byte_cnn.ByteCnn(), bytes(random.Random(n).choices(range(32, 60), k=n))
+    want = _plain_pooled(net, raw)
+    assert np.allclose(net.pooled(raw), want, atol=1e-4)
+    monkeypatch.setattr(byte_cnn, "SPAN", 2 * byte_cnn.STRIDE)
+    assert np.allclose(net.pooled(raw), want, atol=1e-4)
+    z = np.concatenate([want.max(axis=0), want.mean(axis=0)]) @ net.head + net.shift
+    assert net.score(raw) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_gradients_match_differences():
+    net, raw, label = byte_cnn.ByteCnn(), bytes(random.Random(2).choices(range(32, 60), k=900)), 1.0
+    net.bias += 0.3
+    for name in ("conv", "bias", "head"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    loss = lambda: -np.log(net.score(raw))
+    grads = [np.zeros_like(net.conv), np.zeros_like(net.bias), np.zeros_like(net.head)]
+    net._backward(np.frombuffer(raw, np.uint8), label, grads)
+    rng = np.random.default_rng(0)
+    for weights, grad in zip((net.conv, net.bias, net.head), grads, strict=True):
+        moved = np.argwhere(np.abs(grad) > 1e-4)
+        for at in map(tuple, rng.permutation(moved)[:12]):
+            old = weights[at]
+            weights[at] = old + 1e-5
+            up = loss()
+            weights[at] = old - 1e-5
+            down = loss()
+            weights[at] = old
+            assert grad[at] == pytest.approx((up - down) / 2e-5, rel=0.02, abs=1e-5)
+
+
+def test_sample_takes_whole_long_texts(spark):
+    """The draw comes after the join, so labels without a document cost nothing, and long texts count."""
+    docs = documents(spark, [(i, "x" * (100_000 if i % 2 else 10)) for i in range(40)] + [(3, "x" * 100_000), (50, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)] + [(None, 1), (1, None), (50, 1)], "doc_id long, quality int")
+    ids = common.training_ids(docs, labels, {"label": "quality"}, 20)
+    rows = common.training_rows(docs, ids, 20).collect()
+    assert len(rows) == 20 and sum(r["label"] for r in rows) >= 9
+    assert all(len(r["text"]) == (100_000 if r["doc_id"] % 2 else 10) and zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
 
 
 def test_toxicity_chain(spark):
@@ -164,14 +221,68 @@ def test_toxicity_chain(spark):
     labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_toxicity(docs, labels)
     assert chain.categories == ["junk", "toxic"] and len(chain.models[1].rest) == 2
-    got = {r["doc_id"]: r["is_toxic"] for r in toxicity.score_toxicity(docs, chain).collect()}
+    scored = toxicity.score_toxicity(docs, chain).collect()
+    got = {r["doc_id"]: r["is_toxic"] for r in scored}
     held = [(i, t) for i, _, _, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i] for i, t in held if t]) > 0.9 and np.mean([got[i] for i, t in held if not t]) < 0.05
+    assert len(scored) == len(rows) + len(ODD)
+    odd = [r for r in scored if r["doc_id"] is None or r["doc_id"] >= 9000]
+    assert len(odd) == len(ODD) and all(0 <= r["p_toxic"] <= 1 and not r["is_toxic"] for r in odd)
+    null, empty = (next(r for r in odd if r["doc_id"] == 9000 + i) for i in (1, 2))
+    assert (null["p_junk"], null["p_toxic"]) == (empty["p_junk"], empty["p_toxic"])
     assert toxicity.score_toxicity(docs.limit(0), chain).count() == 0
+    kept = toxicity.drop_flagged(docs, chain)
+    assert kept.columns == docs.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, (r["doc_id"] for r in scored if not r["is_toxic"])))
     one_sided = toxicity.fit_toxicity(docs, labels.where("toxic = 0"))
     assert set(one_sided.predict([toxicity.features(b"any text")])[:, 1]) == {0.0}
 
 
+def _plain_logistic(x, y, steps=4000, rate=1.0, ridge=1e-4):
+    """Gradient descent on a dense matrix whose last columns aren't shrunk."""
+    w, free = np.zeros(x.shape[1]), 1 + 2
+    for _ in range(steps):
+        off = (1 / (1 + np.exp(-x @ w)) - y) / len(y)
+        shrink = ridge * w
+        shrink[-free:] = 0
+        w -= rate * (x.T @ off + shrink)
+    return w
+
+
+def test_chain_of_three_categories_is_the_plain_chain():
+    """Insult, threat, toxic: each model sees the earlier categories' out-of-fold probabilities, and nothing else of them."""
+    rng = random.Random(3)
+    docs, marks = [], []
+    for _ in range(400):
+        insult, threat = rng.random() < 0.3, rng.random() < 0.2
+        words = rng.choices([f"w{i}" for i in range(60)], k=20) + ["fool"] * (insult and rng.random() < 0.9) + ["beware"] * (threat and rng.random() < 0.9)
+        docs.append(toxicity.features(" ".join(words).encode()))
+        marks.append((int(insult), int(threat), int(insult or threat)))
+    labels = pd.DataFrame(marks, columns=["insult", "threat", "toxic"])
+    chain = toxicity.fit_chain(docs, labels, list(labels.columns))
+    assert [len(m.rest) for m in chain.models] == [1, 2, 3]
+    # the inputs of the last model, made again plainly: fold f is predicted by models that never saw it
+    fold, earlier = np.arange(len(docs)) % toxicity.FOLDS, np.zeros((len(docs), 0))
+    for category in ("insult", "threat"):
+        y, unseen = labels[category].to_numpy(float), np.zeros(len(docs))
+        for f in range(toxicity.FOLDS):
+            rest = np.flatnonzero(fold != f)
+            model = toxicity.Linear.fit([docs[i] for i in rest], earlier[rest], y[rest])
+            for i in np.flatnonzero(fold == f):
+                unseen[i] = model.predict([docs[i]], earlier[i : i + 1])[0]
+        earlier = np.column_stack([earlier, unseen])
+    last, y = chain.models[2], labels["toxic"].to_numpy(float)
+    again = toxicity.Linear.fit(docs, earlier, y)
+    assert np.allclose(last.rest, again.rest) and np.allclose(last.weights, again.weights)
+    dense = np.zeros((len(docs), len(last.kept)))
+    for i, d in enumerate(docs):
+        dense[i, np.isin(last.kept, d)] = 1
+    want = _plain_logistic(np.column_stack([dense, np.ones(len(docs)), earlier]), y)
+    z = np.column_stack([dense, np.ones(len(docs)), earlier]) @ want
+    assert np.corrcoef(z, np.log(last.predict(docs, earlier) / (1 - last.predict(docs, earlier))))[0, 1] > 0.98
+    got = chain.predict(docs)
+    assert got.shape == (400, 3) and np.mean((got[:, 2] >= chain.levels[2]) == y) > 0.9
+
+
 # 4 suffix arrays
 
 
@@ -227,6 +338,12 @@ def test_repeats_of_repeated_rows(spark, passages, contexts):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_repeats(rows, 20, True)
 
 
+def test_cutting_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "x" * 300, 1, [2], "s"), (2, "x" * 300 + "y", 3, None, "t")], "doc_id long, text string, a int, spans array<int>, row string")
+    got = sorted(suffix_dedup.remove_repeats(docs).collect())
+    assert [(r["doc_id"], r["a"], r["spans"], r["row"]) for r in got] == [(1, 1, [2], "s"), (2, 3, None, "t")] and got[1]["text"] == "y"
+
+
 def test_repeats_odd_cases(spark):
     docs = documents(spark, ODD)
     got = suffix_dedup.remove_repeats(docs)
@@ -235,15 +352,26 @@ def test_repeats_odd_cases(spark):
     assert suffix_dedup.digests(docs.limit(0)).count() == 0
 
 
-def test_factor_flags_match_brute_force():
-    rng = random.Random(8)
-    for _ in range(50):
-        text = bytes(rng.choices(b"ab", k=60))
-        at = list(range(50))
-        later, other = suffix_dedup.factor_flags(text, at, 6)
-        for p in at:
-            assert later[p] == any(text[q : q + 6] == text[p : p + 6] for q in range(p))
-            assert other[p] == any(text[q : q + 6] == text[p : p + 6] for q in range(p + 1, 50))
+@pytest.mark.parametrize("width", [1, 2, 3, 6, 8, 20, 33])
+def test_longest_factors_match_plain_lpf(width):
+    """Plain longest previous and next factors, over all pairs of suffixes."""
+    rng = random.Random(width)
+    for trial in range(25):
+        text = bytes(rng.choices(b"ab", k=90))
+        at = [p for p in range(90 - width) if trial % 2 or rng.random() < 0.6]
+        previous, following = suffix_dedup.longest_factors(np.frombuffer(text, np.uint8), np.array(at), width)
+        common = lambda p, q: next((k for k in range(width) if text[p + k] != text[q + k]), width)
+        for i, p in enumerate(at):
+            before, after = (max((common(p, q) for q in part), default=0) for part in (at[:i], at[i + 1 :]))
+            assert (previous[i], following[i]) == (before if before == width else 0, after if after == width else 0)
+
+
+def test_suffix_order_is_sorted():
+    data = np.frombuffer(bytes(random.Random(4).choices(b"abc", k=3000)), np.uint8)
+    at = np.arange(0, 2900)
+    order, common = suffix_dedup.suffix_order(data, at, 50)
+    cut = [data[p : p + 50].tobytes() for p in at[order]]
+    assert cut == sorted(cut) and common.tolist() == [0, *(50 * (a == b) for a, b in zip(cut[:-1], cut[1:], strict=True))]
 
 
 def test_fingerprints_in_pieces_find_the_same_strings():
@@ -278,12 +406,116 @@ def test_main_text(spark):
     assert html.unescape("&copy;") == "©"
 
 
+def test_template_alone_decides(spark):
+    """Blocks without any listed tag, role or class: outside an article, inside one, and in pages without one.
+    The counts are held against a plain dictionary over the hosts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    note, box, tail = "<div class=x><p>Read our terms</p></div>", "<div class=y><ul><li>Same links</li></ul></div>", "<section><p>All rights kept</p></section>"
+    shared, pages = "<p>A passage that articles share</p>", []
+    for host, n in (("one.org", 24), ("two.org", 6), ("few.org", 3)):
+        for i in range(n):
+            own = f"<p>{word()} {word()}</p>"
+            some = box if i % 2 == 0 else "<div><p>" + word() + "</p></div>"
+            body = f"<body>{note}<article><h1>{word()}</h1>{shared}{some}{own}{tail}</article></body>" if i % 3 else f"<body>{note}<div>{own}</div>{tail}</body>"
+            pages.append((len(pages), f"http://{host}/{i}", body))
+    # copies of one page don't make a template
+    pages += [(1000 + i, "http://copy.org/a", "<article><div><p>Only once said</p></div><p>end</p></article>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extract_main_text(df).collect()}
+
+    seen, contents, own = collections.defaultdict(set), collections.defaultdict(set), {}
+    for i, url, body in pages:
+        host, elements = url.split("/")[2], html_extract.parse(body)
+        html_extract.digest(elements)
+        content, own[i] = html_extract.template_candidates(elements)
+        contents[host].add(content)
+        for h, inside in own[i].items():
+            seen[host, h, inside].add(content)
+    for i, url, body in pages:
+        host = url.split("/")[2]
+        level = lambda inside: html_extract.INNER_SHARE if inside else html_extract.MIN_SHARE
+        template = {h for h, inside in own[i].items() if len(seen[host, h, inside]) >= max(html_extract.MIN_PAGES, level(inside) * len(contents[host]))}  # noqa: B023
+        assert got[i]["n_template"] == len(template) and got[i]["text"] == html_extract.main_text(body, template)
+    text = lambda i: got[i]["text"]
+    assert "terms" not in text(0) and "rights" not in text(0)  # no article: the body without its template
+    assert "links" not in text(2) and "rights" not in text(2) and "A passage that articles share" in text(2)
+    assert "rights" in text(31) and "A passage" in text(31)  # three pages make no template
+    assert all(text(1000 + i) == "Only once said end" for i in range(12))
+    changed = sum(got[i]["text"] != html_extract.main_text(body, set()) for i, _, body in pages)
+    assert changed >= 24
+
+
+def test_deep_and_unclosed_pages():
+    n = 100_000
+    assert html_extract.main_text("<div>" * n + "deep" + "</div>" * n, set()) == "deep"
+    assert html_extract.main_text("<b>" * n + "deep</i>" * 3, set()) == "deepdeepdeep"
+    began = time.time()
+    for page in ("<a '" * n, "<a '" * n + ">", '<a "x>y" ' * n, "<!" * n, "<p><div>" + "<b>" * n + "<hr>" * n, "<x>" * n + "</y>" * n, "<!--" * n, "<script>" * n):
+        elements = html_extract.parse(page)
+        html_extract.digest(elements)
+        html_extract.template_candidates(elements)
+        html_extract.main_text(page, set())
+    assert time.time() - began < 120  # quadratic time would be hours
+    assert html_extract.main_text("<p title='a>b'>x</p><p title='>y</p><p>z</p>", set()) == "x y z"
+
+
+def test_class_names_count_as_wholes():
+    body = "<article><p class='ad-free lead'>a</p><div id='related-work'>b</div><div class=share-price>c</div><section class='comments-on-law'>d</section>{}<p>e</p></article>"
+    for gone in ("<div class='ad'>x</div>", "<div class='post comments-list'>x</div>", "<div id=ad_box>x</div>", "<div role='navigation'>x</div>", "<div class='cookie-notice'>x</div>", "<aside>x</aside>"):
+        assert html_extract.main_text(body.format(gone), set()) == "a b c d e"
+
+
 # 7 media
 
 
+def _plain_log_mel(samples):
+    """Resampling, windows and the Fourier transform written out as sums."""
+    x = (samples.astype(float) - 128) / 128
+    total = (len(x) * media.UP + media.DOWN - 1) // media.DOWN
+    taps = media._PHASES.astype(float)
+    y = []
+    for i in range(total):
+        at, phase = i * media.DOWN // media.UP, i * media.DOWN % media.UP
+        y.append(sum(taps[phase][k] * x[j] for k in range(media.TAPS) if 0 <= (j := at - media.TAPS + 1 + k) < len(x)))
+    n = max(1, -(-(len(y) - media.FRAME) // media.HOP) + 1)
+    y = np.concatenate([y, np.zeros(n * media.HOP + media.FRAME)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FFT // 2 + 1), np.arange(media.FRAME)) / media.FFT)
+    frames = np.array([y[i * media.HOP : i * media.HOP + media.FRAME] * np.hanning(media.FRAME) for i in range(n)])
+    return np.log(np.abs(frames @ turn.T) ** 2 @ media._MEL.astype(float) + 1e-6)
+
+
+@pytest.mark.parametrize("n", [576, 1152, 5760])
+def test_features_match_a_plain_transform(n):
+    samples = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+    got, want = media.log_mel(samples), _plain_log_mel(samples)
+    assert got.shape == want.shape and np.allclose(got, want, atol=2e-3)
+    mel, start, end = media.read_tensors(media.tensor_ipc(got))
+    assert np.array_equal(mel, got) and len(start) == -(-len(got) // media.FRAMES)
+    assert start[0] == 0 and all(a < b for a, b in zip(start, end, strict=True))
+    assert end[-1] == pytest.approx(((len(got) - 1) * media.HOP + media.FRAME) / media.RATE_OUT)
+
+
+def test_segments_have_hysteresis():
+    """A plain state machine: on from the upper level, off below the lower one."""
+    rng = random.Random(12)
+    for _ in range(50):
+        energy = np.array([rng.gauss(0, 1) for _ in range(rng.randint(1, 60))])
+        low, high = np.sort(energy)[[int(0.4 * (len(energy) - 1)), int(0.7 * (len(energy) - 1))]]
+        want, start = [], None
+        for i, e in enumerate(energy):
+            if start is None and e >= high:
+                start = i
+            elif start is not None and e < low:
+                want.append((start, i))
+                start = None
+        assert media.energy_segments(energy) == want + ([(start, len(energy))] if start is not None else [])
+
+
 def test_media(spark):
     rows = [(10, "é" * 1000), (11, "é" * 1000), *ODD]
-    got = media.media_digests(documents(spark, rows)).collect()
+    stored = media.audio_features(documents(spark, rows))
+    got = media.media_digests(stored).collect()
     assert len(got) == len(rows)
     for r in got:
         text = next((t or "") for i, t in rows if i == r["doc_id"])
@@ -297,7 +529,11 @@ def test_media(spark):
     batch = pa.ipc.open_stream(row["features"]).read_all()
     assert batch.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.MELS))
     assert media.wav_payload(bytes(row["media"])).startswith(b"hello ") and all(s["start_s"] < s["end_s"] for s in row["segments"])
-    assert media.media_digests(documents(spark, [])).count() == 0
+    # the digests follow the stored columns, not the text
+    spoiled = stored.where("doc_id = 10").withColumns({"media": F.lit(media.wav_bytes(b"x" * 576)), "segments": F.expr("slice(segments, 1, 0)")})
+    r = media.media_digests(spoiled).first()
+    assert r["payload_sha256"] == hashlib.sha256(b"x" * 576).hexdigest() and "segments=0;first=-1.000" in r["feature"]
+    assert media.media_digests(media.audio_features(documents(spark, []))).count() == 0
 
 
 def test_resampling_in_blocks():
@@ -353,10 +589,29 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     got = minhash.near_duplicates(documents(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["kept"] for r in got)
-    kept = minhash.drop_near_duplicates(documents(spark, rows))
+    kept = minhash.drop_near_duplicates(documents(spark, rows), 85)
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _, k in want if k] and kept.columns == documents(spark, []).columns
 
 
+def test_dropping_near_duplicates_odd_rows(spark):
+    text = [" ".join(f"{a}{i}" for i in range(40)) for a in "ab"]
+    rows = [(1, text[0]), (7, text[0] + " end"), (8, text[1]), (8, text[1]), (9, None), (9, ""), (None, text[0])]
+    kept = minhash.drop_near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, [r for r in rows if r[0] != 7]))
+    assert minhash.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_sketches_miss_few_similar_pairs():
+    """Pairs of similarity 0.8 share a band, as the formula says: a chance of 6e-5 to miss one."""
+    rng, found = np.random.default_rng(1), 0
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**63, 180, dtype=np.uint64))
+        b = np.concatenate([a[:160], rng.integers(0, 2**63, 20, dtype=np.uint64)])  # 160 of 200
+        x, y = minhash.band_hashes(minhash.sketches([np.unique(a), np.unique(b)]))
+        found += bool((x == y).any())
+    assert found >= 149
+
+
 def test_sketch_agreement_follows_similarity():
     rng = np.random.default_rng(0)
     same = []
@@ -415,6 +670,18 @@ def test_reply_tree(spark):
     assert got == {2: ["q", "bad"], 4: ["q", "good", "more"]}
 
 
+def test_cycles_and_repeated_nodes(spark):
+    rows = [
+        (1, 1, None, "user", "q"), (1, 2, 1, "assistant", "a"), (1, 2, 1, "assistant", "a"), (1, 2, 9, "assistant", "other"),  # node 2 repeats
+        (2, 1, 2, "user", "x"), (2, 2, 3, "user", "y"), (2, 3, 1, "user", "z"), (2, 4, 1, "assistant", "leaf under a cycle"), (2, 5, None, "user", "root"), (2, 6, 5, "assistant", "fine"),
+        (3, 1, 1, "user", "its own parent"),
+    ]
+    nodes = spark.createDataFrame([(*r, 0.0) for r in rows], "tree long, node long, parent long, role string, text string, score double")
+    got = {(r["tree"], r["leaf"]): [t for _, t in chat.parse_formatted(r["formatted"])] for r in chat.format_trees(nodes).collect()}
+    assert got == {(1, 2): ["q", "a"], (2, 6): ["root", "fine"]}
+    assert chat.format_trees(nodes.where("tree = 3")).count() == 0
+
+
 # 10 packing
 
 
