@@ -269,8 +269,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
-    """(a, b, spans) of the rows of `keyed(docs)` that hold repeats: byte spans [lo, hi) of strings that
-    occur earlier too (keep_first) or anywhere else; spans may overlap."""
+    """(a, b, spans) of the rows of `keyed(docs)` that hold shared fingerprints: byte spans [lo, hi) of strings
+    that occur earlier too (keep_first) or anywhere else; spans may overlap, and there may be none."""
     own = keyed(docs)
     long_ = own.where(F.octet_length("text") >= width)
     counts = stored(long_.mapInArrow(_anchors(False, width, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
@@ -294,14 +294,14 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
 
     known = distinct.join(found, ["h", "c"], "left").select("h", "c", "n", "first", "later", "both", "again", (F.col("first") == F.col("last")).alias("same"))
     known = stored(known.where("both is not null or n > 1"), "known")
-    rows = spread_join(shared, known, ["h", "c"], hot_keys(known, ["h", "c"], "n", shared.count()))
+    rows = spread_join(shared, known, ["h", "c"], hot_keys(known, ["h", "c"], "n", shared.count()), "left")  # every context gets its answer, none if it has no repeats
     nothing = F.array().cast(_RUNS)
     if keep_first:
         runs = F.when(here == F.col("first"), F.coalesce("later", nothing)).otherwise(F.coalesce("again", nothing))
     else:  # the rows of one place repeat id and text, and are copies of each other
         runs = F.when(F.col("same") & (F.col("n") > 1), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("strings").cast("long").alias("hi")))).otherwise(F.coalesce("both", nothing))
     spans = F.transform(runs, lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start") + (width - 1)).alias("hi")))
-    return rows.select("a", "b", spans.alias("spans")).where(F.size("spans") > 0).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows.select("a", "b", spans.alias("spans")).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
