@@ -62,6 +62,13 @@ def md5_sparse(df: DataFrame, key: str = "chunk_id", text: str = "content", dim:
     return words.join(norm, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def md5_embed(df: DataFrame, key: str = "chunk_id", text: str = "content", dim: int = DEFAULTS.embed_dim, out: str = "embedding") -> DataFrame:
+    """df with the vectors of `md5_sparse` as arrays of doubles; key is unique. No Python runs."""
+    weights = md5_sparse(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_w"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)))
+    return df.join(weights, key, "left").withColumn(out, vector).drop("_w")
+
+
 def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str = "content", out: str = "embedding", batch: int = DEFAULTS.embed_batch) -> DataFrame:
     """Vectors by a caller's function from a list of texts to a matrix, `batch` texts a call."""
 

@@ -80,13 +80,14 @@ def metrics_table(hits: DataFrame, answers: DataFrame, top: DataFrame, queries:
 
 
 def eval_run(queries: DataFrame, chunks: DataFrame, k: int = 5, mode: str = "generative", on_no_answer: str = "retrieval", **how) -> tuple[DataFrame, DataFrame]:
-    """(metrics, per query) of queries (query_id, workspace_id, question, expected) on chunks."""
+    """(metrics, per query) of queries (query_id, workspace_id, question, expected[, embedding]) on chunks."""
     from sparkrag.operators.answers import citations, route_answers, select_contexts
     from sparkrag.operators.retrieval import retrieve
     from sparkrag.sources.io import settled
 
     queries = settled(queries)
-    asked = queries.select("query_id", "workspace_id", "question").distinct()
+    given = ["embedding"] if "embedding" in queries.columns else []
+    asked = queries.select("query_id", "workspace_id", "question", *given).dropDuplicates(["query_id"])
     hits = settled(retrieve(asked, settled(chunks), k=k, **how))
     contexts = select_contexts(hits)
     answers = settled(route_answers(asked, contexts, mode=mode, on_no_answer=on_no_answer))

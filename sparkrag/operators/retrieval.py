@@ -99,9 +99,10 @@ def ivf_cells(chunks: DataFrame, lists: int = 100, sample: int = 50_000, seed: i
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
-def ivf_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidates, lists: int = 100, probes: int = 10, centres: np.ndarray | None = None) -> DataFrame:
+def ivf_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidates, lists: int = 100, probes: int = 75, centres: np.ndarray | None = None) -> DataFrame:
     """Approximate `dense_knn`: a query searches the `probes` cells nearest to it, exactly within them.
-    Centres are fitted on a bounded sample; every chunk is in the index."""
+    Centres are fitted on a bounded sample; every chunk is in the index. The default of probes finds 0.9 of the
+    neighbours even of vectors that don't cluster; where they do, far fewer are enough (see `recall_of`)."""
     centres = ivf_cells(chunks, lists) if centres is None else centres
 
     def near(n: int):

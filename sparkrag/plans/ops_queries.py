@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.operators import tenancy as J
 from sparkrag.plans.registry import EVENTS_SQL, FILES_SQL, MEMBERS_SQL, files, http_events, memberships, query, read
+from sparkrag.plans.text_queries import chunks_sql, sanitized_sql
 from sparkrag.sources import io
 from sparkrag.streaming import jobs as K
 
@@ -13,15 +14,19 @@ from sparkrag.streaming import jobs as K
 _scratch = io.shared_path
 
 
-@query("s1_read_files")
+def streamed(spark, sf_dir, name):
+    """A given table, a file or a folder of files, as a stream of its rows that ends."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+@query("s1_read_files", "SELECT source AS workspace_id, CAST(doc_id AS VARCHAR) AS file_id, CAST(doc_id % 3 + 1 AS INTEGER) AS version, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS checksum FROM documents")
 def s1_read_files(spark, sf_dir):
-    """The key parts of a layout of one file a source, written and read back."""
+    """A file for each document, a version each, written as partitions and read back by `read_files`."""
     root = _scratch(spark, "files")
-    docs = read(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("file_id"), F.sum(F.octet_length("text")).alias("total"))
-    docs.select(F.col("total").cast("string").alias("value"), F.col("source").alias("ws"), "file_id").write.partitionBy("ws", "file_id").text(root)
-    path = F.regexp_replace("path", r"ws=([^/]+)/file_id=(\d+)/[^/]+$", "workspaces/$1/files/$2/v1/total.txt")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    return io._keyed(found.withColumn("path", path)).select("workspace_id", "file_id", "version", "filename", F.trim(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit(""))).cast("long").alias("total"))
+    docs = read(spark, sf_dir, "documents").select(F.col("text").alias("value"), F.col("source").alias("workspace"), F.col("doc_id").alias("file"), (F.col("doc_id") % 3 + 1).alias("v"))
+    docs.repartition("workspace", "file").write.partitionBy("workspace", "file", "v").text(root)  # the path after the partition columns is the name
+    found = io.read_files(spark, root, r"workspace=([^/]+)/file=([^/]+)/v=(\d+)/([^/]+)$")
+    return found.select("workspace_id", "file_id", "version", "size_bytes", F.sha2("content", 256).alias("checksum"))
 
 
 @query("s2_eval_dataset", "SELECT 'bench' AS dataset, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS query_id, text AS question FROM benchmark")
@@ -51,17 +56,8 @@ def s4_write_table(spark, sf_dir):
     return io.read_table(spark, path).groupBy("workspace_id", "gen").agg(F.count("*").alias("n"))
 
 
-@query("s7_eval_report", "SELECT '| ' || item_id || ' | ' || replace(text, '|', '\\|') || ' |' AS value FROM benchmark WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13))")
+@query("s7_eval_report", "SELECT '| ' || item_id || ' | ' || regexp_replace(replace(text, '|', '\\|'), '\r\n|\r|\n', '<br>', 'g') || ' |' AS value FROM benchmark")
 def s7_eval_report(spark, sf_dir):
-    path = _scratch(spark, "report")
-    rows = read(spark, sf_dir, "benchmark").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r"))).select("item_id", "text")
-    io.write_eval_report(rows.agg(F.count("*").alias("value")), rows, path)
-    return spark.read.text(f"{path}/lines")
-
-
-@query("s7_eval_report_whole")
-def s7_eval_report_whole(spark, sf_dir):
-    """All items, those with line ends too."""
     path = _scratch(spark, "report")
     rows = read(spark, sf_dir, "benchmark").select("item_id", "text")
     io.write_eval_report(rows.agg(F.count("*").alias("value")), rows, path)
@@ -73,11 +69,11 @@ def j1_list_files(spark, sf_dir):
     return J.list_files(files(spark, sf_dir), status="indexed", name_like="C-1").select("workspace_id", "file_id", "filename", "status")
 
 
-@query("j2_list_chats", "SELECT conv_id AS chat_id, count(*) FILTER (turn > 0) AS n_messages FROM conversations GROUP BY conv_id")
+@query("j2_list_chats", "SELECT conv_id AS chat_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
 def j2_list_chats(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "chat_id")
     chats = rows.select("chat_id").distinct().withColumn("created_at", F.col("chat_id"))
-    return J.list_chats(chats, rows.where("turn > 0")).select("chat_id", "n_messages")
+    return J.list_chats(chats, rows).select("chat_id", "n_messages")
 
 
 @query("j3_chat_detail", "SELECT conv_id AS chat_id, count(*) AS n_messages, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS h, CAST(sum(CASE WHEN role = 'assistant' THEN 2 ELSE 0 END) AS BIGINT) AS n_citations FROM conversations GROUP BY conv_id")
@@ -118,15 +114,18 @@ def j6_active_sessions(spark, sf_dir):
     return J.active_sessions(sessions, users, F.lit("2024-01-15").cast("timestamp")).select("session_id")
 
 
-@query("j7_last_admin", f"WITH {MEMBERS_SQL} SELECT workspace_id, count(*) FILTER (role = 'admin') AS n_admins FROM memberships WHERE user_id % 40 < 2 GROUP BY workspace_id HAVING count(*) FILTER (role = 'admin') <= 1")
+@query("j7_last_admin", f"WITH {MEMBERS_SQL} SELECT workspace_id, count(*) FILTER (role = 'admin') AS n_admins FROM memberships GROUP BY workspace_id HAVING count(*) FILTER (role = 'admin') <= 1")
 def j7_last_admin(spark, sf_dir):
-    return J.last_admin(memberships(spark, sf_dir).where("user_id % 40 < 2"))
+    return J.last_admin(memberships(spark, sf_dir))
 
 
-@query("j7_last_admin_whole")
-def j7_last_admin_whole(spark, sf_dir):
-    """The memberships of all users."""
-    return J.last_admin(memberships(spark, sf_dir))
+@query("j7_last_admin_of_pairs", """WITH m AS (SELECT DISTINCT user_id, event_type || '-' || user_id // 2 AS workspace_id, CASE WHEN (user_id + length(event_type)) % 4 < 2 THEN 'admin' ELSE 'viewer' END AS role FROM events)
+SELECT workspace_id, count(*) FILTER (role = 'admin') AS n_admins FROM m GROUP BY workspace_id HAVING count(*) FILTER (role = 'admin') <= 1""")
+def j7_last_admin_of_pairs(spark, sf_dir):
+    """Small workspaces, of two users each, of all users."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    role = F.when((F.col("user_id") + F.length("event_type")) % 4 < 2, "admin").otherwise("viewer")
+    return J.last_admin(e.select("user_id", F.concat("event_type", F.lit("-"), F.floor(F.col("user_id") / 2).cast("string")).alias("workspace_id"), role.alias("role")))
 
 
 @query("j8_status_counts", f"WITH {FILES_SQL} SELECT workspace_id, status, count(*) AS n_files FROM files GROUP BY ALL")
@@ -152,26 +151,45 @@ def j10_reconcile_counts(spark, sf_dir):
     return J.reconcile_counts({"documents": docs, "labels": labels}, {"documents": docs, "labels": labels.where("toxic = 0")})
 
 
-@query("k1_ingest")
+@query("k1_ingest", f"WITH RECURSIVE {chunks_sql('source')}, x AS (SELECT doc_id, source, {sanitized_sql('content')} AS body FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE starts_with(text, '#!') OR starts_with(text, 'MZ') OR text = '')) SELECT source AS workspace_id, doc_id AS file_id, count(*) AS n_chunks, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM x GROUP BY ALL")
 def k1_ingest(spark, sf_dir):
-    """Documents through the batch that the ingestion stream runs on each micro-batch."""
-    rows = files(spark, sf_dir).select("workspace_id", "file_id", F.col("current_version").alias("version"), "filename", "size_bytes")
-    body = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
-    made, _ = K.ingest_batch(rows.join(body, "file_id"))
+    """Documents through the ingestion stream, which ends with what is there, and read from the index that it wrote."""
+    path = _scratch(spark, "index")
+    rows = streamed(spark, sf_dir, "documents").select(
+        F.col("source").alias("workspace_id"), F.col("doc_id").alias("file_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("version"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"),
+        F.octet_length("text").cast("long").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"),
+    )
+    K.ingest_stream(rows, path, f"{path}-progress", K.ingest_batch).awaitTermination()
+    made = K.latest(spark.read.parquet(f"{path}/chunks"))
     return made.groupBy("workspace_id", "file_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
 
 
-@query("k2_rate_limit")
+@query("k2_rate_limit", """WITH RECURSIVE e AS (SELECT event_id, event_type AS identity, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+n AS (SELECT identity, i, 1 + count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 60 SECOND FOLLOWING) AS next FROM e),
+ok AS (SELECT identity, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT n.identity, n.next FROM ok JOIN n ON n.identity = ok.identity AND n.i = ok.i)
+SELECT event_id, e.identity, ok.i IS NOT NULL AS allowed FROM e LEFT JOIN ok ON ok.identity = e.identity AND ok.i = e.i""")
 def k2_rate_limit(spark, sf_dir):
     """One request a minute for each event type, so that limits are met."""
     return K.rate_limit(http_events(spark, sf_dir).withColumn("identity", F.col("route")), 1).select("event_id", "identity", "allowed")
 
 
-@query("k3_dedup_requests", "SELECT user_id, event_type AS endpoint, 'k' || (event_id % 40) AS key, min(ts) AS first_ts FROM events GROUP BY ALL")
+@query("k2_rate_limit_of_users", """WITH RECURSIVE e AS (SELECT event_id, 'user-' || user_id AS identity, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+n AS (SELECT identity, i, 1 + count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 60 SECOND FOLLOWING) AS next FROM e),
+ok AS (SELECT identity, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT n.identity, n.next FROM ok JOIN n ON n.identity = ok.identity AND n.i = ok.i)
+SELECT event_id, e.identity, ok.i IS NOT NULL AS allowed FROM e LEFT JOIN ok ON ok.identity = e.identity AND ok.i = e.i""")
+def k2_rate_limit_of_users(spark, sf_dir):
+    """One request a minute for each user: as many tasks as there are users."""
+    return K.rate_limit(http_events(spark, sf_dir), 1).select("event_id", "identity", "allowed")
+
+
+@query("k3_dedup_requests", "SELECT user_id, event_type AS endpoint, CASE WHEN event_id % 4 > 0 THEN 'k' || (event_id % 40) END AS key, CASE WHEN event_id % 4 > 0 THEN 1 ELSE count(*) END AS n FROM events GROUP BY user_id, event_type, CASE WHEN event_id % 4 > 0 THEN 'k' || (event_id % 40) END, event_id % 4 > 0")
 def k3_dedup_requests(spark, sf_dir):
-    """What the stream of first requests lets through, as a batch."""
-    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("endpoint"), F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key"), "ts")
-    return rows.groupBy("user_id", "endpoint", "key").agg(F.min("ts").alias("first_ts"))
+    """What the stream of requests lets through: one of each key, and all without one."""
+    path = _scratch(spark, "requests")
+    key = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")))
+    rows = streamed(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("endpoint"), key.alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    K.dedup_stream(rows, "60 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("user_id", "endpoint", "key").agg(F.count("*").alias("n"))
 
 
 _BUCKETS = "[count(*) FILTER (latency_s <= 0.05), count(*) FILTER (latency_s <= 0.1), count(*) FILTER (latency_s <= 0.25), count(*) FILTER (latency_s <= 0.5), count(*) FILTER (latency_s <= 1.0), count(*) FILTER (latency_s <= 2.5), count(*) FILTER (latency_s <= 5.0), count(*) FILTER (latency_s <= 10.0), count(*)]"

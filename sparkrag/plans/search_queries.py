@@ -13,7 +13,7 @@ from sparkrag.operators import web as W
 from sparkrag.operators.chunking import chunk_documents, index_rows
 from sparkrag.operators.sections import char_section_array, page_documents
 from sparkrag.plans.registry import QUESTIONS_SQL, query, questions, read
-from sparkrag.plans.text_queries import CONTENT_SQL, TOKENS_SQL
+from sparkrag.plans.text_queries import CONTENT_SQL, TOKENS_SQL, chunks_sql, collapse_sql, entities_sql, normal_sql, page_text_sql, sanitized_sql, terms_sql
 from sparkrag.settings import Settings
 from sparkrag.sources.io import settled
 
@@ -47,10 +47,11 @@ def vectors(spark, sf_dir):
 
 
 def vector_queries(spark, sf_dir):
-    return vectors(spark, sf_dir).where("chunk_id % 10 = 3").select(F.col("chunk_id").alias("query_id"), "workspace_id", "embedding")
+    return vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), "workspace_id", "embedding")
 
 
-@query("c2_index_rows")
+@query("c2_index_rows", f"""WITH RECURSIVE {chunks_sql("source")}, f AS (SELECT doc_id, sum(length(content)) AS n_chars, count(*) AS n FROM chunks GROUP BY doc_id)
+SELECT d.doc_id AS file_id, d.source AS workspace_id, 1 AS version, 'doc-' || d.doc_id || '.md' AS title, 'char' AS locator_type, CAST(coalesce(f.n_chars, 0) AS BIGINT) AS char_count, coalesce(f.n, 0) AS n_chunks FROM documents d LEFT JOIN f USING (doc_id)""")
 def c2_index_rows(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     made = chunk_documents(docs.select(F.col("doc_id").alias("file_id"), "text"), char_section_array(F.col("text")), "file_id")
@@ -58,6 +59,14 @@ def c2_index_rows(spark, sf_dir):
     return index_rows(made, files)[0]
 
 
+@query("c2_chunk_rows", f"""WITH RECURSIVE {chunks_sql("source")} SELECT doc_id || ':1:' || lpad(CAST(seq AS VARCHAR), 6, '0') AS chunk_id, source AS workspace_id, doc_id AS file_id, seq, md5({sanitized_sql("content")}) AS h, locator_start FROM chunks""")
+def c2_chunk_rows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    made = chunk_documents(docs.select(F.col("doc_id").alias("file_id"), "text"), char_section_array(F.col("text")), "file_id")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("workspace_id"), F.lit(1).alias("version"), F.lit("").alias("filename"), F.lit("").alias("title"))
+    return index_rows(made, files)[1].select("chunk_id", "workspace_id", "file_id", "seq", F.md5("content").alias("h"), "locator_start")
+
+
 @query("c3_hash_embed")
 def c3_hash_embed(spark, sf_dir):
     rows = E.hash_embed(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
@@ -72,27 +81,28 @@ def c3_md5_embed(spark, sf_dir):
     return rows.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("c4_embed")
+@query("c4_embed", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS BIGINT) AS n_words, CAST(2 AS INTEGER) AS dim FROM documents")
 def c4_embed(spark, sf_dir):
     def lengths(texts):
         import numpy as np
 
         return np.array([[len(t), t.count(" ") + 1] for t in texts])
 
-    return E.embed(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), lengths).select("doc_id", "embedding")
+    return E.embed(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), lengths).select("doc_id", F.col("embedding")[0].cast("long").alias("n_chars"), F.col("embedding")[1].cast("long").alias("n_words"), F.size("embedding").alias("dim"))
 
 
-@query("c5_upsert_embeddings", "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 64 ELSE 1 END AS dim FROM embeddings")
+@query("c5_upsert_embeddings", "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', CAST(x AS DOUBLE))), ',') || ']' ELSE '[0.0000000]' END AS embedding FROM embeddings")
 def c5_upsert_embeddings(spark, sf_dir):
     own = vectors(spark, sf_dir)
     old = own.select("chunk_id", F.array(F.lit(0.0).cast("float")).alias("embedding"))
-    return E.upsert_embeddings(old, own.where("chunk_id % 3 = 0")).select("chunk_id", F.size("embedding").alias("dim"))
+    return E.upsert_embeddings(old, own.where("chunk_id % 3 = 0")).select("chunk_id", T.vector_to_literal(F.col("embedding")).alias("embedding"))
 
 
 @query("c6_reembed")
 def c6_reembed(spark, sf_dir):
-    rows = whole(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return E.reembed(rows, "src3").select("chunk_id", F.col("embedding").isNotNull().alias("fresh"))
+    """The vectors of one workspace made anew, those of the others left as they were."""
+    rows = whole(spark, sf_dir).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    return E.reembed(rows, "src3").select("chunk_id", "workspace_id", T.vector_to_literal(F.col("embedding")).alias("embedding"))
 
 
 @query("c7_embedding_drift", """WITH p AS (SELECT a.embedding AS x, b.embedding AS y FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 3),
@@ -108,11 +118,13 @@ def c7_embedding_drift(spark, sf_dir):
 
 @query("r1_acl_scope", f"WITH {QUESTIONS_SQL}, a AS (SELECT DISTINCT query_id, workspace_id FROM questions) SELECT query_id, count(*) AS n_visible FROM a JOIN documents d ON d.source = a.workspace_id GROUP BY query_id")
 def r1_acl_scope(spark, sf_dir):
-    return R.acl_scope(asked(spark, sf_dir), whole(spark, sf_dir).select("workspace_id", "chunk_id")).groupBy("query_id").agg(F.count("*").alias("n_visible"))
+    """How many chunks each query may see: the scope by a workspace's count, so that no pairs are made."""
+    sizes = whole(spark, sf_dir).groupBy("workspace_id").agg(F.count("*").alias("n_visible"))
+    return R.acl_scope(asked(spark, sf_dir), sizes).select("query_id", "n_visible")
 
 
 _KNN_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(greatest(0, list_inner_product(q.v, c.v) / (q.n * c.n)), 12) AS d FROM e q JOIN e c ON c.label = q.label WHERE q.vec_id % 10 = 3)
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(greatest(0, list_inner_product(q.v, c.v) / (q.n * c.n)), 12) AS d FROM e q JOIN e c ON c.label = q.label)
 SELECT query_id, chunk_id, round(d, 6) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_id) AS rank FROM s QUALIFY rank <= 24"""
 
 
@@ -156,7 +168,7 @@ def _fused_inputs(spark, sf_dir):
 
 
 _FUSED_SQL = _KNN_SQL.replace("SELECT query_id, chunk_id, round(d, 6)", ", dense AS (SELECT query_id, chunk_id, round(d, 6)") + """),
-words AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM e q JOIN e c ON c.label = q.label WHERE q.vec_id % 10 = 3 AND (c.vec_id + q.vec_id) % 7 = 0 QUALIFY rank <= 12),
+words AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM e q JOIN e c ON c.label = q.label WHERE (c.vec_id + q.vec_id) % 7 = 0 QUALIFY rank <= 12),
 f AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.chunk_id, w.chunk_id) AS chunk_id, CASE WHEN w.rank IS NOT NULL THEN 0 ELSE d.dense_score END AS dense_score,
   coalesce(1.0 / w.rank, 0) AS keyword_score, 0.6 * CASE WHEN w.rank IS NOT NULL THEN 0 ELSE d.dense_score END + 0.4 * coalesce(61.0 / (60 + w.rank), 0) AS score FROM dense d FULL JOIN words w ON w.query_id = d.query_id AND w.chunk_id = d.chunk_id)"""
 
@@ -213,10 +225,11 @@ def r8_bm25_rerank(spark, sf_dir):
 
 
 @query("r9_lexical_confidence", f"""WITH {_HITS_SQL}, i AS (SELECT tt.*, CASE WHEN df.df > 0 THEN ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) ELSE ln(1 + n.n) END AS idf FROM tt JOIN df USING (query_id, term) JOIN n ON n.query_id = tt.query_id)
-SELECT query_id, chunk_id, round(CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (tf > 0), 0) / sum(idf) ELSE 0 END, 6) AS confidence, CAST(count(*) FILTER (tf > 0) AS INTEGER) AS n_matched, CAST(count(*) AS INTEGER) AS total_terms FROM i GROUP BY ALL""")
+SELECT h.query_id, h.chunk_id, round(CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (tf > 0), 0) / sum(idf) ELSE 0 END, 6) AS confidence, CAST(count(*) FILTER (tf > 0) AS INTEGER) AS n_matched, CAST(count(i.term) AS INTEGER) AS total_terms
+FROM h LEFT JOIN i ON i.query_id = h.query_id AND i.chunk_id = h.chunk_id GROUP BY ALL""")
 def r9_lexical_confidence(spark, sf_dir):
     out = R.lexical_confidence(_hits(spark, sf_dir))
-    return out.where("total_terms > 0").select("query_id", "chunk_id", "confidence", F.size("matched_terms").alias("n_matched"), "total_terms")
+    return out.select("query_id", "chunk_id", "confidence", F.size("matched_terms").alias("n_matched"), "total_terms")
 
 
 def indexed(spark, sf_dir):
@@ -232,6 +245,46 @@ def r10_retrieve(spark, sf_dir):
     return out.select("query_id", "rank", "chunk_id", "filename", F.round("score", 6).alias("score"), F.round("final", 6).alias("final"))
 
 
+def _buckets_sql(source: str, key: str) -> str:
+    """Weights of the buckets of (key, body), as `md5_sparse` makes them."""
+    return f"""SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, CAST(CAST('0x' || substr(md5(t), 1, 7) AS BIGINT) % 384 AS INTEGER) AS bucket, count(*) AS n
+  FROM (SELECT {key}, unnest({CONTENT_SQL.format("body")}) AS t FROM ({source})) GROUP BY ALL)"""
+
+
+_RETRIEVE_SQL = f"""{_SEARCH_SQL}, bq AS ({_buckets_sql("SELECT query_id, question AS body FROM a", "query_id")}), bd AS ({_buckets_sql("SELECT doc_id AS chunk_id, text AS body FROM documents", "chunk_id")}),
+dots AS (SELECT query_id, chunk_id, sum(bq.w * bd.w) AS s FROM bq JOIN bd USING (bucket) GROUP BY ALL),
+dn AS (SELECT a.query_id, d.doc_id AS chunk_id, round(coalesce(s, 0), 12) AS d FROM a JOIN documents d ON d.source = a.workspace_id LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = d.doc_id),
+dense AS (SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 24),
+fu AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.chunk_id, w.chunk_id) AS chunk_id, 0.6 * CASE WHEN w.rank IS NOT NULL THEN 0 ELSE d.d END + 0.4 * coalesce(61.0 / (60 + w.rank), 0) AS score
+  FROM dense d FULL JOIN kw w ON w.query_id = d.query_id AND w.chunk_id = d.chunk_id),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM fu WHERE score >= 0.05),
+fb AS (SELECT query_id, chunk_id, 0.0 AS score, 1 AS rank FROM (SELECT query_id, chunk_id, 0 AS l, rank FROM dense UNION ALL SELECT query_id, chunk_id, 1, rank FROM kw) WHERE query_id NOT IN (SELECT query_id FROM f1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY l, rank) = 1),
+fh AS (SELECT v.*, {CONTENT_SQL.format("d.text")} AS toks, list_distinct({CONTENT_SQL.format("a.question")}) AS terms FROM (SELECT query_id, chunk_id, score, rank FROM f1 UNION ALL SELECT * FROM fb) v JOIN a USING (query_id) JOIN documents d ON d.doc_id = v.chunk_id),
+fn AS (SELECT query_id, count(*) AS n, avg(len(toks)) AS avg_len FROM fh GROUP BY 1),
+ft AS (SELECT query_id, chunk_id, len(toks) AS len, term, len(list_filter(toks, lambda x: x = term)) AS tf FROM (SELECT query_id, chunk_id, toks, unnest(terms) AS term FROM fh)),
+fd AS (SELECT query_id, term, count(*) FILTER (tf > 0) AS df FROM ft GROUP BY ALL),
+fm AS (SELECT ft.query_id, ft.chunk_id, sum(CASE WHEN tf > 0 THEN ln(1 + (fn.n - fd.df + 0.5) / (fd.df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1.0 - 0.75 + 0.75 * ft.len / fn.avg_len)) ELSE 0 END) AS b FROM ft JOIN fd USING (query_id, term) JOIN fn ON fn.query_id = ft.query_id GROUP BY ALL),
+fz AS (SELECT fh.query_id, fh.chunk_id, fh.rank AS old_rank, score, coalesce(b, 0) AS b, max(coalesce(b, 0)) OVER w AS bm, max(score) OVER w AS fx, count(*) OVER w AS n, len(terms) AS nt FROM fh LEFT JOIN fm USING (query_id, chunk_id) WINDOW w AS (PARTITION BY fh.query_id)),
+fy AS (SELECT *, CASE WHEN n < 2 OR nt = 0 THEN NULL WHEN bm > 0 AND fx > 0 THEN 0.7 * b / bm + 0.3 * score / fx WHEN bm > 0 THEN b / bm WHEN fx > 0 THEN score / fx ELSE 0 END AS final FROM fz),
+found AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC NULLS LAST, old_rank) AS INTEGER) AS rank, chunk_id, 'doc-' || chunk_id || '.md' AS filename, score, final FROM fy)"""
+
+
+def _md5_inputs(spark, sf_dir):
+    """(questions, documents as chunks, postings) with the built-in vectors, which SQL can follow."""
+    q = questions(spark, sf_dir)
+    vectors_of = E.md5_embed(q.select("query_id", "question").distinct(), "query_id", "question").select("query_id", "embedding")
+    own = settled(E.md5_embed(whole(spark, sf_dir), "chunk_id", "content"), "index")
+    return settled(q.join(vectors_of, "query_id")), own, settled(R.postings(own), "postings")
+
+
+@query("r10_retrieve_md5", f"WITH {_RETRIEVE_SQL} SELECT query_id, rank, chunk_id, filename, round(score, 6) AS score, round(final, 6) AS final FROM found WHERE rank <= 6")
+def r10_retrieve_md5(spark, sf_dir):
+    """Hybrid retrieval of all questions over whole documents."""
+    q, own, index = _md5_inputs(spark, sf_dir)
+    out = R.retrieve(q.drop("expected").dropDuplicates(["query_id"]), own, index)
+    return out.select("query_id", "rank", "chunk_id", "filename", F.round("score", 6).alias("score"), F.round("final", 6).alias("final"))
+
+
 _CTX_SQL = f"""{_SEARCH_SQL}, c AS (SELECT kw.query_id, kw.rank, kw.chunk_id, d.text AS content, sum(length(d.text)) OVER (PARTITION BY kw.query_id ORDER BY kw.rank) AS total,
   row_number() OVER (PARTITION BY kw.query_id ORDER BY kw.rank) AS pos FROM kw JOIN documents d ON d.doc_id = kw.chunk_id), ctx AS (SELECT * FROM c WHERE total <= 6000 OR pos = 1)"""
 
@@ -241,18 +294,37 @@ def a1_select_contexts(spark, sf_dir):
     return A.select_contexts(_hits(spark, sf_dir)).select("query_id", "rank", "chunk_id")
 
 
-@query("a2_build_prompts")
+#: Contexts without sentences that address the model, as all of the given texts are.
+_HARD_SQL = f"""h1 AS (SELECT query_id, rank, pos, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), ' ') AS t FROM ctx),
+h2 AS (SELECT query_id, rank, pos, {collapse_sql("t")} AS t FROM h1), hard AS (SELECT query_id, rank, pos, CASE WHEN length(t) > 4000 THEN rtrim(substr(t, 1, 4000), ' ') || '…' ELSE t END AS t FROM h2)"""
+
+
+@query("a2_build_prompts", f"""WITH {_CTX_SQL}, {_HARD_SQL}
+SELECT query_id, 'Context:' || chr(10) || chr(10) || string_agg('[' || pos || '] ' || t, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(a.question) AS prompt FROM hard JOIN a USING (query_id) GROUP BY query_id""")
 def a2_build_prompts(spark, sf_dir):
     return A.build_prompts(A.select_contexts(_hits(spark, sf_dir))).select("query_id", F.col("messages")[1]["content"].alias("prompt"))
 
 
-@query("a3_extractive_answer")
+_FLAT = "replace(trim(content, ' ' || chr(10)), chr(10), ' ')"
+
+
+def _cut(most: int) -> str:
+    return f"CASE WHEN length({_FLAT}) > {most} THEN rtrim(substr({_FLAT}, 1, {most}), ' ') || '…' ELSE {_FLAT} END"
+
+
+_CONF_SQL = f"""ch AS (SELECT ctx.query_id, ctx.chunk_id, ctx.rank, ctx.content, {CONTENT_SQL.format("ctx.content")} AS toks, list_distinct({CONTENT_SQL.format("a.question")}) AS terms FROM ctx JOIN a USING (query_id)),
+cn AS (SELECT query_id, count(*) AS n FROM ch GROUP BY 1), ct AS (SELECT query_id, chunk_id, term, len(list_filter(toks, lambda x: x = term)) AS tf FROM (SELECT query_id, chunk_id, toks, unnest(terms) AS term FROM ch)),
+cd AS (SELECT query_id, term, count(*) FILTER (tf > 0) AS df FROM ct GROUP BY ALL),
+ci AS (SELECT ct.*, CASE WHEN cd.df > 0 THEN ln(1 + (cn.n - cd.df + 0.5) / (cd.df + 0.5)) ELSE ln(1 + cn.n) END AS idf FROM ct JOIN cd USING (query_id, term) JOIN cn ON cn.query_id = ct.query_id),
+cf AS (SELECT ch.query_id, ch.chunk_id, ch.rank, any_value(ch.content) AS content, round(CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (tf > 0), 0) / sum(idf) ELSE 0 END, 6) AS c FROM ch LEFT JOIN ci ON ci.query_id = ch.query_id AND ci.chunk_id = ch.chunk_id GROUP BY 1, 2, 3),
+cx AS (SELECT *, lead(c) OVER (PARTITION BY query_id ORDER BY rank) AS next, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM cf)"""
+
+
+@query("a3_extractive_answer", f"WITH {_CTX_SQL}, {_CONF_SQL} SELECT query_id, {_cut(600)} AS text, chunk_id FROM cx WHERE place = 1 AND c >= 0.3 AND (next IS NULL OR c - next >= 0.01)")
 def a3_extractive_answer(spark, sf_dir):
     return A.extractive_answer(A.select_contexts(_hits(spark, sf_dir)), 0.3, 0.01)
 
 
-_FLAT = "replace(trim(content, ' ' || chr(10)), chr(10), ' ')"
-
 
 @query("a4_overlap_answer", f"""WITH {_CTX_SQL}, s AS (SELECT ctx.*, a.question, row_number() OVER (PARTITION BY ctx.query_id ORDER BY ctx.rank) AS i FROM ctx JOIN a USING (query_id)),
 m AS (SELECT query_id, i, content, list_has_any({CONTENT_SQL.format("question")}, {CONTENT_SQL.format("content")}) AS share FROM s),
@@ -267,7 +339,11 @@ def a5_retrieval_answer(spark, sf_dir):
     return A.retrieval_answer(A.select_contexts(_hits(spark, sf_dir)))
 
 
-@query("a6_route_answers")
+@query("a6_route_answers", f"""WITH {_CTX_SQL}, {_CONF_SQL}, ea AS (SELECT query_id, {_cut(600)} AS text FROM cx WHERE place = 1 AND c >= 0.55 AND (next IS NULL OR c - next >= 0.1)),
+ov AS (SELECT query_id, min(pos) AS i, arg_min(content, pos) AS content FROM ctx JOIN a USING (query_id) WHERE list_has_any({CONTENT_SQL.format("question")}, {CONTENT_SQL.format("content")}) GROUP BY query_id),
+ga AS (SELECT query_id, 'From the documents [' || i || ']: ' || {_cut(400)} AS text FROM ov), ra AS (SELECT query_id, string_agg('[' || pos || '] ' || {_cut(800)}, chr(10) || chr(10) ORDER BY rank) AS text FROM ctx GROUP BY query_id)
+SELECT a.query_id, coalesce(ea.text, trim(ga.text, ' '), ra.text, 'NO_ANSWER') AS text, CASE WHEN ea.text IS NOT NULL THEN 'extractive' WHEN ga.text IS NOT NULL THEN 'grounded' WHEN ra.text IS NOT NULL THEN 'extractive' ELSE 'no_answer' END AS answer_kind
+FROM a LEFT JOIN ea ON ea.query_id = a.query_id LEFT JOIN ga ON ga.query_id = a.query_id LEFT JOIN ra ON ra.query_id = a.query_id""")
 def a6_route_answers(spark, sf_dir):
     q, hits = _asked_hits(spark, sf_dir)
     return A.route_answers(q, A.select_contexts(hits), mode="auto")
@@ -284,9 +360,9 @@ def a8_dedup_citations(spark, sf_dir):
     return A.dedup_citations(rows, "message_id").select("message_id", "filename", "idx")
 
 
-@query("a9_chat_rows", f"WITH {QUESTIONS_SQL}, a AS (SELECT DISTINCT query_id, workspace_id, question FROM questions) SELECT query_id AS chat_id, 0 AS seq, 'user' AS role, question AS content FROM a UNION ALL SELECT query_id, 1, 'assistant', 'ok' FROM a")
+@query("a9_chat_rows", f"WITH {QUESTIONS_SQL}, a AS (SELECT DISTINCT query_id, workspace_id, question FROM questions) SELECT query_id AS chat_id, 0 AS seq, 'user' AS role, question AS content FROM a UNION ALL SELECT query_id, 1, 'assistant', 'For ' || workspace_id || ': ' || left(question, 20) FROM a")
 def a9_chat_rows(spark, sf_dir):
-    done = asked(spark, sf_dir).withColumns({"text": F.lit("ok"), "answer_kind": F.lit("grounded"), "meta": F.lit("{}")})
+    done = asked(spark, sf_dir).withColumns({"text": F.concat(F.lit("For "), "workspace_id", F.lit(": "), F.substring("question", 1, 20)), "answer_kind": F.lit("grounded"), "meta": F.lit("{}")})
     return A.chat_rows(done, done.select("query_id"))[1].select("chat_id", "seq", "role", "content")
 
 
@@ -314,7 +390,8 @@ def _scored(spark, sf_dir):
     return _results(spark, sf_dir).withColumn("relevance", W.relevance(terms, F.col("title"), F.lit("")))
 
 
-@query("w1_parse_payloads")
+@query("w1_parse_payloads", f"""WITH {_RES_SQL}, t AS (SELECT rank AS query_id, rank % 3 AS kind, coalesce(title, '') AS title, url FROM res)
+SELECT query_id, 'a' AS provider, 1 AS rank, CASE kind WHEN 0 THEN title WHEN 1 THEN trim(title, ' ' || chr(10)) ELSE {collapse_sql(entities_sql("title"))} END AS title, url, CASE kind WHEN 0 THEN lower(title) WHEN 1 THEN '' ELSE 'x' END AS snippet FROM t""")
 def w1_parse_payloads(spark, sf_dir):
     rows = _results(spark, sf_dir)
     item = F.to_json(F.struct(F.array(F.struct("title", "url", F.col("snippet").alias("content"))).alias("results")))
@@ -327,7 +404,11 @@ def w1_parse_payloads(spark, sf_dir):
     return W.parse_result_payloads(raw)
 
 
-@query("w2_relevance")
+def _share_sql(terms: str, hay: str) -> str:
+    return f"CASE WHEN len({terms}) > 0 THEN len(list_filter({terms}, lambda t: contains({hay}, t))) / len({terms}) ELSE 0 END"
+
+
+@query("w2_relevance", f"WITH {_RES_SQL}, t AS (SELECT r.query_id, rank, title, {terms_sql(normal_sql('b.text'))} AS q FROM res r JOIN benchmark b ON b.item_id = r.query_id) SELECT query_id, rank, round({_share_sql('q', 'lower(concat_ws(chr(32), title, lower(title)))')}, 6) AS relevance FROM t")
 def w2_relevance(spark, sf_dir):
     return W.with_relevance(_results(spark, sf_dir)).select("query_id", "rank", F.round("relevance", 6).alias("relevance"))
 
@@ -362,7 +443,18 @@ def w7_web_search_log(spark, sf_dir):
     return out.select("query_id", "results_count", F.size(F.from_json("log", "results array<struct<url: string>>")["results"]).cast("long").alias("n_entries"))
 
 
-@query("w8_web_evidence")
+_WEB = lambda x, most: f"(CASE WHEN length({x}) > {most} THEN rtrim(substr({x}, 1, {most}), ' ') || '…' ELSE {x} END)"
+
+
+@query("w8_web_evidence", f"""WITH {_RES_SQL}, q AS (SELECT item_id AS query_id, {normal_sql("text")} AS query, {terms_sql(normal_sql(normal_sql("text")))} AS words FROM benchmark),
+w0 AS (SELECT query_id, provider, provider_order, row_number() OVER (PARTITION BY query_id, provider ORDER BY res.rank) AS at_, coalesce(title, '') AS title, url, coalesce(lower(title), '') AS snippet FROM res WHERE starts_with(url, 'http') QUALIFY at_ <= 5),
+w1 AS (SELECT w0.*, words, {_share_sql("words", "lower(title || ' ' || snippet)")} AS relevance FROM w0 JOIN q USING (query_id) WHERE query <> ''),
+tops AS (SELECT query_id, provider, provider_order, max(relevance) AS top FROM w1 GROUP BY ALL),
+best AS (SELECT query_id, provider FROM tops QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (top >= 0.03) DESC, CASE WHEN top >= 0.03 THEN provider_order END, top DESC, provider_order) = 1),
+w2 AS (SELECT query_id, words, at_ AS rank, url, {collapse_sql(entities_sql("regexp_replace(title, '<[^>]+>', ' ', 'g')"))} AS title, {collapse_sql(entities_sql("regexp_replace(snippet, '<[^>]+>', ' ', 'g')"))} AS snippet FROM w1 JOIN best USING (query_id, provider) WHERE regexp_extract(url, '//([^/:]+)', 1) NOT LIKE '%.example.org' AND regexp_extract(url, '//([^/:]+)', 1) <> 'example.org'),
+w3 AS (SELECT query_id, rank, url, {_share_sql("words", f"lower({_WEB('title', 200)} || ' ' || {_WEB('snippet', 1200)})")} AS relevance FROM w2),
+w4 AS (SELECT query_id, url, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS rank FROM w3)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, url, round(relevance, 6) AS relevance FROM w4 WHERE relevance >= 0.03 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3""")
 def w8_web_evidence(spark, sf_dir):
     rows = _results(spark, sf_dir)
     body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("rank", "title", "url", F.col("snippet").alias("content")))).alias("results")))
@@ -372,7 +464,9 @@ def w8_web_evidence(spark, sf_dir):
     return out.select("query_id", "rank", "url", F.round("relevance", 6).alias("relevance"))
 
 
-@query("w9_web_contexts")
+@query("w9_web_contexts", f"""WITH {_RES_SQL}, k AS (SELECT * FROM sc WHERE relevance >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3),
+own AS (SELECT url, max({page_text_sql("html")}) AS page FROM pages GROUP BY url), c AS (SELECT query_id, rank, title, k.url, lower(title) AS snippet, coalesce(nullif(page, ''), nullif(lower(title), '')) AS body FROM k LEFT JOIN own ON own.url = k.url)
+SELECT *, 'Sumber web: ' || title || ' (' || url || ')' || chr(10) || body AS content FROM c WHERE body IS NOT NULL""")
 def w9_web_contexts(spark, sf_dir):
     kept = W.evidence_gate(_scored(spark, sf_dir), 0.1, 1)
     return W.web_contexts(kept, page_documents(read(spark, sf_dir, "pages")).select("url", "content"))
@@ -431,6 +525,19 @@ def e7_token_cost(spark, sf_dir):
     return V.token_cost(read(spark, sf_dir, "conversations"), "text")
 
 
+@query("e8_eval_run_md5", f"""WITH {_RETRIEVE_SQL}, top5 AS (SELECT * FROM found WHERE rank <= 5), w AS (SELECT DISTINCT query_id, expected FROM questions WHERE expected IS NOT NULL),
+pos AS (SELECT w.query_id, min(rank) AS place FROM w LEFT JOIN top5 ON top5.query_id = w.query_id AND top5.filename = w.expected GROUP BY w.query_id),
+kind AS (SELECT a.query_id, a.query_id NOT IN (SELECT query_id FROM top5) AS none, a.query_id IN (SELECT query_id FROM w) AS yes FROM a),
+m AS (SELECT coalesce(avg((place <= 5)::INT::DOUBLE), 0) AS m1, coalesce(avg(coalesce(1.0 / place, 0)), 0) AS m2, coalesce(avg(coalesce((place = 1)::INT, 0)), 0) AS m3 FROM (SELECT coalesce(place, 99) AS place FROM pos)),
+m2 AS (SELECT coalesce(avg(coalesce(1.0 / place, 0)), 0) AS mrr FROM pos),
+r AS (SELECT coalesce(avg(none::INT) FILTER (NOT yes), 1) AS r1, coalesce(avg(1 - none::INT) FILTER (NOT yes), 0) AS r2, coalesce(avg(none::INT) FILTER (yes), 0) AS r3 FROM kind)
+SELECT unnest(['recall_at_k', 'mrr', 'citation_correctness', 'no_answer_accuracy', 'hallucination_rate', 'false_no_answer_rate']) AS metric, round(unnest([m1, mrr, m3, r1, r2, r3]), 6) AS value FROM m, m2, r""")
+def e8_eval_run_md5(spark, sf_dir):
+    """All metrics of the retrieval over whole documents."""
+    q, own, index = _md5_inputs(spark, sf_dir)
+    return V.eval_run(q, own, index=index)[0].select("metric", F.round("value", 6).alias("value"))
+
+
 @query("e8_eval_run")
 def e8_eval_run(spark, sf_dir):
     own, index = indexed(spark, sf_dir)

@@ -16,17 +16,18 @@ AUDIT_SCHEMA = "timestamp timestamp, action string, workspace_id string, user_id
 _LAYOUT = r"workspaces/([^/]+)/files/([^/]+)/v(\d+)/([^/]+)$"
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("path", _LAYOUT, i)
+def _keyed(df: DataFrame, layout: str = _LAYOUT) -> DataFrame:
+    part = lambda i: F.regexp_extract("path", layout, i)
     return df.select(
         part(1).alias("workspace_id"), part(2).alias("file_id"), part(3).try_cast("int").alias("version"), F.url_decode(part(4)).alias("filename"),
         F.col("modificationTime").alias("arrived_at"), F.col("length").alias("size_bytes"), "content",
     )
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Bodies laid out as workspaces/{workspace}/files/{file}/v{n}/{name}, with the parts of their path."""
-    return _keyed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)).where("workspace_id <> ''")
+def read_files(spark: SparkSession, root: str, layout: str = _LAYOUT) -> DataFrame:
+    """Bodies laid out as workspaces/{workspace}/files/{file}/v{n}/{name}, with the parts of their path. layout: a
+    pattern of paths laid out otherwise, with groups for workspace, file, version and name."""
+    return _keyed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), layout).where("workspace_id <> ''")
 
 
 def stream_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
