@@ -3,12 +3,12 @@
 Every string of WIDTH bytes holds a fingerprint of GRAM bytes that is the rightmost smallest of its
 hashes, so equal strings have equal fingerprints at the same place. Neighbouring strings with one
 fingerprint make a context: the bytes that they cover together. Only contexts whose fingerprint occurs
-more than once can hold repeats. The different contexts of a fingerprint go to a task together, those
-that occur more than once with their first and their last copy. The task sorts the suffixes that start
-a string, takes the common prefixes of neighbours (up to WIDTH), and finds for each the previous and the next smaller
-position in suffix order and so its longest previous factor (and by larger positions its longest next
-factor): a factor of WIDTH bytes or more is a repeat. What holds for the last copy of a context holds
-for all between it and the first.
+more than once can hold repeats. The different contexts of a fingerprint go to a task together, and the
+suffixes of one that occurs more than once count twice, for its first copy and for a later one. The task
+sorts the suffixes that start a string, takes the common prefixes of neighbours (up to WIDTH), and finds
+for each the previous and the next smaller position in suffix order and so its longest previous factor
+(and by larger positions its longest next factor): a factor of WIDTH bytes or more is a repeat. What
+holds for one later copy of a context holds for all.
 
 A fingerprint with more than CONTEXTS different contexts (a very common line in ever other
 surroundings) would be a group without bound. It is split by the strings themselves: Spark groups equal
@@ -79,7 +79,7 @@ def _dense(keys: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `starts` (ascending) in the order of their first `width` bytes, ties by position, and the
+    """The suffixes at `starts` in the order of their first `width` bytes, ties by their place in `starts`, and the
     common prefix of each with the one before: `width`, or 0 for all that is less.
 
     Ranks by a prefix's length come from the ranks of its parts; prefixes grow threefold each time
@@ -124,11 +124,11 @@ def _back(place: np.ndarray, common: np.ndarray, width: int) -> np.ndarray:
 
 def longest_factors(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous and longest next factors of the suffixes at `starts`: what they have in common with one
-    that starts earlier, or later. Lengths up to `width`; 0 stands for all that are shorter."""
+    that stands earlier, or later, in `starts`. Lengths up to `width`; 0 stands for all that are shorter."""
     order, common = suffix_order(data, starts, width)
-    place, reverse = starts[order], np.concatenate([common[:1], common[:0:-1]])
+    reverse = np.concatenate([common[:1], common[:0:-1]])
     out = []
-    for p in (place, -place):
+    for p in (order, -order):
         both = np.maximum(_back(p, common, width), _back(p[::-1], reverse, width)[::-1])
         found = np.empty_like(both)
         found[order] = both
@@ -160,13 +160,13 @@ def _anchors(with_hashes: bool, width: int, gram: int):
 
 
 def _cut(width: int):
-    names = ["h", "c", "strings", "hot", "again", "a", "b", "start", "bytes"]
+    names = ["h", "c", "strings", "hot", "twice", "a", "b", "start", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             for i in range(batch.num_rows):
-                now = a, b = batch["a"][i].as_py(), batch["b"][i].as_py()
+                now = batch["a"][i].as_py(), batch["b"][i].as_py()
                 if now == last:  # a row that repeats id and text
                     continue
                 last, raw = now, batch["text"][i].as_py().encode()
@@ -180,53 +180,47 @@ def _cut(width: int):
 
 def _factors(width: int):
     """Streams contexts sorted by (h, a, b, start); yields (h, c, later, both, again) of those with repeats: which
-    strings of the first copy occur earlier, which anywhere else, and which of the last copy occur earlier."""
+    strings of the first copy occur earlier, which anywhere else, and which of a later copy occur earlier."""
     runs_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     types = [pa.int64(), pa.int64(), runs_type, runs_type, runs_type]
 
-    def solve(keys: list[tuple[int, int]], last: list[bool], texts: list[bytes], strings: list[int]) -> Iterator[tuple]:
-        base = np.cumsum([0, *map(len, texts)])[:-1]
-        count = np.array(strings)
+    def solve(keys: list[tuple[int, int]], twice: list[bool], texts: list[bytes], strings: list[int]) -> Iterator[tuple]:
+        base, count = np.cumsum([0, *map(len, texts)])[:-1], np.array(strings)
         ends = np.cumsum(count)
         place = np.repeat(base - (ends - count), count) + np.arange(ends[-1])
-        previous, next_ = longest_factors(np.frombuffer(b"".join(texts), np.uint8), place, width)
-        later, both = previous >= width, (previous >= width) | (next_ >= width)
+        # Where the later copy of a context stands after the first changes nothing, so they all come last.
+        more = np.repeat(np.array(twice), count)
+        previous, following = longest_factors(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([place, place[more]]), width)
+        later, both = previous[: len(place)] >= width, np.maximum(previous, following)[: len(place)] >= width
+        again = np.zeros(len(place), bool)
+        again[more] = previous[len(place) :] >= width
         held = np.add.reduceat(both, ends - count) > 0
-        found: dict[tuple[int, int], list] = {}
         for i in np.flatnonzero(held).tolist():
             mine = slice(ends[i] - count[i], ends[i])
-            row = found.setdefault(keys[i], [[], [], []])
-            if last[i]:
-                row[2] = _runs(later[mine])
-            else:
-                row[0], row[1] = _runs(later[mine]), _runs(both[mine])
-        for key, row in found.items():
-            yield *key, *row
+            yield *keys[i], *(_runs(flags[mine]) for flags in (later, both, again))
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "c", "later", "both", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, last, texts, strings, size, now = [], [], [], [], 0, None
-        seen: set[tuple] = set()
+        keys, twice, texts, strings, size, now, seen = [], [], [], [], 0, None, set()
         for batch in batches:
-            for h, c, n, again, text in zip(*(batch[k].to_pylist() for k in ("h", "c", "strings", "again", "bytes")), strict=True):
+            for h, c, n, more, text in zip(*(batch[k].to_pylist() for k in ("h", "c", "strings", "twice", "bytes")), strict=True):
                 if h != now:
-                    seen.clear()
+                    now, seen = h, set()
                     if size > BATCH:
-                        yield record(list(solve(keys, last, texts, strings)))
-                        keys, last, texts, strings, size = [], [], [], [], 0
-                now = h
-                if (c, again) in seen:  # cut from a row that repeats id and text
+                        yield record(list(solve(keys, twice, texts, strings)))
+                        keys, twice, texts, strings, size = [], [], [], [], 0
+                if c in seen:  # cut from a row that repeats id and text
                     continue
-                seen.add((c, again))
+                seen.add(c)
                 keys.append((h, c))
-                last.append(again)
+                twice.append(more)
                 texts.append(text)
                 strings.append(n)
                 size += len(text)
-        yield record(list(solve(keys, last, texts, strings)) if keys else [])
+        yield record(list(solve(keys, twice, texts, strings)) if keys else [])
 
     return run
 
@@ -240,8 +234,8 @@ def _strings(width: int):
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch["bytes"][i].as_py(), np.uint8)
                 x, y = (k.windows(k.prefix(data), width).view(np.int64) for k in (_HASH, other))
-                same = [pa.array([batch[k][i].as_py()] * len(x), batch[k].type) for k in ("h", "c", "again", "a", "b", "start")]
-                yield pa.record_batch([*same, pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], names=["h", "c", "again", "a", "b", "start", "at", "x", "y"])
+                same = [pa.array([batch[k][i].as_py()] * len(x), batch[k].type) for k in ("h", "c", "twice", "a", "b", "start")]
+                yield pa.record_batch([*same, pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], names=["h", "c", "twice", "a", "b", "start", "at", "x", "y"])
 
     return run
 
@@ -251,14 +245,12 @@ _RUNS = "array<struct<lo: long, hi: long>>"
 
 def _hot_factors(contexts: DataFrame, width: int) -> DataFrame:
     """What `_factors` yields, by counting: no task holds all contexts of a fingerprint."""
-    rows = contexts.mapInArrow(_strings(width), "h long, c long, again boolean, a long, b long, start long, at long, x long, y long")
+    rows = contexts.mapInArrow(_strings(width), "h long, c long, twice boolean, a long, b long, start long, at long, x long, y long")
     here = F.struct("a", "b", (F.col("start") + F.col("at")).alias("p"))
     # A row that repeats id and text gives the same places again, which aren't other copies.
-    firsts = rows.groupBy("h", "x", "y").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
-    run = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
-    none = F.array().cast(_RUNS)
-    later = F.when(here != F.col("first"), run).otherwise(none)
-    found = rows.join(firsts, ["h", "x", "y"]).select("h", "c", F.when(F.col("again"), none).otherwise(later).alias("later"), F.when(F.col("again"), none).otherwise(run).alias("both"), F.when(F.col("again"), later).otherwise(none).alias("again"))
+    firsts = rows.groupBy("h", "x", "y").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("twice").alias("more")).where("first <> last or more").select("h", "x", "y", "first")
+    run, none = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))), F.array().cast(_RUNS)
+    found = rows.join(firsts, ["h", "x", "y"]).select("h", "c", F.when(here != F.col("first"), run).otherwise(none).alias("later"), run.alias("both"), F.when(F.col("twice"), run).otherwise(none).alias("again"))
     return found.groupBy("h", "c").agg(*[F.flatten(F.collect_list(k)).alias(k) for k in ("later", "both", "again")])
 
 
@@ -284,17 +276,16 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
     many = distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > contexts)
     hot = stored(many.withColumn("hot", F.lit(True)), "hot")  # at most a fingerprint for each `contexts` contexts
     marked = spread_join(distinct, hot.select("h", "hot"), ["h"], hot_keys(hot, ["h"], "m", distinct.count()), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    one = lambda at, again: F.struct(*[F.col(k) for k in ("h", "c", "strings", "hot")], F.lit(again).alias("again"), F.col(f"{at}.a").alias("a"), F.col(f"{at}.b").alias("b"), F.col(f"{at}.start").alias("start"))
-    copies = F.when(F.col("first") < F.col("last"), F.array(one("first", False), one("last", True))).otherwise(F.array(one("first", False)))
-    places = marked.select(F.explode(copies).alias("x")).select("x.*").groupBy("a", "b").agg(F.collect_list(F.struct("h", "c", "strings", "hot", "again", "start")).alias("places"))
-    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, again boolean, a long, b long, start long, bytes binary")
+    one = F.struct("h", "c", "strings", "hot", (F.col("first") < F.col("last")).alias("twice"), F.col("first.start").alias("start"))
+    places = marked.groupBy("first.a", "first.b").agg(F.collect_list(one).alias("places"))
+    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, twice boolean, a long, b long, start long, bytes binary")
     found = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}, again {_RUNS}")
     if not hot.isEmpty():
         found = found.unionByName(_hot_factors(cut.where("hot").drop("hot"), width))
 
+    # One plan from here to the result, so that the texts are shuffled once for the cut and for the removal.
     known = distinct.join(found, ["h", "c"], "left").select("h", "c", "n", "first", "later", "both", "again", (F.col("first") == F.col("last")).alias("same"))
-    known = stored(known.where("both is not null or n > 1"), "known")
-    rows = spread_join(shared, known, ["h", "c"], hot_keys(known, ["h", "c"], "n", shared.count()), "left")  # every context gets its answer, none if it has no repeats
+    rows = spread_join(shared, known, ["h", "c"], hot_keys(distinct, ["h", "c"], "n", shared.count()), "left")  # every context gets its answer, none if it has no repeats
     nothing = F.array().cast(_RUNS)
     if keep_first:
         runs = F.when(here == F.col("first"), F.coalesce("later", nothing)).otherwise(F.coalesce("again", nothing))

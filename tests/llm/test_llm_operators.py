@@ -366,6 +366,12 @@ def test_longest_factors_match_plain_lpf(width):
             assert (previous[i], following[i]) == (before if before == width else 0, after if after == width else 0)
 
 
+def test_factors_of_a_suffix_that_stands_twice():
+    data = np.frombuffer(b"abcdefghij", np.uint8)
+    previous, following = suffix_dedup.longest_factors(data, np.array([0, 1, 2, 1]), 5)
+    assert previous.tolist() == [0, 0, 0, 5] and following.tolist() == [0, 5, 0, 0]
+
+
 def test_suffix_order_is_sorted():
     data = np.frombuffer(bytes(random.Random(4).choices(b"abc", k=3000)), np.uint8)
     at = np.arange(0, 2900)
