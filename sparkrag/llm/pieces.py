@@ -10,7 +10,7 @@ units there; units between word starts are remembered, which makes the pass over
 lookups. Decoding joins the pieces and bytes and turns the word mark back into a blank.
 
 Cases: a null or empty text has no pieces; a text that holds the word mark itself, or starts with
-blanks, decodes to blanks in its place and to the same blanks; equal texts have equal ids; long texts
+blanks, decodes to blanks in its place (so it is not restored) and to the same blanks; equal texts have equal ids; long texts
 are worked through unit by unit; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -84,30 +84,35 @@ class Automaton:
                 at = self.output[at]
             self.ends.append(tuple(found))
 
-    def viterbi(self, text: str, unknown: float) -> list[tuple[int, int, int]]:
-        """(start, end, id) of the best segmentation; id -1 for a character in no piece."""
-        n, state, best = len(text), 0, [0.0] * (len(text) + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+    def viterbi(self, text: str, unknown: float) -> Iterator[tuple[int, int, int]]:
+        """(start, end, id) of the best segmentation; id -1 for a character in no piece. Three numbers are kept a character."""
+        n, state = len(text), 0
+        best, back, piece = array("d", bytes(8 * n + 8)), array("q", bytes(8 * n + 8)), array("q", bytes(8 * n + 8))
         for end in range(1, n + 1):
             c = text[end - 1]
             while state and c not in self.next[state]:
                 state = self.fail[state]
             state = self.next[state].get(c, 0)
-            top, single = None, False
+            top, single, start, found = None, False, 0, -1
             for size, score, i in self.ends[state]:
                 total = best[end - size] + score
                 single |= size == 1
                 if top is None or total > top:
-                    top, back[end] = total, (end - size, i)
+                    top, start, found = total, end - size, i
             if not single and (top is None or best[end - 1] + unknown > top):
-                top, back[end] = best[end - 1] + unknown, (end - 1, -1)
-            best[end] = top
-        out, at = [], n
-        while at:
-            start, i = back[at]
-            out.append((start, at, i))
-            at = start
-        return out[::-1]
+                top, start, found = best[end - 1] + unknown, end - 1, -1
+            best[end], back[end], piece[end] = top, start, found
+        at = n  # the way back is turned round in place: piece[start] and back[start] come to tell of the piece from start on
+        end, found = -1, -1
+        while True:
+            before, own = back[at], piece[at]
+            back[at], piece[at] = end, found
+            if at == 0:
+                break
+            end, found, at = at, own, before
+        while (end := back[at]) >= 0:
+            yield at, end, piece[at]
+            at = end
 
 
 class PieceModel:
@@ -204,7 +209,7 @@ SIZE = 16 << 20
 
 
 def _encoded(path: str | None):
-    """(doc_id, text) to COUNTS, the text that decoding should give, and ids."""
+    """(doc_id, text) to COUNTS, the text itself, and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
@@ -213,7 +218,7 @@ def _encoded(path: str | None):
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
                 ids = model.encode(text)
-                rows.append((batch.column(0)[i].as_py(), len(ids) // 4, zlib.crc32(ids), len(text.encode()), text.replace(MARK, " ")))
+                rows.append((batch.column(0)[i].as_py(), len(ids) // 4, zlib.crc32(ids), len(text.encode()), text))
                 ids_out.append(ids)
                 size += len(ids)
                 if size > SIZE:

@@ -81,6 +81,18 @@ def test_piece_query_returns_ids(spark, tmp_path):
     assert all(r["restored"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in done)
 
 
+def test_long_run_without_a_cut():
+    """One unit of 200,000 characters, against the same model in short parts that can be cut nowhere else."""
+    model = pieces.PieceModel(pieces=[("<unk>", 0.0, pieces.UNK), ("a", -1.0, pieces.NORMAL), ("aa", -1.5, pieces.NORMAL), ("aaa", -3.0, pieces.NORMAL)], prefix=False)
+    ids = np.frombuffer(model.encode("a" * 200_001), "<u4")
+    assert len(ids) == 100_001 and sorted(np.bincount(ids).tolist()) == [0, 1, 100_000]
+
+
+def test_a_text_with_the_mark_is_not_restored(spark):
+    done = pieces.encode_pieces(documents(spark, [(1, "a b"), (2, "a▁b")])).collect()
+    assert {r["doc_id"]: r["restored"] for r in done} == {1: True, 2: False}
+
+
 def test_restored_is_told_from_the_ids(spark, monkeypatch):
     """With a decoder that spoils the ids, nothing but empty texts is restored."""
     plain = pieces.decode_pieces
