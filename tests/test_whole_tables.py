@@ -121,3 +121,13 @@ def test_metadata_texts(spark):
     row = spark.range(1).select(T.answer_meta_json(F.lit("grounded"), used, F.lit(2)).alias("a"), T.web_log_json(F.array(F.struct(F.lit("t").alias("title"), F.lit(None).cast("string").alias("rejected")))).alias("w")).first()
     assert json.loads(row["a"]) == {"answer_kind": "grounded", "used_chunk_ids": ["c1", "c2"], "citation_count": 2, "web_fallback": {}}
     assert json.loads(row["w"]) == {"results": [{"title": "t", "rejected": None}], "error": None}
+
+
+def test_tables_of_a_database(spark):
+    from sparkrag.sources import io
+
+    url = "jdbc:derby:memory:sparkrag;create=true"
+    rows = [(i, f"w{i % 3}") for i in range(50)]
+    spark.createDataFrame(rows, "id long, workspace_id string").write.jdbc(url, "files", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = io.read_jdbc(spark, url, "files", "id", 0, 50, 4)
+    assert got.rdd.getNumPartitions() == 4 and sorted((r[0], r[1]) for r in got.collect()) == rows
