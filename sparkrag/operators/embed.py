@@ -31,7 +31,7 @@ def hash_vectors(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
                 words = _WORD.findall(batch[i].as_py() or "")
                 at = list(map(bucket.get, words))
                 if None in at:
-                    for w in set(words) - bucket.keys():
+                    for w in {w for w, b in zip(words, at, strict=True) if b is None}:
                         bucket[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % dim
                     at = [bucket[w] for w in words]
                 counts = np.bincount(at, minlength=dim + 1)[:dim].astype(float) if at else out[i]
