@@ -34,7 +34,7 @@ from sparkrag.llm.common import ByteHasher, hot_keys, slices, spread_join, store
 
 WIDTH, GRAM = 200, 64
 #: Most different contexts of a fingerprint that one task sorts; bytes sorted at a time; piece of a long text.
-CONTEXTS, BATCH, PIECE = 2048, 1 << 19, 1 << 18
+CONTEXTS, BATCH, PIECE = 2048, 1 << 16, 1 << 18
 NO_ID = -(1 << 63)
 _HASH = ByteHasher(41)
 
@@ -136,9 +136,17 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
     return out[0], out[1]
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+def runs_of(flags: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The runs [lo, hi) of true flags of each part; a part starts at each of `first`, and counts from there."""
+    new = np.zeros(len(flags), bool)
+    new[first] = True
+    begin, end = flags.copy(), flags.copy()
+    begin[1:] &= ~flags[:-1] | new[1:]
+    end[:-1] &= ~flags[1:] | new[1:]
+    lo, hi = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    owner = np.searchsorted(first, lo, side="right") - 1
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(lo - first[owner]), pa.array(hi - first[owner])], names=["lo", "hi"]))
 
 
 def _anchors(with_hashes: bool, width: int, gram: int):
@@ -181,27 +189,18 @@ def _cut(width: int):
 def _factors(width: int):
     """Streams contexts sorted by (h, a, b, start); yields (h, c, later, both, again) of those with repeats: which
     strings of the first copy occur earlier, which anywhere else, and which of a later copy occur earlier."""
-    runs_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-    types = [pa.int64(), pa.int64(), runs_type, runs_type, runs_type]
-
-    def solve(keys: list[tuple[int, int]], twice: list[bool], texts: list[bytes], strings: list[int]) -> Iterator[tuple]:
+    def solve(keys: list[tuple[int, int]], twice: list[bool], texts: list[bytes], strings: list[int]) -> pa.RecordBatch:
         base, count = np.cumsum([0, *map(len, texts)])[:-1], np.array(strings)
-        ends = np.cumsum(count)
-        place = np.repeat(base - (ends - count), count) + np.arange(ends[-1])
+        first = np.cumsum(count) - count
+        place = np.repeat(base - first, count) + np.arange(count.sum())
         # Where the later copy of a context stands after the first changes nothing, so they all come last.
         more = np.repeat(np.array(twice), count)
         previous, following = longest_factors(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([place, place[more]]), width)
         later, both = previous[: len(place)] >= width, np.maximum(previous, following)[: len(place)] >= width
         again = np.zeros(len(place), bool)
         again[more] = previous[len(place) :] >= width
-        held = np.add.reduceat(both, ends - count) > 0
-        for i in np.flatnonzero(held).tolist():
-            mine = slice(ends[i] - count[i], ends[i])
-            yield *keys[i], *(_runs(flags[mine]) for flags in (later, both, again))
-
-    def record(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "c", "later", "both", "again"])
+        cols = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + [runs_of(flags, first) for flags in (later, both, again)]
+        return pa.record_batch(cols, names=["h", "c", "later", "both", "again"]).filter(pa.array(np.add.reduceat(both, first) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, twice, texts, strings, size, now, seen = [], [], [], [], 0, None, set()
@@ -210,7 +209,7 @@ def _factors(width: int):
                 if h != now:
                     now, seen = h, set()
                     if size > BATCH:
-                        yield record(list(solve(keys, twice, texts, strings)))
+                        yield solve(keys, twice, texts, strings)
                         keys, twice, texts, strings, size = [], [], [], [], 0
                 if c in seen:  # cut from a row that repeats id and text
                     continue
@@ -220,7 +219,8 @@ def _factors(width: int):
                 texts.append(text)
                 strings.append(n)
                 size += len(text)
-        yield record(list(solve(keys, twice, texts, strings)) if keys else [])
+        if keys:
+            yield solve(keys, twice, texts, strings)
 
     return run
 

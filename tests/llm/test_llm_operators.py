@@ -378,6 +378,24 @@ def test_longest_factors_match_plain_lpf(width):
             assert (previous[i], following[i]) == (before if before == width else 0, after if after == width else 0)
 
 
+def test_runs_of_parts():
+    rng = random.Random(11)
+    for _ in range(40):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 12))]
+        flags = np.array([rng.random() < 0.6 for _ in range(sum(sizes))])
+        first = np.cumsum([0, *sizes])[:-1]
+        want = []
+        for a, n in zip(first.tolist(), sizes, strict=True):
+            part, runs = flags[a : a + n].tolist(), []
+            for i, f in enumerate(part):
+                if f and (i == 0 or not part[i - 1]):
+                    runs.append({"lo": i, "hi": i + 1})
+                elif f:
+                    runs[-1]["hi"] = i + 1
+            want.append(runs)
+        assert suffix_dedup.runs_of(flags, first).to_pylist() == want
+
+
 def test_factors_of_a_suffix_that_stands_twice():
     data = np.frombuffer(b"abcdefghij", np.uint8)
     previous, following = suffix_dedup.longest_factors(data, np.array([0, 1, 2, 1]), 5)
