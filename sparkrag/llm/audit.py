@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkrag.llm.common import shared_folder
+from sparkrag.llm.common import shared_folder, tidied
 
 FILTERS = "ABCDE"
 _PROVIDER, _ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -150,7 +150,7 @@ def audit_stream(docs: DataFrame, labels: DataFrame, folder: str, buckets: int =
     executors share; the same folder goes on where it stopped, also after a failure.
     """
     spark = docs.sparkSession
-    added = masked(docs, labels).mapInArrow(_added, "key binary, mask int, part string, good int, toxic int, n_null long, n long, least long, n_least long")
+    added = masked(docs, labels).mapInArrow(tidied(_added), "key binary, mask int, part string, good int, toxic int, n_null long, n long, least long, n_least long")
     # Nullable longs reach pandas as floats, which hold large ids only roughly; n tells whether there is a smallest id.
     added = added.withColumn("least", F.coalesce("least", F.lit(0)))
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """Folder all executors see: spark.checkpoint.dir. Where none is set a temporary one is made if the executors run
+    in the driver's process, as in tests; on a cluster that is an error, since rows written there would be lost."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sparkrag-")
         sc.setCheckpointDir(folder)
     return folder
@@ -50,6 +54,28 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 1 << 2
         at, before = end, int(total[end - 1])
 
 
+#: What operators remember in a worker from task to task, by name: how to forget it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str | None = None):
+    """run, a task's work on its batches, that leaves a small worker behind: what other operators remember is
+    forgotten first, and memory that is free at the end goes back to the system. A worker lives as long as its executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in CACHES.items():
+            if name != uses:
+                forget()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+    return task
+
+
 def kept_rows(docs: DataFrame, decide: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """The rows of docs whose texts `decide` says yes to, a bounded part of a batch at a time."""
 
@@ -58,7 +84,7 @@ def kept_rows(docs: DataFrame, decide: Callable[[list[str | None]], np.ndarray])
             yes = [decide(part["text"].to_pylist()) for part in slices(batch, "text")]
             yield batch.filter(pa.array(np.concatenate(yes) if yes else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import slices
+from sparkrag.llm.common import slices, tidied
 
 GRAMS, BITS = 4, 16
 #: Documents of a language to learn from, about; added to each count; bytes of the broadcast matrix; characters worked on at a time.
@@ -175,7 +175,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Lan
     # The rate of a language is the share of the ids' hashes that is drawn; languages of SAMPLE documents or fewer are taken whole.
     rate = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, sample / n))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select("lang", "text")
-    counted = drawn.mapInArrow(_counted(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = drawn.mapInArrow(tidied(_counted(bits)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     row = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(languages), 1 << bits))
     counts[[row[x] for x in counted["lang"].to_pylist()], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
@@ -192,4 +192,4 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 lang, score = sent.value.predict(part["text"].to_pylist())
                 yield pa.record_batch([part["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import stored
+from sparkrag.llm.common import stored, tidied
 from sparkrag.llm.voronoi import by_length, inner_products, matrix, quantised, usable
 
 #: Rows of a block, of a leaf and of a query block; boxes under one of the next level; tiles at most; rows of the sample.
@@ -307,8 +307,8 @@ class Forest:
             at += cuts[n].count
         self.tiles = at
         schema = "key string, label long, v array<long>, ids array<long>"
-        self.rows = stored(merged.mapInArrow(_tiled(cuts), f"{schema}, tile long"), "tiles")
-        boxes = stored(self.rows.mapInArrow(_boxes, "tile long, lo array<long>, hi array<long>, first long, last long, n long"), "boxes")
+        self.rows = stored(merged.mapInArrow(tidied(_tiled(cuts)), f"{schema}, tile long"), "tiles")
+        boxes = stored(self.rows.mapInArrow(tidied(_boxes), "tile long, lo array<long>, hi array<long>, first long, last long, n long"), "boxes")
         sides = boxes.select("tile", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "side")).groupBy("tile", "i").agg(F.min("side.lo").alias("lo"), F.max("side.hi").alias("hi"))
         kinds = boxes.groupBy("tile").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
         box: dict[int, list] = {}
@@ -319,7 +319,7 @@ class Forest:
 
     def find(self, asked: DataFrame, k: int, same: bool, low: float = 0, high: float = 0) -> DataFrame:
         """(key, bound, vec_id, score): for each row of asked (key, label, v, bounds) its k best rows of the same label, or of other labels in each window."""
-        sent = stored(asked.mapInArrow(_routed(self.directory, not same, k, low, high), "key string, label long, v array<long>, bounds array<long>, tile long"), "routed")
+        sent = stored(asked.mapInArrow(tidied(_routed(self.directory, not same, k, low, high)), "key string, label long, v array<long>, bounds array<long>, tile long"), "routed")
         load = {r["tile"]: r["n"] for r in sent.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # a row for each tile
         held = {r["tile"]: r["n"] for r in self.boxes}
         blocks = lambda count, size: F.element_at(F.lit([max(1, -(-int(count.get(t, 0)) // size)) for t in range(self.tiles)]), F.col("tile").cast("int") + 1)
