@@ -58,20 +58,29 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 1 << 2
 CACHES: dict[str, Callable[[], None]] = {}
 
 
+def forget_others(uses: str | None) -> None:
+    for name, forget in CACHES.items():
+        if name != uses:
+            forget()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str | None = None):
     """run, a task's work on its batches, that leaves a small worker behind: what other operators remember is
-    forgotten first, and memory that is free at the end goes back to the system. A worker lives as long as its executor."""
+    forgotten first, and free memory is given back at the end. A worker lives as long as its executor."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, forget in CACHES.items():
-            if name != uses:
-                forget()
+        forget_others(uses)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library, which has no such call
-            pass
+        release()
 
     return task
 
