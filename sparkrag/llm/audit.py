@@ -4,14 +4,16 @@ Each document fails some of the filters FILTERS; which ones is its mask. Four fi
 The fifth, E, looks for the same text under a smaller id, so a document that arrives later can change
 the mask of one that was counted before. The stream reads the files as available-now micro-batches. Texts
 stay where they are read: a document goes on as the hash of its text, its mask, its part and its labels,
-and rows of one text and kind are added up before the shuffle. Keyed state holds for each text the
+and rows of one text and kind are added up before the shuffle. The state has for each text the
 smallest id so far and how many rows of which kind have it. When a smaller id arrives the state
-retracts the earlier rows' masks (minus one without E, plus one with E) and takes the new id. A micro-batch
-writes the changes of its counters (part, mask, good, toxic) under its own number, so a batch that runs
-again replaces its own changes, and the sums of all changes are the counters. The report of all orders is made from them.
+retracts the earlier rows' masks (minus one without E, plus one with E) and takes the new id. The counters
+(part, mask, good, toxic) are the sums of all batches' changes, and the report of all orders is made from them.
 
-State grows with the number of different texts and lives in RocksDB, on disk; the counters are at most 128
-for each part.
+State and changes are tables: each micro-batch writes the new state of the texts that it touched, and
+its changes, under its own number, and reads the state of the batches before it. So a batch that runs again
+replaces what it wrote, and nothing counts twice. The state has a small row for each different text; as
+every batch joins it, batches should be large (a batch of a hundredth of the files reads each row a hundred
+times, some percent of the texts' own size each). The counters are at most 128 for each part.
 
 Cases: a null text is an empty one; a null lang is the part ''; a null id is not smaller than any id nor
 any smaller than it, so it never fails E nor makes others fail; rows that repeat the smallest id of a text all pass E;
@@ -24,18 +26,13 @@ from __future__ import annotations
 import itertools
 import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkrag.llm.common import shared_folder, tidied
+from sparkrag.llm.common import shared_folder
 
 FILTERS = "ABCDE"
-_PROVIDER, _ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COUNTERS = "part string, mask int, good int, toxic int, n long"
 
 
@@ -54,119 +51,68 @@ def masked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(kinds, "id", "left").select("key", "mask", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), "id")
 
 
-_KIND = ["key", "mask", "part", "good", "toxic"]
-_ADDED = pa.schema([("key", pa.binary()), ("mask", pa.int32()), ("part", pa.string()), ("good", pa.int32()), ("toxic", pa.int32()), ("n_null", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("n_least", pa.int64())])
-#: Different texts and kinds that a task holds at most while it adds up.
-_HELD = 20_000
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text and kind added up: how many have no id, how many have one, the smallest, and how many have that."""
-    found: dict[tuple, list] = {}
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*((*kind, *sums) for kind, sums in found.items()), strict=True)) or [[]] * len(_ADDED)
-        found.clear()
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ADDED, strict=True)], schema=_ADDED)
-
-    for batch in batches:
-        for *kind, i in zip(*(batch[c].to_pylist() for c in (*_KIND, "id")), strict=True):
-            sums = found.setdefault(tuple(kind), [0, 0, None, 0])
-            if i is None:
-                sums[0] += 1
-                continue
-            sums[1] += 1
-            if sums[2] is None or i < sums[2]:
-                sums[2], sums[3] = i, 0
-            sums[3] += i == sums[2]
-        if len(found) > _HELD:
-            yield flush()
-    yield flush()
-
-
-#: Groups that the texts' hashes are dealt to: calls of the stateful step for a micro-batch. Fixed for the life of a folder.
-BUCKETS = 1024
-
-
-class _Least(StatefulProcessor):
-    """Keeps for each text of a bucket the smallest id and the rows that have it, and gives the changes of the counters."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.texts = handle.getMapState("texts", "key binary", "least long, held string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        changes: dict[tuple, int] = {}
-        for frame in rows:
-            by: dict[bytes, list] = {}
-            for text, *row in zip(*(frame[c].tolist() for c in _ADDED.names), strict=True):
-                by.setdefault(text, []).append(row)
-            for text, added in by.items():
-                known = self.texts.getValue((text,))
-                new = merged(known and (known[0], _unpacked(known[1])), added, changes)
-                if new is not None:
-                    self.texts.updateValue((text,), (new[0], json.dumps([[*kind, n] for kind, n in new[1].items()])))
-        out = [(kind[0], mask, kind[1], kind[2], n) for (kind, mask), n in changes.items() if n]
-        yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "n"])
-
-    def close(self) -> None:
-        pass
-
-
-def _unpacked(held: str) -> dict[tuple, int]:
-    return {tuple(kind): n for *kind, n in json.loads(held)}
-
-
-def merged(known: tuple[int, dict] | None, added: list, changes: dict[tuple, int]) -> tuple[int, dict] | None:
-    """The state (smallest id, rows of each kind that have it) of a text after new rows (mask, part, good, toxic,
-    n_null, n, least, n_least); None if it is as before. Adds to the changes of the counters (kind, mask)."""
-    mask = added[0][0]  # that of the text
-    before, held = known or (None, {})
-    least = min([*(int(r[6]) for r in added if r[5]), *([] if before is None else [before])], default=None)
-
-    def change(kind: tuple, fails: bool, n: int) -> None:
-        at = kind, mask | fails << 4
-        changes[at] = changes.get(at, 0) + n
-
-    touched = before is not None and least < before
-    if touched:  # what passed E so far now fails it
-        for kind, n in held.items():
-            change(kind, False, -n)
-            change(kind, True, n)
-        held = {}
-    for _, part, good, toxic, n_null, n, smallest, n_least in added:
-        kind = part, int(good), int(toxic)
-        first = int(n_least) if n and int(smallest) == least else 0
-        change(kind, False, int(n_null) + first)
-        change(kind, True, int(n) - first)
-        if first:
-            touched, held[kind] = True, held.get(kind, 0) + first
-    return (least, held) if touched else None
-
-
-def audit_stream(docs: DataFrame, labels: DataFrame, folder: str, buckets: int = BUCKETS) -> DataFrame:
+_HELD = "array<struct<part: string, good: int, toxic: int, n: long>>"
+_CHANGES = "array<struct<part: string, mask: int, good: int, toxic: int, n: long>>"
+_STEP = f"key binary, least long, held {_HELD}, changes {_CHANGES}"
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """(key, mask, least, kinds) of rows of `masked`, one for each text: the smallest id, and for each kind how many
+    rows have no id, how many have one, the smallest of these, and how many have that. A text of many rows
+    is added up before it is shuffled, and has as many kinds as there are parts and labels at most."""
+    kind = ["key", "mask", "part", "good", "toxic"]
+    ids = rows.groupBy(*kind, "id").agg(F.count("*").alias("c"))
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "c"))).alias("first")
+    kinds = ids.groupBy(*kind).agg(F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("c"))), F.lit(0)).alias("n_null"), F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), least)
+    one = F.struct("part", "good", "toxic", "n_null", "n", F.col("first.id").alias("least"), F.coalesce("first.c", F.lit(0)).alias("n_least"))
+    return kinds.groupBy("key").agg(F.first("mask").alias("mask"), F.min("first.id").alias("least"), F.collect_list(one).alias("kinds"))
+
+
+def merged(added: DataFrame, state: DataFrame) -> DataFrame:
+    """(key, least, held, changes) of the texts of `added_up`, given the state (key, least, held): the new state of each
+    text, null where it stays as it was, and the changes of the counters."""
+    rows = added.join(state.select("key", F.col("least").alias("before"), "held"), "key", "left")
+    retracted = F.coalesce(F.col("least") < F.col("before"), F.lit(False))
+    now = F.least("least", "before")  # of the two the one that isn't null
+    none = F.array()
+    held = F.coalesce("held", none.cast(_HELD))
+    change = lambda k, e, n: F.struct(k["part"].alias("part"), (F.col("mask") + 16 * e).cast("int").alias("mask"), k["good"].alias("good"), k["toxic"].alias("toxic"), n.cast("long").alias("n"))
+    first = lambda k: F.when(k["least"] == F.col("_now"), k["n_least"]).otherwise(0)
+    # A smaller id: what passed E so far now fails it.
+    undone = F.when(F.col("_retracted"), F.concat(F.transform(held, lambda k: change(k, 0, -k["n"])), F.transform(held, lambda k: change(k, 1, k["n"])))).otherwise(none.cast(_CHANGES))
+    passed, failed = F.transform("kinds", lambda k: change(k, 0, k["n_null"] + first(k))), F.transform("kinds", lambda k: change(k, 1, k["n"] - first(k)))
+    fresh = F.transform(F.filter("kinds", lambda k: k["least"] == F.col("_now")), lambda k: F.struct(k["part"].alias("part"), k["good"].alias("good"), k["toxic"].alias("toxic"), k["n_least"].cast("long").alias("n")))
+    rows = rows.withColumns({"_retracted": retracted, "_now": now}).withColumn("_fresh", fresh)
+    touched = F.size("_fresh") > 0
+    kept = F.concat(F.when(F.col("_retracted"), none.cast(_HELD)).otherwise(held), "_fresh")
+    changes = F.filter(F.concat(undone, passed, failed), lambda c: c["n"] != 0)
+    return rows.select("key", F.when(touched, F.col("_now")).alias("least"), F.when(touched, kept).alias("held"), changes.alias("changes"))
+
+
+def _state(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """(key, least, held) of all texts that batches before this one have seen."""
+    rows = spark.read.schema(f"{_STEP}, batch long").parquet(f"{folder}/steps").where((F.col("batch") < before) & F.col("least").isNotNull())
+    return rows.groupBy("key").agg(F.max_by(F.struct("least", "held"), "batch").alias("s")).select("key", "s.least", "s.held")
+
+
+def audit_stream(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     """Runs the stream docs (doc_id, text, lang) to its present end; returns the counters (part, mask, good, toxic, n).
 
     labels: (doc_id, quality, toxic), a table. folder: progress, state and changes, in a place that all
     executors share; the same folder goes on where it stopped, also after a failure.
     """
     spark = docs.sparkSession
-    added = masked(docs, labels).mapInArrow(tidied(_added), "key binary, mask int, part string, good int, toxic int, n_null long, n long, least long, n_least long")
-    # Nullable longs reach pandas as floats, which hold large ids only roughly; n tells whether there is a smallest id.
-    added = added.withColumn("least", F.coalesce("least", F.lit(0)))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    changes = added.select(bucket, *_ADDED.names).groupBy("bucket").transformWithStateInPandas(_Least(), _COUNTERS, "Update", "None")
-
-    def write(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, before if before and "HDFSBacked" not in before else _ROCKSDB)
-    try:  # the query takes the setting with it when it starts
-        query = changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
-    query.awaitTermination()
+    spark.createDataFrame([], _STEP).write.mode("overwrite").parquet(f"{folder}/steps/batch=-1")  # so that there is a table
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        keys = added_up(masked(batch, labels))
+        merged(keys, _state(session, folder, number)).write.mode("overwrite").parquet(f"{folder}/steps/batch={number}")
+        done = session.read.schema(_STEP).parquet(f"{folder}/steps/batch={number}")
+        sums = done.select(F.inline("changes")).groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
+        sums.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    docs.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return counters(spark, folder)
 
 

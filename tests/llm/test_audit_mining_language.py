@@ -88,14 +88,38 @@ def test_audit_retracts_when_smaller_ids_arrive(spark, tmp_path):
     assert counted.agg(F.sum("n")).first()[0] == len(rows) and counted.where("n < 0").count() == 0
 
 
-def test_audit_merges_states():
-    changes = {}
-    state = audit.merged(None, [(1, "en", 1, 0, 1, 3, 7, 2)], changes)
-    assert state == (7, {("en", 1, 0): 2}) and changes == {(("en", 1, 0), 1): 3, (("en", 1, 0), 17): 1}
-    assert audit.merged(state, [(1, "de", 0, 0, 0, 2, 9, 1)], changes) is None
-    assert audit.merged(state, [(1, "de", 0, 0, 0, 1, 5, 1)], changes) == (5, {("de", 0, 0): 1})
-    assert {k: n for k, n in changes.items() if n} == {(("en", 1, 0), 1): 1, (("en", 1, 0), 17): 3, (("de", 0, 0), 17): 2, (("de", 0, 0), 1): 1}
-    assert audit.merged(None, [(0, "en", 0, 0, 4, 0, 0, 0)], {}) is None
+def test_audit_merges_states(spark):
+    """The state and the changes of one text by batches: new, larger id, smaller id, the same id again, no id."""
+    kind = "part string, good int, toxic int"
+    state = spark.createDataFrame([], f"key binary, least long, held array<struct<{kind}, n: long>>")
+    seen = {}
+    for rows, least, held in [
+        ([("en", 7), ("en", 7), ("en", 8), ("en", None)], 7, {("en", 2)}), ([("de", 9), ("de", 9)], None, None), ([("de", 5), ("en", 6)], 5, {("de", 1)}), ([("fr", 5)], 5, {("de", 1), ("fr", 1)}), ([("fr", None)], None, None),
+    ]:
+        df = spark.createDataFrame([(bytearray(b"k"), 1, part, 0, 0, i) for part, i in rows], "key binary, mask int, part string, good int, toxic int, id long")
+        (got,) = audit.merged(audit.added_up(df), state).collect()
+        assert got["least"] == least and (held is None) == (got["held"] is None)
+        if held is not None:
+            assert {(h["part"], h["n"]) for h in got["held"]} == held
+            state = spark.createDataFrame([(got["key"], got["least"], [tuple(h) for h in got["held"]])], state.schema)
+        for c in got["changes"]:
+            seen[c["part"], c["mask"]] = seen.get((c["part"], c["mask"]), 0) + c["n"]
+    assert {k: n for k, n in seen.items() if n} == {("en", 1): 1, ("en", 17): 4, ("de", 1): 1, ("de", 17): 2, ("fr", 1): 2}
+
+
+def test_audit_batch_that_runs_again(spark, tmp_path):
+    rows, labels = _texts(4)
+    label_table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    spark.createDataFrame([(*r, "p", 1, 2, 3, "k") for r in rows], AUDITED).repartition(4).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        docs = spark.readStream.schema(AUDITED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return _report(audit.filter_interactions(docs, label_table, str(tmp_path / "audit")))
+
+    whole = run()
+    (tmp_path / "audit/progress/commits/3").unlink()  # as if the last batch had been lost after its writes
+    (tmp_path / "audit/progress/commits/.3.crc").unlink(missing_ok=True)
+    assert run() == whole == _plain_audit(rows, labels)
 
 
 def test_audit_query_and_empty_table(spark, tmp_path):
