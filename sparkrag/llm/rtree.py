@@ -104,12 +104,19 @@ class RTree:
         self.rows, starts = np.concatenate(groups), np.cumsum([0, *map(len, groups)])
         ordered, own = x[self.rows], labels[self.rows]
         box = lambda a, b, ends: (np.minimum.reduceat(a, ends[:-1]), np.maximum.reduceat(b, ends[:-1]))
+        self.ordered, self.most = ordered, float(np.abs(ordered).max()) * x.shape[1]
+        self.floats = ordered.astype(np.float64)
         self.levels = [(starts, *box(ordered, ordered, starts), *box(own, own, starts))]
         while len(self.levels[-1][0]) > 2:
             n = len(self.levels[-1][0]) - 1
             ends = np.append(np.arange(0, n, fan), n)
             _, lo, hi, first, last = self.levels[-1]
             self.levels.append((ends, *box(lo, hi, ends), *box(first, last, ends)))
+        self.ends = [level[0].tolist() for level in self.levels]
+
+    def products(self, q: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Of q with the rows from a to b in tree order; through doubles where no sum can pass 2**53."""
+        return self.floats[a:b] @ q.astype(np.float64) if self.most * float(np.abs(q).max()) < 2.0**53 else self.ordered[a:b] @ q
 
     def intervals(self, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Least and greatest possible products of each row of q with each box, by level."""
@@ -121,59 +128,59 @@ def intervals(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return inner_products(up, lo) + inner_products(down, hi), inner_products(up, hi) + inner_products(down, lo)
 
 
-class Best:
-    """The k best (score, id) so far, ties to the smaller id; full: the k-th score, else None."""
-
-    def __init__(self, k: int):
-        self.k, self.full = k, None
-        self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        if self.full is not None:
-            good = score >= self.full
-            score, ids = score[good], ids[good]
-        if len(score):
-            score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
-            top = np.lexsort((ids, -score))[: self.k]
-            self.score, self.ids = score[top], ids[top]
+class Windows:
+    """The k best (score, id) in each of an anchor's score windows [low, high], ties to the smaller id."""
+
+    def __init__(self, k: int, low: list[float], high: list[float]):
+        self.k, self.low, self.high = k, np.array(low, float), np.array(high, float)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(low)
+        self.least = self.low.copy()  # what a score must reach: the k-th once there are k, before that the window's low end
+        self.ends = list(zip(self.least.tolist(), self.high.tolist(), strict=True))
+
+    def open(self, most: float) -> bool:
+        """Whether a box of that upper bound can still hold one of the best: not if it is strictly below."""
+        return any(min(most, high) >= least for least, high in self.ends)
+
+    def add(self, score: np.ndarray, rows: np.ndarray, ids: list[np.ndarray]) -> None:
+        good = (score >= self.least[:, None]) & (score <= self.high[:, None])
+        for w in np.flatnonzero(good.any(axis=1)).tolist():
+            mine = np.flatnonzero(good[w])
+            own = [ids[r] for r in rows[mine].tolist()]
+            s = np.concatenate([self.found[w][0], np.repeat(score[mine], [len(i) for i in own]).astype(np.int64)])
+            i = np.concatenate([self.found[w][1], *own])
+            top = np.lexsort((i, -s))[: self.k]
+            self.found[w] = s[top], i[top]
             if len(top) == self.k:
-                self.full = int(self.score[-1])
-
-
-def search(tree: RTree, x: np.ndarray, ids: list[np.ndarray], q: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]], at: int, label: int, same: bool, windows: list[tuple[float, float, Best]]) -> int:
-    """Best-first search of one anchor; fills each window's best rows with scores in [low, high]. Returns how many leaves it read."""
-    floor = min((low for low, _, _ in windows), default=np.inf)
-
-    def wanted(level: int, box: int) -> bool:
-        least, most = bounds[level][0][at, box], bounds[level][1][at, box]
-        _, _, _, first, last = tree.levels[level]
-        if not first[box] <= label <= last[box] if same else first[box] == label == last[box]:
-            return False
-        return any(most >= low and least <= high and (best.full is None or min(most, high) >= best.full) for low, high, best in windows)
-
+                self.least[w] = s[top[-1]]
+        self.ends = list(zip(self.least.tolist(), self.high.tolist(), strict=True))
+
+
+def search(tree: RTree, ids: list[np.ndarray], q: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]], label: int, same: bool, windows: Windows) -> int:
+    """Best-first search of one anchor q; fills its windows. bounds: of its products with the boxes, by level. Returns
+    how many leaves it read."""
+    able, most = [], []
+    for (_, _, _, first, last), (low, high) in zip(tree.levels, bounds, strict=True):
+        inside = (high >= windows.low[:, None]) & (low <= windows.high[:, None])
+        kind = (first <= label) & (label <= last) if same else ~((first == label) & (last == label))
+        able.append((inside.any(axis=0) & kind).tolist())
+        most.append(high.tolist())
     top, read = len(tree.levels) - 1, 0
-    queue = [(-int(bounds[top][1][at, b]), top, b) for b in range(len(tree.levels[top][0]) - 1) if wanted(top, b)]
+    queue = [(-most[top][b], top, b) for b, ok in enumerate(able[top]) if ok]
     heapq.heapify(queue)
     while queue:
-        most, level, box = heapq.heappop(queue)
-        if -most < floor:
-            break
-        if not wanted(level, box):  # what was found since may rule it out
+        high, level, box = heapq.heappop(queue)
+        if not windows.open(-high):
+            if -high < min(least for least, _ in windows.ends):
+                break  # and so are all boxes that are left
             continue
-        a, b = tree.levels[level][0][box : box + 2]
+        a, b = tree.ends[level][box], tree.ends[level][box + 1]
         if level:
             for child in range(a, b):
-                if wanted(level - 1, child):
-                    heapq.heappush(queue, (-int(bounds[level - 1][1][at, child]), level - 1, child))
+                if able[level - 1][child] and windows.open(most[level - 1][child]):
+                    heapq.heappush(queue, (-most[level - 1][child], level - 1, child))
             continue
         read += 1
-        rows = tree.rows[a:b]
-        score = inner_products(q[at : at + 1], x[rows])[0]
-        for low, high, best in windows:
-            good = (score >= low) & (score <= high) & (True if best.full is None else score >= best.full)
-            if good.any():
-                mine = rows[good]
-                best.add(np.repeat(score[good], [len(ids[r]) for r in mine]), np.concatenate([ids[r] for r in mine]))
+        windows.add(tree.products(q, a, b), tree.rows[a:b], ids)
     return read
 
 
@@ -196,17 +203,13 @@ def _searched(k: int, same: bool, low: float, high: float):
         ids, labels = _lists(data["ids"]), data["label"].to_numpy()
         tree = RTree(labels, x)
         bounds = tree.intervals(q)
-        keys, own = asked["key"].to_pylist(), asked["label"].to_numpy()
-        scores = _lists(asked["bounds"])
-        out = [[], [], [], []]
+        keys, own, scores, out = asked["key"].to_pylist(), asked["label"].to_numpy(), _lists(asked["bounds"]), [[], [], [], []]
         for i, key in enumerate(keys):
-            if same:
-                windows = [(-np.inf, np.inf, Best(k))]
-            else:
-                windows = [(-(-low * int(p) // 100), high * int(p) // 100, Best(k)) for p in scores[i]]
-            search(tree, x, ids, q, bounds, i, own[i], same, windows)
-            for n, (_, _, best) in enumerate(windows):
-                for column, values in zip(out, ([key] * len(best.ids), [None if same else int(scores[i][n])] * len(best.ids), best.ids.tolist(), best.score.tolist()), strict=True):
+            ranges = [(-np.inf, np.inf)] if same else [(-(-low * int(p) // 100), high * int(p) // 100) for p in scores[i]]
+            windows = Windows(k, [a for a, _ in ranges], [b for _, b in ranges])
+            search(tree, ids, q[i], [(a[i], b[i]) for a, b in bounds], own[i], same, windows)
+            for n, (score, found) in enumerate(windows.found):
+                for column, values in zip(out, ([key] * len(found), [None if same else int(scores[i][n])] * len(found), found.tolist(), score.tolist()), strict=True):
                     column.extend(values)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
 

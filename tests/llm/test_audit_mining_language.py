@@ -185,18 +185,18 @@ def test_tree_passes_over_boxes():
     x = np.repeat(centres, 64, axis=0) + rng.integers(-5, 6, (2560, 8))
     labels = np.arange(len(x)) % 2
     tree, ids = rtree.RTree(labels, x, leaf=32), [np.array([i]) for i in range(len(x))]
-    q = x[:1]
-    bounds, scores = tree.intervals(q), (x @ q[0])
-    best = rtree.Best(5)
-    read = rtree.search(tree, x, ids, q, bounds, 0, 0, True, [(-np.inf, np.inf, best)])
-    want = sorted((-s, i) for i, s in enumerate(scores) if labels[i] == 0)[:5]
-    assert [(-s, i) for s, i in zip(best.score.tolist(), best.ids.tolist(), strict=True)] == want
+    q = x[0]
+    bounds, scores = [(a[0], b[0]) for a, b in tree.intervals(x[:1])], x @ q
+    pairs = lambda windows: [(-s, i) for s, i in zip(*(a.tolist() for a in windows.found[0]), strict=True)]
+    best = rtree.Windows(5, [-np.inf], [np.inf])
+    read = rtree.search(tree, ids, q, bounds, 0, True, best)
+    assert pairs(best) == sorted((-s, i) for i, s in enumerate(scores.tolist()) if labels[i] == 0)[:5]
     assert read < (len(tree.levels[0][0]) - 1) // 4  # of all leaves
     top = int(scores.max())
-    hard = rtree.Best(3)
-    rtree.search(tree, x, ids, q, bounds, 0, 0, False, [(top // 2, 19 * top // 20, hard)])
-    want = sorted((-s, i) for i, s in enumerate(scores) if labels[i] == 1 and top // 2 <= s <= 19 * top // 20)[:3]
-    assert [(-s, i) for s, i in zip(hard.score.tolist(), hard.ids.tolist(), strict=True)] == want
+    hard = rtree.Windows(3, [top // 2], [19 * top // 20])
+    read = rtree.search(tree, ids, q, bounds, 0, False, hard)
+    assert pairs(hard) == sorted((-s, i) for i, s in enumerate(scores.tolist()) if labels[i] == 1 and top // 2 <= s <= 19 * top // 20)[:3]
+    assert read < (len(tree.levels[0][0]) - 1) // 4
 
 
 def test_str_packs_all_rows_once():
