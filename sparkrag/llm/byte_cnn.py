@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import kept_rows, slices, training_ids, training_rows
+from sparkrag.llm.common import kept_rows, slices, tidied, training_ids, training_rows
 
 WIDTH, FILTERS = 7, 24
 CHUNK, STRIDE = 512, 256
@@ -173,4 +173,4 @@ def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
             scores = [net.score((t or "").encode()) for part in slices(batch, "text") for t in part["text"].to_pylist()]
             yield pa.record_batch([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import LOWER, ByteHasher, hot_keys, mix64, slices, spread_join, stored, word_spans
+from sparkrag.llm.common import LOWER, ByteHasher, hot_keys, mix64, slices, spread_join, stored, tidied, word_spans
 from sparkrag.llm.components import connected_components
 
 WORDS, ROWS, BANDS = 5, 6, 32
@@ -207,7 +207,7 @@ def _confirmed(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = stored(own.mapInArrow(_sketch, "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"), "sketches")
+    sketched = stored(own.mapInArrow(tidied(_sketch), "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"), "sketches")
     classes = stored(
         sketched.where("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes",
@@ -222,12 +222,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     members = groups.join(sizes.select("component", blocks.alias("blocks")), "component").select("node", F.col("component").alias("group"), "blocks")
     texts = own.withColumnRenamed("doc_id", "node").join(members, "node")
-    sets = texts.select("group", "node", "blocks", "text").mapInArrow(_sets, "group long, node long, shingles array<long>, blocks int")
+    sets = texts.select("group", "node", "blocks", "text").mapInArrow(tidied(_sets), "group long, node long, shingles array<long>, blocks int")
     mine = sets.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "group", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "node", "shingles"
     )
-    links = paired.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_confirmed(percent), "u long, v long")
+    links = paired.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(tidied(_confirmed(percent)), "u long, v long")
     found = connected_components(links)
 
     by_class = stored(classes.select("class_a", "class_b", "node").join(found, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component")), "by-class")

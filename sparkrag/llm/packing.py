@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrag.llm.common import tidied
+
 CAPACITY, END_ID, GROUP = 1024, 0, 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -139,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
                     rows = []
         yield _record(rows + [(d, s, len(x) // 4, zlib.crc32(x), n, q, o) for d, s, x, n, q, o in packer.finish()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run, "tokens"), SCHEMA)
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:

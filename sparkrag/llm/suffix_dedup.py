@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import ByteHasher, hot_keys, slices, spread_join, stored
+from sparkrag.llm.common import ByteHasher, hot_keys, slices, spread_join, stored, tidied
 
 WIDTH, GRAM = 200, 64
 #: Most different contexts of a fingerprint that one task sorts; bytes sorted at a time; piece of a long text.
@@ -245,7 +245,7 @@ _RUNS = "array<struct<lo: long, hi: long>>"
 
 def _hot_factors(contexts: DataFrame, width: int) -> DataFrame:
     """What `_factors` yields, by counting: no task holds all contexts of a fingerprint."""
-    rows = contexts.mapInArrow(_strings(width), "h long, c long, twice boolean, a long, b long, start long, at long, x long, y long")
+    rows = contexts.mapInArrow(tidied(_strings(width)), "h long, c long, twice boolean, a long, b long, start long, at long, x long, y long")
     here = F.struct("a", "b", (F.col("start") + F.col("at")).alias("p"))
     # A row that repeats id and text gives the same places again, which aren't other copies.
     firsts = rows.groupBy("h", "x", "y").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("twice").alias("more")).where("first <> last or more").select("h", "x", "y", "first")
@@ -265,9 +265,9 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
     that occur earlier too (keep_first) or anywhere else; spans may overlap, and there may be none."""
     own = keyed(docs)
     long_ = own.where(F.octet_length("text") >= width)
-    counts = stored(long_.mapInArrow(_anchors(False, width, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
+    counts = stored(long_.mapInArrow(tidied(_anchors(False, width, gram)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    anchors = long_.mapInArrow(_anchors(True, width, gram), "a long, b long, h long, c long, start long, strings int")
+    anchors = long_.mapInArrow(tidied(_anchors(True, width, gram)), "a long, b long, h long, c long, start long, strings int")
     shared = stored(spread_join(anchors, counts.select("h"), ["h"], hot_keys(counts, ["h"], "n", total)), "contexts")
 
     here = F.struct("a", "b", "start")
@@ -278,8 +278,8 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, width: int = WIDTH,
     marked = spread_join(distinct, hot.select("h", "hot"), ["h"], hot_keys(hot, ["h"], "m", distinct.count()), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     one = F.struct("h", "c", "strings", "hot", (F.col("first") < F.col("last")).alias("twice"), F.col("first.start").alias("start"))
     places = marked.groupBy("first.a", "first.b").agg(F.collect_list(one).alias("places"))
-    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(_cut(width), "h long, c long, strings int, hot boolean, twice boolean, a long, b long, start long, bytes binary")
-    found = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(_factors(width), f"h long, c long, later {_RUNS}, both {_RUNS}, again {_RUNS}")
+    cut = own.join(places, ["a", "b"]).select("a", "b", "text", "places").mapInArrow(tidied(_cut(width)), "h long, c long, strings int, hot boolean, twice boolean, a long, b long, start long, bytes binary")
+    found = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "a", "b", "start").mapInArrow(tidied(_factors(width)), f"h long, c long, later {_RUNS}, both {_RUNS}, again {_RUNS}")
     if not hot.isEmpty():
         found = found.unionByName(_hot_factors(cut.where("hot").drop("hot"), width))
 
@@ -335,7 +335,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row with its repeats removed."""
     rows = keyed(docs).join(repeated_spans(docs, **how), ["a", "b"], "left").select("a", "text", "spans")
-    return rows.mapInArrow(_digests, "a long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.mapInArrow(tidied(_digests), "a long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def _id() -> Column:
@@ -368,4 +368,4 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     text = F.col("row")["text"]
     rows = row.select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NO_ID)).alias("a"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("b"))
     joined = rows.join(repeated_spans(docs, **how), ["a", "b"], "left")
-    return joined.select("row", "spans").mapInArrow(_texts(docs.columns), docs.schema)
+    return joined.select("row", "spans").mapInArrow(tidied(_texts(docs.columns)), docs.schema)

@@ -12,6 +12,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+from sparkrag.llm.common import CACHES
+
 #: Words kept; the cache starts anew beyond that.
 WORDS = 400_000
 
@@ -22,6 +24,9 @@ def byte_bpe(path: str | None = None) -> ByteBpe:
     return ByteBpe(path)
 
 
+CACHES["tokens"] = byte_bpe.cache_clear
+
+
 class ByteBpe:
     def __init__(self, path: str | None = None):
         import public_tokenizers

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.common import LOWER, ByteHasher, kept_rows, slices, training_ids, training_rows, word_spans
+from sparkrag.llm.common import LOWER, ByteHasher, kept_rows, slices, tidied, training_ids, training_rows, word_spans
 
 SAMPLE, FOLDS = 6000, 5
 BITS, PREFIXES, KEEP, MIN_DOCS = 22, (4, 5), 3000, 3
@@ -178,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
     """Fits on at most `sample` labelled documents, half of them with the last category where possible."""
     categories = CATEGORIES if categories is None else categories
     rows = training_rows(docs, training_ids(docs, labels, categories, sample), sample)
-    got = rows.mapInArrow(_featured, ", ".join(["doc_id long", *(f"{c} int" for c in categories), "features array<int>"])).toArrow()
+    got = rows.mapInArrow(tidied(_featured), ", ".join(["doc_id long", *(f"{c} int" for c in categories), "features array<int>"])).toArrow()
     ends, flat = got["features"].combine_chunks().offsets.to_numpy(), got["features"].combine_chunks().values.to_numpy()
     found = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return fit_chain(found, got.select(list(categories)).to_pandas(), list(categories))
@@ -197,7 +197,7 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.record_batch([part["doc_id"], *(pa.array(got[:, i]) for i in range(len(names))), *yes], names=["doc_id", *names, *flags])
 
     schema = ", ".join(["doc_id long", *(f"{n} double" for n in names), *(f"{n} int" for n in flags)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), schema)
 
 
 def drop_flagged(docs: DataFrame, chain: Chain, category: str = "toxic") -> DataFrame:
