@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PRIVATE_V4 = (("127.0.0.0", 8), ("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16))
+# Networks whose addresses are never fetched.
+PRIVATE_NETWORKS = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10")
 PAGE_TYPES = ("text/html", "text/plain", "application/xhtml+xml")
 
 
@@ -48,33 +51,101 @@ def domain_rules(rows: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     return rows.withColumn("_host", url_host(F.col(url))).join(flags.select(F.col("host").alias("_host"), ok.alias("allowed")), "_host").drop("_host")
 
 
-def _address(host: Column) -> Column:
-    """An IPv4 literal as a number, else null."""
-    parts = F.transform(F.split(host, r"\."), lambda p: p.try_cast("long"))
-    good = F.rlike(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")) & F.forall(parts, lambda p: p <= 255)
-    return F.when(good, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
+def _whole(text: Column, base: int, digits: str) -> Column:
+    """text as a number of that base if it has these digits only, else null."""
+    return F.when(F.rlike(text, F.lit(f"^[{digits}]+$")), F.conv(text, base, 10).try_cast("long"))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ipv4_number(host: Column) -> Column:
+    """An IPv4 literal as a number, else null: one to four parts, decimal, octal (0...) or hexadecimal (0x...), of
+    which the last fills the bytes that are left."""
+    hexadecimal = lambda p: F.when(F.length(p) <= 10, _whole(F.substring(p, 3, 9), 16, "0-9a-f"))
+    number = lambda p: F.when(F.startswith(p, F.lit("0x")), hexadecimal(p)).when(F.startswith(p, F.lit("0")), F.when(F.length(p) <= 12, _whole(p, 8, "0-7"))).otherwise(F.when(F.length(p) <= 10, _whole(p, 10, "0-9")))
+
+    def total(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        room = F.element_at(F.array(*[F.lit(256**i) for i in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+        head = F.aggregate(F.slice(parts, 1, n - 1), F.lit(0).cast("long"), lambda a, p: a * 256 + p) * room
+        good = (n <= 4) & F.forall(parts, lambda p: p.isNotNull()) & F.forall(F.slice(parts, 1, n - 1), lambda p: p <= 255) & (last < room)
+        return F.when(good, head + last)
+
+    return F.when(F.rlike(host, F.lit("^[0-9a-fx.]+$")), _let(F.transform(F.split(host, r"\."), number), total))
+
+
+def _hex_groups(bare: Column) -> Column:
+    """The address with a dotted end written as two groups; null if that isn't one."""
+    tail = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
+    pair = lambda b: F.when(F.forall(b, lambda p: p <= 255), F.lower(F.concat_ws(":", F.hex(F.get(b, F.lit(0)) * 256 + F.get(b, F.lit(1))), F.hex(F.get(b, F.lit(2)) * 256 + F.get(b, F.lit(3))))))
+    octets = lambda dotted: F.transform(F.split(dotted, r"\."), lambda p: p.try_cast("long"))
+    joined = lambda dotted: F.when(dotted == "", bare).otherwise(F.concat(F.regexp_replace(bare, tail, ""), _let(octets(dotted), pair)))
+    return _let(F.regexp_extract(bare, f"(?:^|:)({tail[:-1]})$", 1), joined)
+
+
+def ipv6_halves(text: Column) -> Column:
+    """An IPv6 literal (no brackets) as a struct (hi, lo) of its upper and lower 64 bits, else null: with or without
+    leading zeros, one run of zero groups left out, the last two groups dotted, a zone."""
+    half = lambda numbers, at: F.aggregate(F.slice(numbers, at, 4), F.lit(0).cast("long"), lambda a, g: F.shiftleft(a, 16).bitwiseOR(g))
+    halves = lambda numbers: F.struct(half(numbers, 1).alias("hi"), half(numbers, 5).alias("lo"))
+
+    def whole(sides: Column) -> Column:
+        """sides: one or two lists of groups, what stands on either side of ::."""
+        groups = F.flatten(sides)
+        n, short = F.size(groups), F.size(sides) == 2
+        good = (F.size(sides) <= 2) & ((short & (n <= 7)) | (~short & (n == 8))) & F.forall(groups, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0)))
+        filled = F.concat(F.element_at(sides, 1), zeros, F.when(short, F.element_at(sides, -1)).otherwise(F.array().cast("array<string>")))
+        return F.when(good, _let(F.transform(filled, lambda g: F.conv(g, 16, 10).try_cast("long")), halves))
+
+    sides = lambda plain: F.transform(F.split(plain, "::", -1), lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1)))
+    return _let(_hex_groups(F.regexp_replace(F.lower(text), "%.*$", "")), lambda plain: _let(sides(plain), whole))
+
+
+_MAPPED = 0xFFFF << 32
+
+
+def address_halves(host: Column) -> Column:
+    """An address literal as (hi, lo) of 128 bits, IPv4 as its mapped IPv6 address; null for names."""
+    v4 = lambda number: F.when(number.isNotNull(), F.struct(F.lit(0).cast("long").alias("hi"), (number + _MAPPED).alias("lo")))
+    inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    return F.when(F.startswith(host, F.lit("[")), F.when(inner != "", ipv6_halves(inner))).otherwise(_let(ipv4_number(host), v4))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def in_networks(address: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Column:
+    """Whether (hi, lo) lies in one of the networks, by prefix length; mapped addresses count as IPv4. False for null."""
+
+    def inside(a: Column) -> Column:
+        tests = []
+        for text in networks:
+            net = ipaddress.ip_network(text)
+            number, bits = (int(net.network_address), net.prefixlen) if net.version == 6 else (_MAPPED + int(net.network_address), net.prefixlen + 96)
+            mask = (1 << 128) - (1 << 128 - bits)
+            for half, shift in (("hi", 64), ("lo", 0)):
+                kept, want = (_signed(x >> shift & (1 << 64) - 1) for x in (mask, number))
+                tests.append(a[half].bitwiseAND(F.lit(kept)) == F.lit(want))
+        return reduce(lambda x, y: x | y, [tests[i] & tests[i + 1] for i in range(0, len(tests), 2)])
+
+    return F.coalesce(_let(address, inside), F.lit(False))
 
 
 def private_address(host: Column) -> Column:
-    """Loopback, private, link-local (with the metadata address) and unique local literals."""
-    number = _address(host)
-    tests = []
-    for net, bits in _PRIVATE_V4:
-        low = reduce(lambda a, p: a * 256 + int(p), net.split("."), 0)
-        tests.append(number.between(low, low + 2 ** (32 - bits) - 1))
-    v6 = F.rlike(host, F.lit(r"^\[(::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|::ffff:169\.254\.169\.254)\]$"))
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) | v6
+    """Loopback, private, link-local (with the metadata address) and unique local literals, however they are spelled."""
+    return in_networks(address_halves(host))
 
 
 def url_static_check(url: Column) -> Column:
     """null if the URL may be fetched, else the reason."""
     scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = url_host(url)
-    return (
-        F.when(~scheme.isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), scheme))
-        .when(host.isin("", "[]"), "No hostname in URL")
-        .when(private_address(host), F.concat(F.lit("Private address: "), host))
-    )
+    of_host = lambda host: F.when(host.isin("", "[]"), "No hostname in URL").when(private_address(host), F.concat(F.lit("Private address: "), host))
+    return F.when(~scheme.isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), scheme)).otherwise(_let(url_host(url), of_host))
 
 
 def page_gate(final_url: Column, status: Column, content_type: Column, n_bytes: Column, most: int = 200_000, types: tuple[str, ...] = PAGE_TYPES) -> Column:

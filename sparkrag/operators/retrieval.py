@@ -7,15 +7,14 @@ texts are joined to the few rows that are left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrag.functions.text import content_tokens, keywords, rewrite_query, should_rewrite, title_tokens
+from sparkrag.functions.text import content_tokens, rewrite_query, should_rewrite, title_tokens
+from sparkrag.operators.keyword import KeywordIndex, keyword_index, keyword_search, postings  # noqa: F401
 from sparkrag.settings import DEFAULTS, Settings
 from sparkrag.sources.io import settled
 
@@ -32,7 +31,7 @@ def top_by(df: DataFrame, k: int, by: list[str], *order: Column, name: str = "ra
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def _unit(col: pa.Array) -> np.ndarray:
+def unit_rows(col: pa.Array) -> np.ndarray:
     rows = [np.asarray(x if x is not None else [], np.float64) for x in col.to_pylist()]
     width = max((len(r) for r in rows), default=0)
     out = np.zeros((len(rows), width))
@@ -48,7 +47,7 @@ def _nearest(k: int):
         schema = pa.schema([("query_id", queries.schema.field("query_id").type), ("chunk_id", chunks.schema.field("chunk_id").type), ("dense_score", pa.float64())])
         if not chunks.num_rows or not queries.num_rows:
             return schema.empty_table()
-        x, q = _unit(chunks["embedding"].combine_chunks()), _unit(queries["embedding"].combine_chunks())
+        x, q = unit_rows(chunks["embedding"].combine_chunks()), unit_rows(queries["embedding"].combine_chunks())
         if x.shape[1] != q.shape[1]:
             return schema.empty_table()
         order = pc.sort_indices(chunks["chunk_id"].combine_chunks())  # ties go to the smaller id
@@ -69,16 +68,21 @@ def _blocks(df: DataFrame, by: list[str], size: int, name: str, key: str) -> tup
     return df.join(counts, by).withColumn(name, F.pmod(F.xxhash64(key), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), counts
 
 
+def block_pairs(rows: DataFrame, asked: DataFrame, by: list[str], size: int, asked_size: int) -> tuple[DataFrame, DataFrame]:
+    """rows (by, chunk_id, ...) and asked (by, query_id, ...) with the numbers d and q of their blocks, each row once for every block of the other side that it meets."""
+    data, n_data = _blocks(rows, by, size, "d", "chunk_id")
+    queries, n_asked = _blocks(asked, by, asked_size, "q", "query_id")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    return data.join(n_asked, by).withColumn("q", spread("n_q")), queries.join(n_data, by).withColumn("d", spread("n_d"))
+
+
 def dense_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidates, by: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, dense_score, rank): the k chunks of the workspace with the largest cosine, ties to
     the smaller chunk_id. Blocks of chunks meet blocks of queries of the same workspace in numpy; each
     pair of blocks returns k rows a query. dense_score is max(0, cosine), 0 with a zero vector."""
     by = by or ["workspace_id"]
-    data, n_data = _blocks(chunks.where("embedding is not null").select(*by, "chunk_id", "embedding"), by, BLOCK, "d", "chunk_id")
-    asked, n_asked = _blocks(queries.where("embedding is not null").select(*by, "query_id", "embedding"), by, QUERY_BLOCK, "q", "query_id")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = data.join(n_asked, by).withColumn("q", spread("n_q"))
-    right = asked.join(n_data, by).withColumn("d", spread("n_d"))
+    rows, asked = chunks.where("embedding is not null").select(*by, "chunk_id", "embedding"), queries.where("embedding is not null").select(*by, "query_id", "embedding")
+    left, right = block_pairs(rows, asked, by, BLOCK, QUERY_BLOCK)
     keys = [*by, "d", "q"]
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, dense_score double"
     fresh = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in (*keys, *cols)]).groupBy(*keys)  # noqa: E731  the sides may share a source
@@ -86,79 +90,6 @@ def dense_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidate
     return top_by(pairs.applyInArrow(_nearest(k), schema), k, ["query_id"], F.desc("dense_score"), F.col("chunk_id"))
 
 
-def ivf_cells(chunks: DataFrame, lists: int = 100, sample: int = 50_000, seed: int = 1) -> np.ndarray:
-    """Unit centres of k-means over a sample of at most `sample` unit vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = chunks.where("embedding is not null").select("chunk_id", "embedding", size.alias("_n")).where("_n > 0").orderBy(F.xxhash64("chunk_id")).limit(sample)
-    vectors = unit.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_n"))).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=15).fit(vectors)
-    centres = np.array(model.clusterCenters())  # `lists` rows
-    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-
-
-def ivf_knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.candidates, lists: int = 100, probes: int = 75, centres: np.ndarray | None = None) -> DataFrame:
-    """Approximate `dense_knn`: a query searches the `probes` cells nearest to it, exactly within them.
-    Centres are fitted on a bounded sample; every chunk is in the index. The default of probes finds 0.9 of the
-    neighbours even of vectors that don't cluster; where they do, far fewer are enough (see `recall_of`)."""
-    centres = ivf_cells(chunks, lists) if centres is None else centres
-
-    def near(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _unit(b["embedding"])
-                best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n] if x.shape[1] == centres.shape[1] else np.zeros((len(x), 0), np.int64)
-                index = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
-                yield pa.record_batch([*(c.take(index) for c in b.columns), pa.array(best.reshape(-1).astype(np.int32))], names=[*b.schema.names, "cell"])
-
-        return run
-
-    schema = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell int"
-    c = chunks.where("embedding is not null").select("workspace_id", "chunk_id", "embedding")
-    q = queries.where("embedding is not null").select("workspace_id", "query_id", "embedding")
-    found = dense_knn(q.mapInArrow(near(probes), schema(q)), c.mapInArrow(near(1), schema(c)), k, ["workspace_id", "cell"])
-    return found
-
-
-def recall_of(approximate: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: the share of exact neighbours that the approximate search found."""
-    hit = exact.select("query_id", "chunk_id").join(approximate.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
-    return hit.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(workspace_id, chunk_id, token, tf): built once, used by every keyword search."""
-    return chunks.select("workspace_id", "chunk_id", F.explode(keywords(F.col("content"))).alias("token")).groupBy("workspace_id", "chunk_id", "token").agg(F.count("*").alias("tf"))
-
-
-def _rank_of(tf: Column) -> Column:
-    """1 + 1/4 + ... + 1/tf**2."""
-    return F.aggregate(F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-
-
-def keyword_search(queries: DataFrame, index: DataFrame, k: int = DEFAULTS.candidates) -> DataFrame:
-    """(query_id, chunk_id, keyword_score, rank) from `postings`: chunks of the workspace with any query
-    token, or with a token that holds the first one. Ranked by summed term frequency weights, then
-    chunk_id; keyword_score is relative to the best of the k."""
-    asked = queries.select("query_id", "workspace_id", keywords(F.col("question")).alias("words")).where(F.size("words") > 0)
-    terms = asked.select("query_id", "workspace_id", F.explode(F.array_distinct("words")).alias("token"))
-    exact = index.join(terms, ["workspace_id", "token"]).groupBy("query_id", "chunk_id").agg(F.sum(F.round(_rank_of(F.col("tf")), 9)).alias("weight"))
-    # The first word inside longer ones: matched against the distinct tokens of a workspace, then joined.
-    first = asked.select("query_id", "workspace_id", F.col("words")[0].alias("first"))
-    grams = first.select("workspace_id", "first", F.substring("first", 1, 2).alias("gram")).distinct()
-    words = index.select("workspace_id", "token").distinct()
-    split = words.select("workspace_id", "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2))))).alias("gram"))
-    inside = split.join(grams, ["workspace_id", "gram"]).where(F.contains("token", "first")).select("workspace_id", "first", "token").distinct()
-    holders = index.join(inside, ["workspace_id", "token"]).select("workspace_id", "first", "chunk_id").distinct()
-    loose = first.join(holders, ["workspace_id", "first"]).select("query_id", "chunk_id", F.lit(0.0).alias("weight"))
-    scored = exact.unionByName(loose).groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    best = top_by(scored, k, ["query_id"], F.desc("weight"), F.col("chunk_id"))
-    most = F.max("weight").over(Window.partitionBy("query_id"))
-    return best.select("query_id", "chunk_id", F.when(most > 0, F.col("weight") / most).otherwise(0.0).alias("keyword_score"), "rank")
-
-
 def fuse(dense: DataFrame, keyword: DataFrame, min_score: float = DEFAULTS.min_score, overlap: str = "keyword_wins", settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, chunk_id, dense_score, keyword_score, score, rank) of rows (query_id, chunk_id, ..., rank).
 
@@ -275,7 +206,7 @@ def with_content(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> Data
     return hits.join(queries.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", *extra), "chunk_id")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None, k: int = DEFAULTS.top_k, candidates: int = DEFAULTS.candidates, rewrite: bool = False, rerank_hits: bool = True, overlap: str = "keyword_wins", dim: int = DEFAULTS.embed_dim, live: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, index: KeywordIndex | None = None, k: int = DEFAULTS.top_k, candidates: int = DEFAULTS.candidates, rewrite: bool = False, rerank_hits: bool = True, overlap: str = "keyword_wins", dim: int = DEFAULTS.embed_dim, live: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Hybrid retrieval of a whole table of queries: dense and keyword candidates, of rewritten variants too,
     fused, with a fallback, reranked, and cut to k hits with their texts. live: (file_id) of the files to
     search, all by default."""
@@ -284,7 +215,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = No
     if live is not None:
         chunks = chunks.join(live.select("file_id").distinct(), "file_id", "left_semi")
         index = None
-    index = postings(chunks) if index is None else index
+    index = keyword_index(chunks) if index is None else index
     variants = query_variants(queries, rewrite).withColumn("key", F.concat_ws("|", F.col("query_id").cast("string"), "variant"))
     asked = variants.withColumnsRenamed({"query_id": "_query", "key": "query_id"})
     if "embedding" not in queries.columns:

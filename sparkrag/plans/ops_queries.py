@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkrag.operators import evaluation as V
 from sparkrag.operators import tenancy as J
 from sparkrag.plans.registry import EVENTS_SQL, FILES_SQL, MEMBERS_SQL, files, http_events, memberships, query, read
 from sparkrag.plans.text_queries import chunks_sql, sanitized_sql
-from sparkrag.sources import io
+from sparkrag.sources import index, io
 from sparkrag.streaming import jobs as K
 
 
 _scratch = io.shared_path
+#: Bytes of files in a micro-batch for each core.
+BATCH_BYTES = 64 << 20
 
 
 def streamed(spark, sf_dir, name):
     """A given table, a file or a folder of files, as a stream of its rows that ends."""
-    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("maxBytesPerTrigger", str(BATCH_BYTES * spark.sparkContext.defaultParallelism)).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @query("s1_read_files", "SELECT source AS workspace_id, CAST(doc_id AS VARCHAR) AS file_id, CAST(doc_id % 3 + 1 AS INTEGER) AS version, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS checksum FROM documents")
@@ -160,7 +163,7 @@ def k1_ingest(spark, sf_dir):
         F.octet_length("text").cast("long").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"),
     )
     K.ingest_stream(rows, path, f"{path}-progress", K.ingest_batch).awaitTermination()
-    made = K.latest(spark.read.parquet(f"{path}/chunks"))
+    made = index.read_index(spark, f"{path}/chunks")
     return made.groupBy("workspace_id", "file_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
 
 
@@ -182,14 +185,20 @@ def k2_rate_limit_of_users(spark, sf_dir):
     return K.rate_limit(http_events(spark, sf_dir), 1).select("event_id", "identity", "allowed")
 
 
-@query("k3_dedup_requests", "SELECT user_id, event_type AS endpoint, CASE WHEN event_id % 4 > 0 THEN 'k' || (event_id % 40) END AS key, CASE WHEN event_id % 4 > 0 THEN 1 ELSE count(*) END AS n FROM events GROUP BY user_id, event_type, CASE WHEN event_id % 4 > 0 THEN 'k' || (event_id % 40) END, event_id % 4 > 0")
+@query("k3_dedup_requests", """WITH r AS (SELECT event_id AS request_id, user_id, event_type AS endpoint, CASE WHEN event_id % 4 > 0 THEN 'k' || (event_id % 40) END AS key, 'h' || (event_id % 3) AS request_hash, 'r' || event_id AS response, ts FROM events),
+f AS (SELECT *, key IS NOT NULL AND row_number() OVER w > 1 AS again, first_value(response) OVER w AS answer, first_value(request_hash) OVER w AS hash FROM r WINDOW w AS (PARTITION BY user_id, endpoint, key ORDER BY ts, request_id))
+SELECT request_id, again AS replayed, CASE WHEN again THEN answer ELSE response END AS answer, again AND hash <> request_hash AS conflict FROM f""")
 def k3_dedup_requests(spark, sf_dir):
-    """What the stream of requests lets through: one of each key, and all without one."""
+    """What the stream answers to each request: its own response, or that of the first request with its key."""
     path = _scratch(spark, "requests")
     key = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")))
-    rows = streamed(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("endpoint"), key.alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    K.dedup_stream(rows, "60 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).groupBy("user_id", "endpoint", "key").agg(F.count("*").alias("n"))
+    hashed, response = F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("r"), F.col("event_id").cast("string"))
+    rows = streamed(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), "user_id", F.col("event_type").alias("endpoint"), key.alias("key"), hashed.alias("request_hash"), response.alias("response"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    with K.rocksdb(spark):
+        K.dedup_stream(rows, "60 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("request_id", "replayed", "answer", "conflict")
 
 
 _BUCKETS = "[count(*) FILTER (latency_s <= 0.05), count(*) FILTER (latency_s <= 0.1), count(*) FILTER (latency_s <= 0.25), count(*) FILTER (latency_s <= 0.5), count(*) FILTER (latency_s <= 1.0), count(*) FILTER (latency_s <= 2.5), count(*) FILTER (latency_s <= 5.0), count(*) FILTER (latency_s <= 10.0), count(*)]"
@@ -211,6 +220,14 @@ def k5_error_rate(spark, sf_dir):
     return K.error_rate(http_events(spark, sf_dir)).withColumn("error_rate", F.round("error_rate", 6))
 
 
+@query("k5_sliding_error_rate", f"""WITH {EVENTS_SQL}, p AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS pane, count(*) AS n, count(*) FILTER (status >= 500) AS bad FROM http GROUP BY 1),
+w AS (SELECT pane - i * INTERVAL 1 MINUTE AS window_start, n, bad FROM p, range(5) t(i))
+SELECT window_start, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(bad) AS BIGINT) AS errors, round(sum(bad) / sum(n), 6) AS error_rate FROM w GROUP BY 1""")
+def k5_sliding_error_rate(spark, sf_dir):
+    """Windows of five minutes, one a minute, put together from panes of a minute."""
+    return K.error_rate(http_events(spark, sf_dir), "5 minutes", "1 minute").withColumn("error_rate", F.round("error_rate", 6))
+
+
 @query("k5_rate_limited_rate", f"WITH {EVENTS_SQL} SELECT route, count(*) AS requests, count(*) FILTER (status = 429) AS limited, round(count(*) FILTER (status = 429) / count(*), 6) AS limited_rate FROM http GROUP BY 1")
 def k5_rate_limited_rate(spark, sf_dir):
     return K.rate_limited_rate(http_events(spark, sf_dir)).withColumn("limited_rate", F.round("limited_rate", 6))
@@ -230,7 +247,7 @@ SELECT o.metric, round(value, 6) AS value, coalesce(CASE WHEN how = '>=' THEN va
 def k7_slo_report(spark, sf_dir):
     e = http_events(spark, sf_dir)
     one = lambda name, value: e.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-    m = one("p95_api_ms", F.percentile(F.col("latency_s") * 1000, 0.95)).unionByName(one("error_rate", F.count_if(F.col("status") >= 500) / F.count("*")))
+    m = V.percentiles(e.withColumn("ms", F.col("latency_s") * 1000), "ms", (95,)).select(F.lit("p95_api_ms").alias("metric"), F.col("p95").alias("value")).unionByName(one("error_rate", F.count_if(F.col("status") >= 500) / F.count("*")))
     return K.slo_report(m).select("metric", F.round("value", 6).alias("value"), "passed")
 
 

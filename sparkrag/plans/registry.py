@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.operators.ingest import checksum
-from sparkrag.sources.io import settled
+from sparkrag.sources.io import settled, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,7 +78,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     of all runs of four words, and the texts of the few documents found are searched.
     """
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     # Inner words only: the first word of a passage may follow other characters without a blank.
     three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     keys = items.select("query_id", F.split("question", " ").alias("w")).select("query_id", three("w", F.lit(1)).alias("key"))

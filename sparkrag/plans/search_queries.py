@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
+from sparkrag.operators import ann as N
 from sparkrag.operators import answers as A
 from sparkrag.operators import embed as E
 from sparkrag.operators import evaluation as V
@@ -15,12 +16,12 @@ from sparkrag.operators.sections import char_section_array, page_documents
 from sparkrag.plans.registry import QUESTIONS_SQL, query, questions, read
 from sparkrag.plans.text_queries import CONTENT_SQL, TOKENS_SQL, chunks_sql, collapse_sql, entities_sql, normal_sql, page_text_sql, sanitized_sql, terms_sql
 from sparkrag.settings import Settings
-from sparkrag.sources.io import settled
+from sparkrag.sources.io import settled, spread
 
 
 def chunks(spark, sf_dir):
     """Chunks of the documents as the index holds them."""
-    made = chunk_documents(read(spark, sf_dir, "documents"), char_section_array(F.col("text")), "doc_id", "source")
+    made = chunk_documents(spread(read(spark, sf_dir, "documents")), char_section_array(F.col("text")), "doc_id", "source")
     return made.select(
         (F.col("doc_id") * 100_000 + F.col("seq")).alias("chunk_id"), F.col("source").alias("workspace_id"), F.col("doc_id").alias("file_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), T.sanitize_index_text(F.col("content")).alias("content"), "locator_type", "locator_start", "locator_end",
@@ -29,17 +30,23 @@ def chunks(spark, sf_dir):
 
 def whole(spark, sf_dir):
     """Documents as one chunk each, which SQL can follow."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("workspace_id"), F.col("doc_id").alias("file_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.col("text").alias("content"), F.lit("char").alias("locator_type"), F.lit(0).alias("locator_start"), F.length("text").alias("locator_end"))
+    return spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("workspace_id"), F.col("doc_id").alias("file_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.col("text").alias("content"), F.lit("char").alias("locator_type"), F.lit(0).alias("locator_start"), F.length("text").alias("locator_end"))
 
 
 def asked(spark, sf_dir):
     return settled(questions(spark, sf_dir).select("query_id", "workspace_id", "question").distinct())
 
 
-def searched(spark, sf_dir):
-    """(questions, hits of the keyword search): questions, postings and hits are made once."""
-    q = asked(spark, sf_dir)
-    return q, settled(R.keyword_search(q, settled(R.postings(whole(spark, sf_dir)))))
+def expecting(spark, sf_dir):
+    """(questions with their expected files, questions), made once."""
+    q = settled(questions(spark, sf_dir))
+    return q, q.select("query_id", "workspace_id", "question").distinct()
+
+
+def searched(spark, sf_dir, q=None):
+    """(questions, hits of the keyword search): questions, index and hits are made once."""
+    q = asked(spark, sf_dir) if q is None else q
+    return q, settled(R.keyword_search(q, R.keyword_index(whole(spark, sf_dir))))
 
 
 def vectors(spark, sf_dir):
@@ -136,9 +143,11 @@ def r2_dense_knn(spark, sf_dir):
 
 @query("r3_ivf_knn")
 def r3_ivf_knn(spark, sf_dir):
-    """Recall of the approximate search, as it is by default, against the exact one."""
+    """Recall of the approximate search, as it is by default, against the exact one, and the full vectors that it reads for a query."""
     q, c = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
-    return R.recall_of(R.ivf_knn(q, c, 10), R.dense_knn(q, c, 10))
+    index = N.ivf_index(c)
+    read = N.shortlist(q, index, 2 * Settings().candidates).groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most_read"))
+    return N.recall_of(N.ivf_knn(q, c, index=index), R.dense_knn(q, c)).join(F.broadcast(read), F.lit(True))  # one row each
 
 
 _SEARCH_SQL = f"""{QUESTIONS_SQL}, a AS (SELECT DISTINCT query_id, workspace_id, question, {TOKENS_SQL.format("question")} AS words FROM questions),
@@ -233,9 +242,9 @@ def r9_lexical_confidence(spark, sf_dir):
 
 
 def indexed(spark, sf_dir):
-    """(chunks with vectors, postings), the stored index of a collection."""
+    """(chunks with vectors, keyword index), the stored index of a collection."""
     own = settled(E.hash_embed(chunks(spark, sf_dir)), "index")
-    return own, settled(R.postings(own), "postings")
+    return own, R.keyword_index(own)
 
 
 @query("r10_retrieve")
@@ -270,11 +279,11 @@ found AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _md5_inputs(spark, sf_dir):
-    """(questions, documents as chunks, postings) with the built-in vectors, which SQL can follow."""
+    """(questions, documents as chunks, keyword index) with the built-in vectors, which SQL can follow."""
     q = questions(spark, sf_dir)
     vectors_of = E.md5_embed(q.select("query_id", "question").distinct(), "query_id", "question").select("query_id", "embedding")
     own = settled(E.md5_embed(whole(spark, sf_dir), "chunk_id", "content"), "index")
-    return settled(q.join(vectors_of, "query_id")), own, settled(R.postings(own), "postings")
+    return settled(q.join(vectors_of, "query_id")), own, R.keyword_index(own)
 
 
 @query("r10_retrieve_md5", f"WITH {_RETRIEVE_SQL} SELECT query_id, rank, chunk_id, filename, round(score, 6) AS score, round(final, 6) AS final FROM found WHERE rank <= 6")
@@ -372,7 +381,7 @@ def a9_chat_rows(spark, sf_dir):
 def _results(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url", T.extract_title(F.col("html")).alias("title"))
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    both = pages.withColumn("query_id", F.col("page_id") % 40).join(q, "query_id")
+    both = pages.withColumn("query_id", F.col("page_id") % F.lit(q.count())).join(q, "query_id")
     provider = F.when(F.col("page_id") % 3 == 0, "a").otherwise("b")
     return both.select("query_id", "query", provider.alias("provider"), F.when(provider == "a", 1).otherwise(2).alias("provider_order"), F.col("page_id").alias("rank"), "title", "url", F.lower("title").alias("snippet"))
 
@@ -380,7 +389,7 @@ def _results(spark, sf_dir):
 _TITLE = "coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1), ' ' || chr(10)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]+)</h1>', 1), ' ' || chr(10)), ''))"
 _RES_SQL = f"""p AS (SELECT page_id, url, {_TITLE} AS title FROM pages),
 res AS (SELECT b.item_id AS query_id, CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'b' END AS provider, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS provider_order, page_id AS rank, p.title, p.url, {TOKENS_SQL.format("b.text").replace(">= 2", "> 2")} AS terms
-  FROM p JOIN benchmark b ON b.item_id = p.page_id % 40),
+  FROM p JOIN benchmark b ON b.item_id = p.page_id % (SELECT count(*) FROM benchmark)),
 sc AS (SELECT *, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(coalesce(title, '')), t))) / len(terms) ELSE 0 END AS relevance FROM res)"""
 
 
@@ -476,8 +485,10 @@ def w9_web_contexts(spark, sf_dir):
 
 
 def _named_hits(spark, sf_dir):
-    found = searched(spark, sf_dir)[1]
-    return found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".md")).alias("filename"))
+    """(hits, questions with their expected files)."""
+    wanted, q = expecting(spark, sf_dir)
+    found = searched(spark, sf_dir, q)[1]
+    return found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".md")).alias("filename")), wanted
 
 
 _EVAL_SQL = f"""{_SEARCH_SQL}, w AS (SELECT DISTINCT query_id, expected FROM questions WHERE expected IS NOT NULL),
@@ -486,18 +497,18 @@ f AS (SELECT w.query_id, min(kw.rank) AS position FROM w LEFT JOIN kw ON kw.quer
 
 @query("e1_recall_at_k", f"WITH {_EVAL_SQL} SELECT round(coalesce(avg(CASE WHEN position <= 5 THEN 1.0 ELSE 0.0 END), 0), 6) AS recall_at_k FROM f")
 def e1_recall_at_k(spark, sf_dir):
-    return V.recall_at_k(_named_hits(spark, sf_dir), questions(spark, sf_dir), 5).select(F.round("recall_at_k", 6).alias("recall_at_k"))
+    return V.recall_at_k(*_named_hits(spark, sf_dir), 5).select(F.round("recall_at_k", 6).alias("recall_at_k"))
 
 
 @query("e2_mrr", f"WITH {_EVAL_SQL} SELECT round(coalesce(avg(coalesce(1.0 / position, 0)), 0), 6) AS mrr FROM f")
 def e2_mrr(spark, sf_dir):
-    return V.mrr(_named_hits(spark, sf_dir), questions(spark, sf_dir)).select(F.round("mrr", 6).alias("mrr"))
+    return V.mrr(*_named_hits(spark, sf_dir)).select(F.round("mrr", 6).alias("mrr"))
 
 
 @query("e3_citation_correctness", f"WITH {_EVAL_SQL} SELECT round(coalesce(avg(CASE WHEN position = 1 THEN 1.0 ELSE 0.0 END), 0), 6) AS citation_correctness FROM f")
 def e3_citation_correctness(spark, sf_dir):
-    top = _named_hits(spark, sf_dir).where("rank = 1")
-    return V.citation_correctness(top, questions(spark, sf_dir)).select(F.round("citation_correctness", 6).alias("citation_correctness"))
+    hits, q = _named_hits(spark, sf_dir)
+    return V.citation_correctness(hits.where("rank = 1"), q).select(F.round("citation_correctness", 6).alias("citation_correctness"))
 
 
 @query("e4_answer_rates", f"""WITH {QUESTIONS_SQL}, g AS (SELECT query_id, count(expected) > 0 AS yes, query_id % 3 = 0 AS none FROM questions GROUP BY query_id)
@@ -547,24 +558,51 @@ def e8_eval_run(spark, sf_dir):
 @query("e9_compare_positions", f"""WITH {_EVAL_SQL}, f2 AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN position ELSE position + 1 END AS position FROM f)
 SELECT f.query_id, f.position AS before, f2.position AS after, CASE WHEN f.position IS NOT DISTINCT FROM f2.position THEN 'same' WHEN f2.position < f.position THEN 'up' ELSE 'down' END AS moved FROM f JOIN f2 USING (query_id)""")
 def e9_compare_positions(spark, sf_dir):
-    a = V.first_match(_named_hits(spark, sf_dir), questions(spark, sf_dir))
+    a = V.first_match(*_named_hits(spark, sf_dir))
     b = a.withColumn("position", F.when(F.col("query_id") % 2 == 0, F.col("position")).otherwise(F.col("position") + 1))
     return V.compare_positions(a, b)
 
 
 @query("e9_compare_runs", f"WITH {_EVAL_SQL} SELECT 'mrr' AS metric, round(avg(coalesce(1.0 / position, 0)), 6) AS before, round(avg(coalesce(1.0 / (position + 1), 0)), 6) AS after FROM f")
 def e9_compare_runs(spark, sf_dir):
-    hits, q = _named_hits(spark, sf_dir), questions(spark, sf_dir)
+    hits, q = _named_hits(spark, sf_dir)
     one = lambda h: V.mrr(h, q).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
     out = V.compare_runs(one(hits), one(hits.withColumn("rank", F.col("rank") + 1)))
     return out.select("metric", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
+#: name, dense weight, keyword weight, rrf_k, least score, k
+GRID = [
+    ("default", 0.6, 0.4, 60, 0.05, 6), ("dense", 1.0, 0.0, 60, 0.05, 6), ("keyword", 0.0, 1.0, 60, 0.05, 6), ("even", 0.5, 0.5, 60, 0.05, 6),
+    ("steep", 0.6, 0.4, 1, 0.05, 6), ("strict", 0.6, 0.4, 60, 0.5, 6), ("deep", 0.6, 0.4, 60, 0.05, 20),
+]
+_GRID_SQL = ", ".join(str(row) for row in GRID)
+
+
+@query("e9_settings_grid", f"""WITH {_RETRIEVE_SQL}, grid(setting, dw, kw_, rrf, least, k) AS (VALUES {_GRID_SQL}),
+both_ AS (SELECT coalesce(d.query_id, w.query_id) AS query_id, coalesce(d.chunk_id, w.chunk_id) AS chunk_id, CASE WHEN w.rank IS NOT NULL THEN 0 ELSE d.d END AS d, w.rank AS kr FROM dense d FULL JOIN kw w ON w.query_id = d.query_id AND w.chunk_id = d.chunk_id),
+gs AS (SELECT setting, k, query_id, chunk_id, dw * d + kw_ * coalesce((rrf + 1.0) / (rrf + kr), 0) AS score, least FROM both_, grid),
+gr AS (SELECT setting, query_id, chunk_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM gs WHERE score >= least QUALIFY rank <= k),
+wanted AS (SELECT DISTINCT query_id, expected FROM questions WHERE expected IS NOT NULL),
+gp AS (SELECT grid.setting, wanted.query_id, min(gr.rank) AS position FROM grid, wanted LEFT JOIN gr ON gr.setting = grid.setting AND gr.query_id = wanted.query_id AND 'doc-' || gr.chunk_id || '.md' = wanted.expected GROUP BY ALL),
+gm AS (SELECT setting, avg((position IS NOT NULL)::INT) AS recall, avg(coalesce(1.0 / position, 0)) AS mrr, avg(coalesce((position = 1)::INT, 0)) AS top FROM gp GROUP BY setting),
+gv AS (SELECT setting, unnest(['recall_at_k', 'mrr', 'citation_correctness']) AS metric, unnest([recall, mrr, top]) AS value FROM gm)
+SELECT a.setting, a.metric, round(a.value, 6) AS value, round(a.value - b.value, 6) AS delta FROM gv a JOIN gv b ON b.metric = a.metric AND b.setting = 'default'""")
+def e9_settings_grid(spark, sf_dir):
+    """Candidates of all questions once, fused by seven settings, and the settings' metrics against the default's."""
+    q, own, index = _md5_inputs(spark, sf_dir)
+    asking = q.drop("expected").dropDuplicates(["query_id"])
+    hits = V.fused_by_settings(settled(R.dense_knn(asking, own)), settled(R.keyword_search(asking, index)), GRID)
+    named = hits.withColumn("filename", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".md")))
+    out = V.compare_settings(settled(V.positions_by_settings(named, q, [g[0] for g in GRID])), "default")
+    return out.select("setting", "metric", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))
+
+
 @query("e10_quality_gate", f"""WITH {_EVAL_SQL}, m AS (SELECT 'mrr' AS metric, coalesce(avg(coalesce(1.0 / position, 0)), 0) AS value FROM f),
 gates(metric, how, level) AS (VALUES ('recall_at_k', '>=', 0.8), ('mrr', '>=', 0.6), ('citation_correctness', '>=', 0.8), ('no_answer_accuracy', '>=', 1.0), ('hallucination_rate', '<=', 0.0), ('false_no_answer_rate', '<=', 0.2))
 SELECT gates.metric, coalesce(CASE WHEN how = '>=' THEN value >= level ELSE value <= level END, false) AS passed FROM gates LEFT JOIN m USING (metric)""")
 def e10_quality_gate(spark, sf_dir):
-    m = V.mrr(_named_hits(spark, sf_dir), questions(spark, sf_dir)).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
+    m = V.mrr(*_named_hits(spark, sf_dir)).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
     return V.quality_gate(m).select("metric", "passed")
 
 

@@ -233,6 +233,33 @@ def t16_url_static_check(spark, sf_dir):
     return rows.select("id", U.url_static_check(F.col("url")).alias("reason"))
 
 
+# Groups of an address for each page: loopback, unique local and beyond, link-local and beyond, mapped private,
+# mapped partly private, public, mapped metadata, and around loopback.
+_GROUPS_SQL = """n AS (SELECT page_id, page_id % 8 AS kind, page_id // 8 % 65536 AS x FROM pages),
+g AS (SELECT page_id, kind, x, kind = 0 OR (kind = 1 AND x % 768 < 512) OR (kind = 2 AND x % 128 < 64) OR kind = 3 OR (kind = 4 AND x % 64 BETWEEN 16 AND 31) OR kind = 6 OR (kind = 7 AND x % 4 = 1) AS blocked FROM n)"""
+
+
+@query("t16_address_spellings", f"WITH {_GROUPS_SQL} SELECT page_id, unnest(range(4)) AS form, blocked FROM g")
+def t16_address_spellings(spark, sf_dir):
+    """An IPv6 address for each page, spelled in four ways: short groups, upper-case padded groups, zeros left out, and a dotted end."""
+    rows = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 8).alias("kind"), F.floor(F.col("page_id") / 8 % 65536).cast("long").alias("x"))
+    x, zero, mapped = F.col("x"), F.lit(0).cast("long"), [F.lit(0).cast("long")] * 5 + [F.lit(0xFFFF).cast("long")]
+    kinds = [
+        [zero] * 7 + [zero + 1], [0xFC00 + x % 768, x, *[zero] * 5, zero + 1], [0xFE80 + x % 128, *[zero] * 3, x, zero + 1, zero + 2, zero + 3], [*mapped, 10 * 256 + x % 256, x],
+        [*mapped, 172 * 256 + x % 64, x], [zero + 0x2001, zero + 0xDB8, *[zero] * 5, x], [*mapped, zero + 169 * 256 + 254, x], [*[zero] * 7, x % 4],
+    ]
+    groups = F.element_at(F.array(*[F.array(*k) for k in kinds]), (F.col("kind") + 1).cast("int"))
+    rows = rows.select("page_id", groups.alias("g"))
+    short = F.array_join(F.transform("g", lambda v: F.lower(F.hex(v))), ":")
+    padded = F.array_join(F.transform("g", lambda v: F.lpad(F.hex(v), 4, "0")), ":")
+    left_out = F.regexp_replace(short, "(^|:)0(:0)+(:|$)", "::")
+    octets = [F.floor(F.get("g", F.lit(6)) / 256), F.get("g", F.lit(6)) % 256, F.floor(F.get("g", F.lit(7)) / 256), F.get("g", F.lit(7)) % 256]
+    dotted = F.concat(F.array_join(F.transform(F.slice("g", 1, 6), lambda v: F.lower(F.hex(v))), ":"), F.lit(":"), F.concat_ws(".", *[o.cast("string") for o in octets]))
+    spelled = rows.select("page_id", F.posexplode(F.array(short, padded, left_out, dotted)).alias("form", "text"))
+    url = F.concat(F.lit("http://["), "text", F.lit("]:8080/x"))
+    return spelled.select("page_id", F.col("form").cast("long").alias("form"), U.url_static_check(url).isNotNull().alias("blocked"))
+
+
 @query(
     "t17_page_gate",
     """SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'HTTP 404' WHEN page_id % 7 = 2 THEN 'Blocked content-type: image/png' WHEN strlen(html) > 5000 THEN 'Response too large: ' || strlen(html) || ' bytes' END AS reason FROM pages""",

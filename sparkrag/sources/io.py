@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,36 @@ def _keyed(df: DataFrame, layout: str = _LAYOUT) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, root: str, layout: str = _LAYOUT) -> DataFrame:
+def _choice(values: Iterable | None, prefix: str = "") -> str:
+    """A path pattern of one of the values, or of any."""
+    if values is None:
+        return prefix + "*"
+    quoted = [re.sub(r"([\\*?{}\[\],])", r"\\\1", str(v)) for v in values]
+    return prefix + ("{" + ",".join(quoted) + "}" if len(quoted) != 1 else quoted[0])
+
+
+def read_files(spark: SparkSession, root: str, layout: str = _LAYOUT, workspaces: Iterable[str] | None = None, files: Iterable[str] | None = None, versions: Iterable[int] | None = None) -> DataFrame:
     """Bodies laid out as workspaces/{workspace}/files/{file}/v{n}/{name}, with the parts of their path. layout: a
-    pattern of paths laid out otherwise, with groups for workspace, file, version and name."""
-    return _keyed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), layout).where("workspace_id <> ''")
+    pattern of paths laid out otherwise, with groups for workspace, file, version and name.
+
+    workspaces, files, versions: those to read; no other folder is listed or opened. They need the standard
+    layout, or one by partition columns named workspace, file and v.
+    """
+    source = spark.read.format("binaryFile")
+    if workspaces is None and files is None and versions is None:
+        return _keyed(source.option("recursiveFileLookup", True).load(root), layout).where("workspace_id <> ''")
+    if any(x is not None and not list(x) for x in (workspaces, files, versions)):
+        empty = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+        return _keyed(empty, layout)
+    if layout == _LAYOUT:
+        path = f"{root}/workspaces/{_choice(workspaces)}/files/{_choice(files)}/{_choice(versions, 'v')}"
+    else:
+        path = f"{root}/{_choice(workspaces, 'workspace=')}/{_choice(files, 'file=')}/{_choice(versions, 'v=')}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
+    if not found:
+        return _keyed(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"), layout)
+    return _keyed(source.option("recursiveFileLookup", True).load(path), layout).where("workspace_id <> ''")
 
 
 def stream_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
@@ -84,15 +112,24 @@ def write_eval_report(metrics: DataFrame, per_query: DataFrame, path: str) -> No
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """A new path in the folder that all executors see: spark.checkpoint.dir. Where none is set a temporary one is made if
+    the executors run in the driver's process, as in tests; on a cluster that is an error, since rows written there would be lost."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sparkrag-")
         sc.setCheckpointDir(folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it comes from fewer files than there are. A table of many files isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     """df computed once for several uses: a table in the shared folder, of which each use reads the columns it needs."""
     path = shared_path(df.sparkSession, name)

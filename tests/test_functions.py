@@ -69,3 +69,28 @@ def test_urls(spark):
     rows = spark.createDataFrame([("http://a.x.org/1",), ("http://b.x.org/",), ("http://z.com",)], "url string")
     rules = spark.createDataFrame([("x.org", "allow"), ("b.x.org", "deny")], "domain string, kind string")
     assert {r["url"]: r["allowed"] for r in U.domain_rules(rows, rules).collect()} == {"http://a.x.org/1": True, "http://b.x.org/": False, "http://z.com": False}
+
+
+def test_addresses_of_any_spelling(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    v6 = ["::1", "0:0:0:0:0:0:0:1", "0::1", "::0001", "0000:0000:0000:0000:0000:0000:0000:0001", "::", "::2", "fc00::", "FDFF:ffff::1", "fe00::1", "fe80::1%eth0", "fe80::1", "febf::", "fec0::", "::ffff:10.1.2.3", "::ffff:a9fe:a9fe", "::FFFF:169.254.169.254", "::ffff:8.8.8.8", "2001:db8::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4"]
+    v6 += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([(1 << 128) - 1, 0xFFFF, ((1 << 128) - 1) << 112, ((1 << 128) - 1) << 64 | 7]))) for _ in range(200)]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::1", "::1.2.3", "::256.1.1.1", "1:2:3:4:5:6:7::8:9", "::ffff:1.2.3.4:5", ":1:2:3:4:5:6:7"]
+    rows = spark.createDataFrame([(t,) for t in v6 + bad], "t string").select("t", U.ipv6_halves(F.col("t")).alias("a"), U.private_address(F.concat(F.lit("["), F.lower("t"), F.lit("]"))).alias("private")).collect()
+    nets = [ipaddress.ip_network(n) for n in U.PRIVATE_NETWORKS]
+    for r in rows:
+        if r["t"] in bad:
+            assert r["a"] is None and not r["private"], r
+            continue
+        want = ipaddress.IPv6Address(r["t"].split("%")[0])
+        got = (r["a"]["hi"] & (1 << 64) - 1) << 64 | r["a"]["lo"] & (1 << 64) - 1
+        assert got == int(want), r
+        as4 = want.ipv4_mapped
+        assert r["private"] == any((as4 or want) in n for n in nets if n.version == (4 if as4 else 6)), r
+    for host, number in {"127.0.0.1": 0x7F000001, "127.1": 0x7F000001, "2130706433": 0x7F000001, "0x7f.0.0.1": 0x7F000001, "0x7f000001": 0x7F000001, "017700000001": 0x7F000001, "10.1.513": 0x0A010201, "256.1.1.1": None, "1.2.3.4.5": None, "a.b": None, "": None, "09.1.1.1": None, "4294967296": None, "1.2.3.256": None, "1..2": None, "cafe.de": None}.items():
+        assert one(spark, host, U.ipv4_number) == number, host
+    for url, fine in (("http://[0:0:0:0:0:0:0:1]/", False), ("http://[0::1]/x", False), ("http://[::ffff:a9fe:a9fe]/", False), ("http://127.1/", False), ("http://2130706433/", False), ("https://[2001:db8::1]:8443/", True), ("http://user@[fd00::2]/", False), ("http://1.example.com/", True)):
+        assert (one(spark, url, U.url_static_check) is None) == fine, url

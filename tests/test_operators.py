@@ -2,16 +2,19 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrag.operators import ann as N
 from sparkrag.operators import answers as A
 from sparkrag.operators import chunking as C
 from sparkrag.operators import embed as E
 from sparkrag.operators import evaluation as V
 from sparkrag.operators import ingest as G
+from sparkrag.operators import keyword as K
 from sparkrag.operators import retrieval as R
 from sparkrag.operators import sections as P
 from sparkrag.operators import tenancy as J
@@ -232,8 +235,106 @@ def test_replace_by_file_twice(spark):
 
 def test_ivf_recall(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, "w", [float(x) for x in rng.standard_normal(8) + 3 * (i % 5)]) for i in range(400)]
+    rows = [(i, f"w{i % 2}", [float(x) for x in rng.standard_normal(16) + 3 * (i % 5)]) for i in range(1200)]
+    rows += [(2000, "w0", [0.0] * 16), (2001, "w0", None), (2002, "w1", [1.0])]
     c = spark.createDataFrame(rows, "chunk_id long, workspace_id string, embedding array<float>")
-    q = c.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
-    assert R.recall_of(R.ivf_knn(q, c, 10, lists=8, probes=6), R.dense_knn(q, c, 10)).first()["recall"] >= 0.9
-    assert DEFAULTS.candidates == 24 and F is not None
+    q = c.where("chunk_id % 20 = 0 and chunk_id < 1200").withColumnRenamed("chunk_id", "query_id")
+    index = N.ivf_index(c, lists=8, parts=8)
+    codes = index.codes.collect()
+    assert {r["chunk_id"] for r in codes} >= set(range(1200)) and all(len(r["code"]) == 8 for r in codes)
+    read = N.shortlist(q, index, 40, probes=6)
+    assert read.groupBy("query_id").count().agg(F.max("count")).first()[0] == 40  # full vectors read, of 600 in scope
+    found, exact = N.ivf_knn(q, c, 10, index, probes=6, most=40), R.dense_knn(q, c, 10)
+    assert N.recall_of(found, exact).first()["recall"] >= 0.9
+    scores = {(r["query_id"], r["chunk_id"]): r["dense_score"] for r in exact.collect()}
+    assert all(scores.get((r["query_id"], r["chunk_id"]), r["dense_score"]) == pytest.approx(r["dense_score"], abs=1e-9) for r in found.collect())
+    assert N.ivf_knn(q, c.where("false")).count() == 0
+    assert DEFAULTS.candidates == 24
+
+
+def test_books_tell_vectors_apart():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 12))
+    books = np.stack([N.fitted(N._cut(x, 4)[:, p], 64) for p in range(4)])
+    codes = N.encoded(x, books)
+    back = np.concatenate([books[p][codes[:, p]] for p in range(4)], axis=1)
+    assert ((back - x) ** 2).sum() < 0.25 * (x**2).sum()
+    plain = np.array([[((books[p] - N._cut(x[i : i + 1], 4)[0, p]) ** 2).sum(1).argmin() for p in range(4)] for i in range(50)])
+    assert (plain == codes[:50]).all()
+
+
+def _plain_keyword(docs, text, k):
+    tokens = lambda t: [w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1]
+    asked = tokens(text)
+    weights = {}
+    for i, body in docs:
+        own = tokens(body)
+        w = sum(round(sum(1 / (j * j) for j in range(1, own.count(t) + 1)), 9) for t in set(asked) if t in own)
+        if w or any(asked[0] in t for t in own):
+            weights[i] = round(w, 6)
+    best = sorted((-w, i) for i, w in weights.items())[:k]
+    top = max((-w for w, _ in best), default=0)
+    return [(i, pytest.approx(-w / top if top else 0.0, abs=1e-6), n) for n, (w, i) in enumerate(best, 1)]
+
+
+@pytest.mark.parametrize("head", [3, 256])
+def test_keyword_search_is_that_of_all_pairs(spark, head):
+    rng = random.Random(head)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(300)]
+    chunks = spark.createDataFrame([(i, f"ws{i % 2}", t) for i, t in docs] + [(900, "ws0", None)], "chunk_id long, workspace_id string, content string")
+    asked = [(n, f"ws{n % 2}", " ".join(dict.fromkeys(rng.choices(words, k=rng.randint(1, 25))))) for n in range(30)] + [(50, "ws0", ""), (51, "ws1", "zzz"), (52, "ws0", "w1 w1 w2"), (53, "none", "w1"), (54, "ws1", None), (55, "ws0", "1")]
+    queries = spark.createDataFrame(asked, "query_id long, workspace_id string, question string")
+    index = K.keyword_index(chunks, head)
+    for probe in (0, 6):
+        got = {}
+        for r in K.keyword_search(queries, index, 5, probe).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["keyword_score"], r["rank"]))
+        for n, ws, text in asked:
+            want = _plain_keyword([(i, t) for i, t in docs if f"ws{i % 2}" == ws], text, 5) if text and len(text) > 1 else []
+            assert got.get(n, []) == want, (n, probe)
+
+
+def test_keyword_search_joins_few_postings(spark):
+    """Of a common token's postings none are joined if the rare tokens lead to enough chunks."""
+    docs = [(i, "ws", "common words here " + ("rare thing seldom" if i < 10 else f"other{i}")) for i in range(500)]
+    index = K.keyword_index(spark.createDataFrame(docs, "chunk_id long, workspace_id string, content string"))
+    terms = spark.createDataFrame([(1, "ws", t) for t in ("common", "words", "rare", "thing", "seldom")], "query_id long, workspace_id string, token string")
+    found = K.token_scores(terms, index, 5)
+    assert {r["chunk_id"] for r in found.collect()} == set(range(10))
+
+
+def test_percentiles_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(V, "BINS", 4)
+    monkeypatch.setattr(V, "SORTED", 3)
+    rng = random.Random(6)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(300)], "b": [5.0] * 50 + [1.0], "c": [2.0], "d": [], None: [10.0 ** rng.randrange(-8, 9) for _ in range(80)], "e": [1.0, 1.0, 1.0, 1.0, 1e300, -1e300]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("d", None), ("c", math.nan)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in V.percentiles(df, "x", (0, 10, 50, 95, 100), ("g",)).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for p in (0, 10, 50, 95, 100):
+            assert got[g][f"p{p}"] == pytest.approx(np.percentile(vs, p) if vs else 0.0, rel=1e-9, abs=1e-12), (g, p)
+    near = {r["g"]: r["nearest_p90"] for r in V.percentile_nearest(df, "x", 90, ("g",)).collect()}
+    assert near == {g: sorted(vs)[min(len(vs) * 90 // 100, len(vs) - 1)] for g, vs in groups.items() if vs}
+    assert V.percentiles(df.where("g = 'a'"), "x").first()["p50"] == pytest.approx(np.percentile(groups["a"], 50))
+    assert V.percentiles(df.where("false"), "x").collect()[0].asDict() == {"p50": 0.0, "p95": 0.0}
+    assert V.percentile_nearest(df.where("g = 'b'"), "x", 50).first()[0] == 5.0
+
+
+def test_settings_are_compared_on_the_same_candidates(spark):
+    dense = spark.createDataFrame([(q, c, 1.0 / (c + 1), c + 1) for q in range(40) for c in range(4)], "query_id long, chunk_id long, dense_score double, rank int")
+    words = spark.createDataFrame([(q, 3 + c, 1.0, c + 1) for q in range(40) for c in range(3)], "query_id long, chunk_id long, keyword_score double, rank int")
+    settings = [("base", 0.6, 0.4, 60, 0.05, 3), ("words", 0.0, 1.0, 60, 0.05, 3), ("same", 0.6, 0.4, 60, 0.05, 3)]
+    hits = V.fused_by_settings(dense, words, settings).withColumn("filename", F.concat(F.lit("f"), F.col("chunk_id").cast("string")))
+    plain = R.fuse(dense, words).where("rank <= 3").select("query_id", "chunk_id", "rank")
+    assert sorted(map(tuple, hits.where("setting = 'base'").select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, plain.collect()))
+    queries = spark.createDataFrame([(q, "f0" if q % 4 else "f3") for q in range(39)] + [(39, None)], "query_id long, expected string")
+    out = {(r["setting"], r["metric"]): r for r in V.compare_settings(V.positions_by_settings(hits, queries, [s[0] for s in settings]), "base").collect()}
+    assert len(out) == 9
+    for metric in ("recall_at_k", "mrr", "citation_correctness"):
+        same = out["same", metric]
+        assert same["delta"] == same["low"] == same["high"] == 0 and same["value"] == out["base", metric]["value"]
+    worse = out["words", "citation_correctness"]
+    assert worse["value"] == pytest.approx(10 / 39) and worse["delta"] == pytest.approx(10 / 39 - 29 / 39) and worse["low"] < worse["delta"] < worse["high"] < 0

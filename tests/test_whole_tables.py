@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrag.operators import retrieval as R
+from sparkrag.operators import ann as N
 from sparkrag.plans import registry
 from sparkrag.plans import ops_queries, search_queries, text_queries  # noqa: F401  they register their queries
 from sparkrag.settings import STOPWORDS
@@ -70,10 +70,11 @@ def test_stand_in_ranking(spark, tmp_path):
 
 def test_recall_is_that_of_the_defaults(spark, tmp_path, monkeypatch):
     _write(spark, tmp_path, "embeddings", [(i, i % 3, [float(i % 11), float(i % 7), 1.0]) for i in range(300)], "vec_id long, label int, embedding array<float>")
-    asked, search = [], R.ivf_knn
-    monkeypatch.setattr(R, "ivf_knn", lambda q, c, k, **how: asked.append(how) or search(q, c, k, **how))
-    assert 0.9 <= _rows(spark, "r3_ivf_knn", tmp_path)[0]["recall"] <= 1
-    assert asked == [{}]
+    asked, search = [], N.ivf_knn
+    monkeypatch.setattr(N, "ivf_knn", lambda q, c, *a, **how: asked.append((a, sorted(how))) or search(q, c, *a, **how))
+    row = _rows(spark, "r3_ivf_knn", tmp_path)[0]
+    assert 0.9 <= row["recall"] <= 1 and row["most_read"] == 48
+    assert asked == [((), ["index"])]  # k and all else as they are by default
 
 
 def test_vectors_of_one_workspace_made_anew(spark, tmp_path):
