@@ -197,7 +197,7 @@ def k3_dedup_requests(spark, sf_dir):
         F.col("event_id").alias("request_id"), "user_id", F.col("event_type").alias("endpoint"), key.alias("key"), hashed.alias("request_hash"), response.alias("response"), F.col("ts").cast("timestamp").alias("ts")
     )
     with K.rocksdb(spark):
-        K.dedup_stream(rows, "60 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        K.dedup_stream(rows).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("request_id", "replayed", "answer", "conflict")
 
 

@@ -191,7 +191,7 @@ def rate_limit_stream(events: DataFrame, limit: int = DEFAULTS.rate_limit_per_mi
 class _Replay(StatefulProcessor):
     """Keeps for each key of a bucket the first request's response and hash."""
 
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -229,22 +229,23 @@ def _request_key() -> Column:
     return F.when(F.col("key").isNotNull(), F.to_json(F.struct("user_id", "endpoint", "key")))
 
 
-def dedup_stream(requests: DataFrame, keep: str = "1 day", known: DataFrame | None = None, buckets: int = 256) -> DataFrame:
+def dedup_stream(requests: DataFrame, keep: str | None = None, known: DataFrame | None = None, buckets: int = 256) -> DataFrame:
     """(request_id, user_id, endpoint, key, ts, replayed, answer, conflict) of a stream of requests (request_id, user_id,
     endpoint, key, request_hash, response, ts).
 
     The first request of a key gives its own response; later ones get that response, and conflict tells that
     their hash is another one. Within a micro-batch the order is by time and id, across micro-batches that of arrival.
-    Requests without a key pass. Keys are forgotten `keep` after they were written. known: (user_id, endpoint, key,
+    Requests without a key pass. Keys are kept for good, or for `keep` after they were written; the latter is for a stream that
+    goes on, since it looks at the clock again and again. known: (user_id, endpoint, key,
     answer, request_hash), keys that a stored table has, to start from. Needs the RocksDB state store.
     """
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
     rows = requests.withColumn("id", _request_key()).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("id", F.col("request_id").cast("string"))), F.lit(buckets)))
     start = None if known is None else known.where("key is not null").withColumn("id", _request_key()).select(bucket, "id", "answer", "request_hash").groupBy("bucket")
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("request_id", "user_id", "endpoint", "key", "ts")) + ", replayed boolean, answer string, conflict boolean"
-    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Replay(keep_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime", initialState=start)
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Replay(keep_ms), outputStructType=schema, outputMode="Append", timeMode="None" if keep is None else "ProcessingTime", initialState=start)
 
 
 def _buckets(latency: Column) -> Column:

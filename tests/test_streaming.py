@@ -27,8 +27,12 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     for part in range(2):
         df.where(F.floor(F.col("event_id") / 40) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = K.rate_limit_stream(stream, 3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    q.awaitTermination(120)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else it looks at the clock without end
+    try:
+        q = K.rate_limit_stream(stream, 3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert q.awaitTermination(120)
     got = {(r["event_id"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["event_id"], r["allowed"]) for r in K.rate_limit(df, 3).collect()}
 
