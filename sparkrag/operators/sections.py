@@ -6,8 +6,10 @@ import csv
 import html.parser
 import io
 import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +176,33 @@ def route_format(files: DataFrame, strict: bool = True, key: str = "doc_id") ->
     return exploded(read, F.when(F.col("format") == "csv", F.col("records")).otherwise(char_section_array(F.col("body"))), key), failed
 
 
+def sections(files: DataFrame, fn: Callable[[str, bytes], list[tuple[str, str, int, int]]], key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Any sectioner: fn takes a filename and a body and returns (text, locator_type, locator_start, locator_end) in order.
+
+    Returns the sections of files (key, filename, content: binary) and (key, error) of those that fn fails on: one
+    bad file never stops the rest. Blank sections are left out; a null name or body is an empty one.
+    """
+    one = pa.struct([("text", pa.string()), ("locator_type", pa.string()), ("locator_start", pa.int32()), ("locator_end", pa.int32())])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, bodies in batches:
+            found, errors = [], []
+            for name, body in zip(names.to_pylist(), bodies.to_pylist(), strict=True):
+                try:
+                    parts = [dict(zip(("text", "locator_type", "locator_start", "locator_end"), part, strict=True)) for part in fn(name or "", body or b"")]
+                    pa.array(parts, one)  # parts of other types are an error of this file alone
+                    found.append([part for part in parts if part["text"] and part["text"].strip()])
+                    errors.append(None)
+                except Exception as error:  # a caller's function may fail in any way
+                    found.append([])
+                    errors.append(f"{type(error).__name__}: {error}"[:500])
+            yield pa.StructArray.from_arrays([pa.array(found, pa.list_(one)), pa.array(errors, pa.string())], names=["sections", "error"])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    read = files.select(key, F.arrow_udf(run, f"struct<sections: {SECTION}, error: string>")(F.col("filename"), F.col("content")).alias("r"))
+    return exploded(read, F.col("r.sections"), key), read.where("r.error is not null").select(key, F.col("r.error").alias("error"))
+
+
 def page_documents(pages: DataFrame) -> DataFrame:
     """Pages (url, html) to (url, title, content, domain, source_type, content_type)."""
     page = F.coalesce(F.col("html"), F.lit(""))

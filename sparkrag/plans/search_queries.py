@@ -233,6 +233,19 @@ def r8_bm25_rerank(spark, sf_dir):
     return out.select("query_id", "chunk_id", F.round("final", 6).alias("final"), "rank")
 
 
+def shortest_first(hits):
+    """A caller's reranker: a query's hits by the length of their texts, ties by the old rank."""
+    hits = hits.assign(size=hits["content"].str.len()).sort_values(["size", "rank"], kind="stable")
+    return hits.assign(rank=range(1, len(hits) + 1))[["query_id", "chunk_id", "rank"]]
+
+
+@query("r8_own_rerank", f"WITH {_SEARCH_SQL} SELECT kw.query_id, kw.chunk_id, CAST(row_number() OVER (PARTITION BY kw.query_id ORDER BY length(d.text), kw.rank) AS INTEGER) AS rank FROM kw JOIN documents d ON d.doc_id = kw.chunk_id")
+def r8_own_rerank(spark, sf_dir):
+    """Hits put in order by a caller's function, a query at a time."""
+    hits = _hits(spark, sf_dir)
+    return R.rerank(hits, shortest_first, f"query_id {hits.schema['query_id'].dataType.simpleString()}, chunk_id {hits.schema['chunk_id'].dataType.simpleString()}, rank int")
+
+
 @query("r9_lexical_confidence", f"""WITH {_HITS_SQL}, i AS (SELECT tt.*, CASE WHEN df.df > 0 THEN ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) ELSE ln(1 + n.n) END AS idf FROM tt JOIN df USING (query_id, term) JOIN n ON n.query_id = tt.query_id)
 SELECT h.query_id, h.chunk_id, round(CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (tf > 0), 0) / sum(idf) ELSE 0 END, 6) AS confidence, CAST(count(*) FILTER (tf > 0) AS INTEGER) AS n_matched, CAST(count(i.term) AS INTEGER) AS total_terms
 FROM h LEFT JOIN i ON i.query_id = h.query_id AND i.chunk_id = h.chunk_id GROUP BY ALL""")
@@ -329,6 +342,19 @@ cf AS (SELECT ch.query_id, ch.chunk_id, ch.rank, any_value(ch.content) AS conten
 cx AS (SELECT *, lead(c) OVER (PARTITION BY query_id ORDER BY rank) AS next, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM cf)"""
 
 
+def prompt_sizes(batches):
+    """A caller's answerer: how long the prompt is."""
+    for rows in batches:
+        yield rows.assign(text=[str(sum(len(m["content"]) for m in messages if m["role"] == "user")) for messages in rows["messages"]])[["query_id", "text"]]
+
+
+@query("a2_own_answer", f"""WITH {_CTX_SQL}, {_HARD_SQL}
+SELECT query_id, CAST(length('Context:' || chr(10) || chr(10) || string_agg('[' || pos || '] ' || t, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(a.question)) AS VARCHAR) AS text FROM hard JOIN a USING (query_id) GROUP BY query_id""")
+def a2_own_answer(spark, sf_dir):
+    """Prompts answered by a caller's function."""
+    return A.generated_answer(A.build_prompts(A.select_contexts(_hits(spark, sf_dir))), prompt_sizes)
+
+
 @query("a3_extractive_answer", f"WITH {_CTX_SQL}, {_CONF_SQL} SELECT query_id, {_cut(600)} AS text, chunk_id FROM cx WHERE place = 1 AND c >= 0.3 AND (next IS NULL OR c - next >= 0.01)")
 def a3_extractive_answer(spark, sf_dir):
     return A.extractive_answer(A.select_contexts(_hits(spark, sf_dir)), 0.3, 0.01)

@@ -391,6 +391,26 @@ def p8_route_format(spark, sf_dir):
     return good.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.lit(None).cast("string").alias("error")).unionByName(failed.select("doc_id", F.lit(0).cast("long").alias("n_sections"), "error"))
 
 
+def sentences(name: str, body: bytes) -> list[tuple[str, str, int, int]]:
+    """A caller's sectioner: a section for each piece that ends with a full stop; other names than .md are an error."""
+    if not name.endswith(".md"):
+        raise ValueError(f"not for {name}")
+    return [(piece, "sentence", i, i + 1) for i, piece in enumerate(body.decode().split("."))]
+
+
+@query("p8_own_sections", """WITH d AS (SELECT doc_id, text, doc_id % 5 = 0 AS other FROM documents), s AS (SELECT doc_id, unnest(string_split(text, '.')) AS piece, unnest(range(len(string_split(text, '.')))) AS i FROM d WHERE NOT other)
+SELECT doc_id, count(*) AS n_sections, CAST(sum(length(piece)) AS BIGINT) AS n_chars, CAST(max(i) AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS error FROM s WHERE regexp_matches(piece, '[^\s]') GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL, 'ValueError: not for a.xyz' FROM d WHERE other""")
+def p8_own_sections(spark, sf_dir):
+    """Documents cut by a caller's function, and the files that it refuses."""
+    name = F.when(F.col("doc_id") % 5 == 0, "a.xyz").otherwise("a.md")
+    rows = read(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    good, failed = sections.sections(rows, sentences)
+    done = good.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(F.length("text")).alias("n_chars"), F.max("locator_start").cast("long").alias("last"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(0).cast("long")
+    return done.unionByName(failed.select("doc_id", none.alias("n_sections"), none.alias("n_chars"), F.lit(None).cast("long").alias("last"), "error"))
+
+
 _PAGE_TITLE = "coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1), ' ' || chr(10) || chr(9)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]+)</h1>', 1), ' ' || chr(10) || chr(9)), ''))"
 
 

@@ -338,3 +338,16 @@ def test_settings_are_compared_on_the_same_candidates(spark):
         assert same["delta"] == same["low"] == same["high"] == 0 and same["value"] == out["base", metric]["value"]
     worse = out["words", "citation_correctness"]
     assert worse["value"] == pytest.approx(10 / 39) and worse["delta"] == pytest.approx(10 / 39 - 29 / 39) and worse["low"] < worse["delta"] < worse["high"] < 0
+
+
+def test_own_sectioner(spark):
+    def lines(name, body):
+        if name == "types.md":
+            return [("x", "line", "no number", 1)]
+        return [(t, "line", i, i + 1) for i, t in enumerate(body.decode().split("\n"))]
+
+    rows = [(1, "a.md", b"one\n \ntwo"), (2, "b.md", b"\xff"), (3, "types.md", b"x"), (4, None, None), (None, "c.md", b"z")]
+    good, bad = P.sections(spark.createDataFrame(rows, "doc_id long, filename string, content binary"), lines)
+    assert sorted(map(repr, (tuple(r) for r in good.collect()))) == sorted(map(repr, [(1, 0, "one", "line", 0, 1), (1, 1, "two", "line", 2, 3), (None, 0, "z", "line", 0, 1)]))
+    errors = {r["doc_id"]: r["error"] for r in bad.collect()}
+    assert set(errors) == {2, 3} and errors[2].startswith("UnicodeDecodeError")
