@@ -319,3 +319,25 @@ def test_language_query(spark, tmp_path):
     done = op13_language_id(spark, str(tmp_path))
     assert dict(done.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
     assert {(r["doc_id"], r["held_out"]) for r in done.collect()} == {(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows}
+
+
+# The encoder that packing uses for most texts, against the tokenizer that the contract names
+
+
+def test_encoder_is_the_tokenizer_over_a_whole_table():
+    import os
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from sparkrag.llm.tokens import ByteBpe
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the given tables aren't here")
+    model, mine = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ByteBpe()
+    texts = pq.read_table(path, columns=["text"])["text"].to_pylist()
+    assert len(texts) >= 200
+    for text in texts:
+        assert np.frombuffer(mine.encode(text or ""), "<u4").tolist() == model.encode(text or "", add_special_tokens=False).ids
