@@ -20,15 +20,17 @@ def bucket_of(buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*_FILE), F.lit(buckets)).cast("int")
 
 
-def _put(rows: DataFrame, path: str) -> None:
-    dealt = rows.repartition("bucket", *_FILE)  # so that a bucket is few files
+def _put(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    # A bucket is one file, or as many as there are partitions for each bucket.
+    share = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("file_id"), F.lit(share)))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(path)
 
 
 def write_generation(rows: DataFrame, path: str, number: int, buckets: int = BUCKETS) -> None:
     """Adds rows (workspace_id, file_id, ...) as generation `number`: the new rows of their files. Numbers rise from write
     to write; merges take the odd places between them."""
-    _put(rows.withColumns({"bucket": bucket_of(buckets), "generation": F.lit(2 * number).cast("long")}), path)
+    _put(rows.withColumns({"bucket": bucket_of(buckets), "generation": F.lit(2 * number).cast("long")}), path, buckets)
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:

@@ -180,8 +180,8 @@ def test_a_merge_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     want = sorted(map(tuple, read_index(spark, path).collect()))
     put = index._put
 
-    def broken(rows, where):
-        put(rows, where)
+    def broken(rows, where, *more):
+        put(rows, where, *more)
         raise RuntimeError
 
     monkeypatch.setattr(index, "_put", broken)
