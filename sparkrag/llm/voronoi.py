@@ -13,7 +13,8 @@ data meet in blocks of bounded size, each block pair keeps its K+1 best rows a q
 ranked once more. Of the two sides the queries are replicated, as they are fewer by far.
 
 Vectors of different lengths have no product: each is searched among those of its own length, whose cells
-have pivots of that length. More than MOST_LENGTHS lengths are an error.
+have pivots of that length. Only the MOST_LENGTHS most frequent lengths have pivots; the others are dealt to as
+many cells without one, where a query meets every vector of its length.
 
 Cases: null ids, null or empty vectors, and vectors with null or non-finite components take no part; a repeated (id, vector) row counts once; ties go to the smaller id; with
 fewer candidates than K all are returned; an empty table gives an empty result; other columns are
@@ -34,6 +35,7 @@ from sparkrag.llm.common import stored
 
 #: Rows of a data block and of a query block, and the most pivots.
 BLOCK, MOST_PIVOTS = 4096, 1024
+#: Lengths that have pivots, and cells that the other lengths share.
 MOST_LENGTHS = 64
 
 
@@ -69,24 +71,32 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarra
 
 
 class Pivots:
-    """centres: a vector for each cell; cells of the same length are told apart by distance."""
+    """centres: a vector for each cell; cells of the same length are told apart by distance. The last MOST_LENGTHS
+    cells have no centre and are those of the lengths that no centre has."""
 
     def __init__(self, centres: list[list[int]]):
         size = np.array([len(c) for c in centres])
-        self.count = len(centres)
+        self.centres, self.count = len(centres), len(centres) + MOST_LENGTHS
         self.of = {int(n): (at := np.flatnonzero(size == n), np.array([centres[i] for i in at], np.float64)) for n in np.unique(size)}
 
+    def shared(self, length: int) -> int:
+        """The cell of a length that has no centre."""
+        return self.centres + length % MOST_LENGTHS
+
 
 def _cells(pivots: Pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, x in by_length(batch):
-                cells, centres = pivots.of[x.shape[1]]
-                x = x.astype(np.float64)
-                far = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None], 0)
-                best = far.argmin(1)
-                reach = np.linalg.norm(x - centres[best], axis=1)
-                yield pa.record_batch([part["key"], part["v"], part["ids"], pa.array(cells[best]), pa.array(reach)], names=["key", "v", "ids", "cell", "reach"])
+                if x.shape[1] in pivots.of:
+                    cells, centres = pivots.of[x.shape[1]]
+                    x = x.astype(np.float64)
+                    far = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None], 0)
+                    best = far.argmin(1)
+                    cell, reach = cells[best], np.linalg.norm(x - centres[best], axis=1)
+                else:
+                    cell, reach = np.full(len(x), pivots.shared(x.shape[1])), np.zeros(len(x))
+                yield pa.record_batch([part["key"], part["v"], part["ids"], pa.array(cell), pa.array(reach)], names=["key", "v", "ids", "cell", "reach"])
 
     return run
 
@@ -103,6 +113,8 @@ class Summary:
 
     def needed(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of q and cells that may hold one of their best rows."""
+        if q.shape[1] not in self.pivots.of:
+            return np.arange(len(q)), np.full(len(q), self.pivots.shared(q.shape[1]))
         cells, centres = self.pivots.of[q.shape[1]]
         near, radius = self.near[cells], np.maximum(self.radius[cells], 0)
         q = q.astype(np.float64)
@@ -153,11 +165,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     keep = k + 1
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vec_col)).alias("v"))
     rows = stored(rows.withColumn("key", F.sha2(F.to_json("v"), 256)), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy("size").limit(MOST_LENGTHS + 1).collect()
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(MOST_LENGTHS).collect()
     if not sizes:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    if len(sizes) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
 
     first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     merged = rows.select("key", "id").distinct().withColumn("at", first).where(F.col("at") <= keep).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -187,8 +197,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     spread = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int") - 1))
     left = data.withColumn("d", (number % data_blocks).cast("int")).withColumn("q", spread(query_blocks))
     right = sent.withColumn("q", (number % query_blocks).cast("int")).withColumn("d", spread(data_blocks))
-    where = ["cell", "d", "q"]
-    found = left.select(*where, "v", "ids").groupBy(*where).cogroup(right.select(*where, "key", "v").groupBy(*where)).applyInArrow(_best(keep), "key string, vec_id long, score long")
+    where, size = ["cell", "size", "d", "q"], F.size("v").alias("size")
+    found = left.select("cell", size, "d", "q", "v", "ids").groupBy(*where).cogroup(right.select("cell", size, "d", "q", "key", "v").groupBy(*where)).applyInArrow(_best(keep), "key string, vec_id long, score long")
 
     order = [F.desc("score"), F.asc("vec_id")]
     best = found.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("at") <= keep).select("key", "vec_id", "score")

@@ -129,8 +129,9 @@ def test_top_k(spark):
     mixed = df.unionByName(spark.createDataFrame([(i, v, 1) for i, v in longer], "vec_id long, embedding array<float>, score int"))
     want = sorted(_brute_top(rows, 10, 5) + _brute_top(longer, 10, 5))
     assert sorted(tuple(r) for r in voronoi.top_k(mixed, every=10, pivots=12, block=50).collect()) == want
-    with pytest.raises(ValueError, match="lengths"):
-        voronoi.top_k(spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(voronoi.MOST_LENGTHS + 1)], "vec_id long, embedding array<float>"))
+    many = [(i, [float(x) for x in rng.standard_normal(i % (2 * voronoi.MOST_LENGTHS + 5) + 1)]) for i in range(700)]  # most lengths have no pivot
+    want = sorted(t for n in range(1, 2 * voronoi.MOST_LENGTHS + 6) for t in _brute_top([r for r in many if len(r[1]) == n], 10, 5))
+    assert sorted(tuple(r) for r in voronoi.top_k(spark.createDataFrame(many, "vec_id long, embedding array<float>"), every=10, block=3).collect()) == want
     few = df.where("vec_id in (10, 11, 12)")
     assert voronoi.top_k(few, every=10).count() == 2
     assert voronoi.top_k(df.limit(0)).count() == 0
