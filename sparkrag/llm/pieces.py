@@ -22,17 +22,20 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrag.llm.common import CACHES, tidied
+
 MARK = "▁"
 UNKNOWN = 10.0
 #: Units remembered; the memory starts anew beyond that.
-UNITS = 400_000
+UNITS = 100_000
 NORMAL, UNK, BYTE = 1, 2, 6
 
 
@@ -122,7 +125,6 @@ class PieceModel:
 
             pieces = read_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
         self.pieces, self.prefix = pieces, prefix
-        self.automaton = Automaton(pieces)
         self.unknown = min(s for _, s, k in pieces if k == NORMAL) - UNKNOWN
         self.unk = next((i for i, (_, _, k) in enumerate(pieces) if k == UNK), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
@@ -134,6 +136,11 @@ class PieceModel:
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in pieces]
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Made when a text is first encoded: decoding goes without it."""
+        return Automaton(self.pieces)
+
     def _solve(self, text: str) -> bytes:
         ids = array("I")
         for start, end, i in self.automaton.viterbi(text, self.unknown):
@@ -202,10 +209,12 @@ def piece_model(path: str | None = None) -> PieceModel:
     return PieceModel(path)
 
 
+CACHES["pieces"] = piece_model.cache_clear
+
 COUNTS = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long"
 SCHEMA = COUNTS + ", restored boolean"
 #: Bytes of ids in a batch.
-SIZE = 16 << 20
+SIZE = 1 << 20
 
 
 def _encoded(path: str | None):
@@ -241,22 +250,32 @@ def _record(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
 def encode_pieces(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, n_bytes, restored[, ids]) of docs (doc_id, text); restored: `decode_pieces` gave the text back."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = rows.mapInArrow(_encoded(model), COUNTS + ", given string, ids array<int>")
+    encoded = rows.mapInArrow(tidied(_encoded(model), "pieces"), COUNTS + ", given string, ids array<int>")
     names = [x.split()[0] for x in COUNTS.split(", ")]
     back = decode_pieces(encoded, model, keep=[*names[1:], "given", "ids"])
     return back.select(*names, (F.col("text") == F.col("given")).alias("restored"), *(["ids"] if with_ids else []))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most SIZE bytes of ids, but for a single longer row."""
+    total = 4 * np.cumsum(pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, before + SIZE, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(total[end - 1])
+
+
 def decode_pieces(rows: DataFrame, model: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, *keep) of rows (doc_id, ids, *keep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = piece_model(model).decode
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             ids = batch["ids"]
             ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
             texts = [decode(values[a:b].astype("<i4", copy=False).tobytes()) if known else None for a, b, known in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist(), strict=True)]
             yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string()), *(batch[c] for c in keep)], names=["doc_id", "text", *keep])
 
     kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys(["ids", *keep])).mapInArrow(run, "doc_id long, text string" + kept)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys(["ids", *keep])).mapInArrow(tidied(run, "pieces"), "doc_id long, text string" + kept)
