@@ -88,6 +88,39 @@ def test_long_run_without_a_cut():
     assert len(ids) == 100_001 and sorted(np.bincount(ids).tolist()) == [0, 1, 100_000]
 
 
+def _each(model, texts):
+    ids, ends = model.encode_all(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("spelt", [True, False])
+def test_units_side_by_side_are_segmented_as_alone(spelt):
+    """Many units at once against the plain pass over each whole text; scores are eighths, so sums are exact and ties frequent."""
+    rng = random.Random(2)
+    model = [("<unk>", 0.0, pieces.UNK)] + [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256) if spelt]
+    texts = {"▁" * rng.randint(0, 1) + "".join(rng.choices("abcé日", k=rng.randint(1, 4))) for _ in range(60)}
+    m = pieces.PieceModel(pieces=model + [(t, -rng.randint(1, 60) / 8, pieces.NORMAL) for t in sorted(texts)])
+    assert m.by_word
+    rows = ["".join(rng.choices("abcé日é▁😀\n ", (9, 9, 9, 3, 3, 1, 1, 1, 1, rng.choice([0, 9])), k=rng.randint(0, 150))) for _ in range(600)]
+    rows += [None, "", " ", "  a", "a" * 63, "a" * 64, "ab" * 100, "日\n" * 100]
+    alone = [np.frombuffer(m._solve("▁" + t.replace(" ", "▁")), "<u4").tolist() if t else [] for t in rows]
+    assert _each(m, rows) == alone and _each(m, []) == []
+    assert [np.frombuffer(m.encode(t or ""), "<u4").tolist() for t in rows[:100]] == alone[:100]
+
+
+def test_equal_units_of_many_texts_are_solved_once_and_together(monkeypatch):
+    """5000 different words in 200 texts, each 20 times: no pass of its own for any, and no word twice."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("etaoinshr", k=rng.randint(3, 12))) for _ in range(5000)})
+    texts = [" ".join(rng.sample(words, 500)) for _ in range(200)]
+    model, plain, seen = pieces.PieceModel(), pieces.Arrays.viterbi, []
+    want = [np.frombuffer(model.encode(t), "<u4").tolist() for t in texts]
+    monkeypatch.setattr(pieces.Arrays, "viterbi", lambda self, points, n, unknown: seen.append(len(n)) or plain(self, points, n, unknown))
+    monkeypatch.setattr(pieces.Automaton, "viterbi", lambda *a: pytest.fail("a short word went through alone"))
+    assert _each(model, texts) == want
+    assert sum(seen) <= len(words) and len(seen) <= 2
+
+
 def test_a_text_with_the_mark_is_not_restored(spark):
     done = pieces.encode_pieces(documents(spark, [(1, "a b"), (2, "a▁b")])).collect()
     assert {r["doc_id"]: r["restored"] for r in done} == {1: True, 2: False}
