@@ -15,6 +15,8 @@ from sparkrag.streaming import jobs as K
 _scratch = io.shared_path
 #: Bytes of files in a micro-batch for each core.
 BATCH_BYTES = 64 << 20
+#: Folders of files that a task writes; Spark lists up to 32 on the driver.
+_FOLDERS = 40
 
 
 def streamed(spark, sf_dir, name):
@@ -24,12 +26,21 @@ def streamed(spark, sf_dir, name):
 
 @query("s1_read_files", "SELECT source AS workspace_id, CAST(doc_id AS VARCHAR) AS file_id, CAST(doc_id % 3 + 1 AS INTEGER) AS version, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS checksum FROM documents")
 def s1_read_files(spark, sf_dir):
-    """A file for each document, a version each, written as partitions and read back by `read_files`."""
+    """A file for each document, a version each, written in folders and read back by `read_files`.
+
+    A folder's name tells the file's place, and the workspace in hexadecimal digits, since some characters can't stand in
+    one. Each task writes folders of its own, more than Spark lists one by one, so that they are moved
+    and listed as few. On a local disk the files have no checksum files beside them.
+    """
     root = _scratch(spark, "files")
-    docs = read(spark, sf_dir, "documents").select(F.col("text").alias("value"), F.col("source").alias("workspace"), F.col("doc_id").alias("file"), (F.col("doc_id") % 3 + 1).alias("v"))
-    docs.repartition("workspace", "file").write.partitionBy("workspace", "file", "v").text(root)  # the path after the partition columns is the name
-    found = io.read_files(spark, root, r"workspace=([^/]+)/file=([^/]+)/v=(\d+)/([^/]+)$")
-    return found.select("workspace_id", "file_id", "version", "size_bytes", F.sha2("content", 256).alias("checksum"))
+    docs = io.spread(read(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("value")))
+    place = F.concat(F.coalesce(F.concat(F.lit("w"), F.hex("source")), F.lit("none")), F.lit("~"), F.col("doc_id").cast("string"), F.lit("~v"), (F.col("doc_id") % 3 + 1).cast("string"))
+    part = F.concat(F.spark_partition_id().cast("string"), F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.lit(_FOLDERS)).cast("string"))
+    local = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    docs.select("value", part.alias("part"), place.alias("file")).write.partitionBy("part", "file").options(maxRecordsPerFile=1, **local).text(root)
+    found = io.read_files(spark, root, r"/file=([^/~]+)~([^/~]+)~v(\d+)/([^/]+)$")
+    workspace = F.when(F.startswith("workspace_id", F.lit("w")), F.unhex(F.substring("workspace_id", 2, 1 << 30)).cast("string"))
+    return found.select(workspace.alias("workspace_id"), "file_id", "version", "size_bytes", F.sha2("content", 256).alias("checksum"))
 
 
 @query("s2_eval_dataset", "SELECT 'bench' AS dataset, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS query_id, text AS question FROM benchmark")

@@ -15,6 +15,8 @@ EVAL_SCHEMA = (
     "queries array<struct<question: string, expected_filename: string, expected: string>>"
 )
 AUDIT_SCHEMA = "timestamp timestamp, action string, workspace_id string, user_id string, target string, metadata string"
+#: Bytes of files that a task reads.
+_TASK_BYTES = 64 << 20
 _LAYOUT = r"workspaces/([^/]+)/files/([^/]+)/v(\d+)/([^/]+)$"
 
 
@@ -26,6 +28,12 @@ def _keyed(df: DataFrame, layout: str = _LAYOUT) -> DataFrame:
     )
 
 
+def _packed(bodies: DataFrame) -> DataFrame:
+    """Many small files to few tasks: Spark counts each as 4 MB at least, so that a task has but a few of them."""
+    n_bytes = int(bodies._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return bodies.coalesce(max(4 * bodies.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // _TASK_BYTES)))
+
+
 def _choice(values: Iterable | None, prefix: str = "") -> str:
     """A path pattern of one of the values, or of any."""
     if values is None:
@@ -43,7 +51,7 @@ def read_files(spark: SparkSession, root: str, layout: str = _LAYOUT, workspaces
     """
     source = spark.read.format("binaryFile")
     if workspaces is None and files is None and versions is None:
-        return _keyed(source.option("recursiveFileLookup", True).load(root), layout).where("workspace_id <> ''")
+        return _keyed(_packed(source.option("recursiveFileLookup", True).load(root)), layout).where("workspace_id <> ''")
     if any(x is not None and not list(x) for x in (workspaces, files, versions)):
         empty = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
         return _keyed(empty, layout)
@@ -55,7 +63,7 @@ def read_files(spark: SparkSession, root: str, layout: str = _LAYOUT, workspaces
     found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
     if not found:
         return _keyed(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"), layout)
-    return _keyed(source.option("recursiveFileLookup", True).load(path), layout).where("workspace_id <> ''")
+    return _keyed(_packed(source.option("recursiveFileLookup", True).load(path)), layout).where("workspace_id <> ''")
 
 
 def stream_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:

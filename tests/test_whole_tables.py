@@ -115,6 +115,22 @@ def test_files_of_any_layout(spark, tmp_path):
     assert (row["workspace_id"], row["file_id"], row["version"], row["filename"], bytes(row["content"])) == ("w", "f1", 3, "a b.md", b"# x")
 
 
+def test_files_of_odd_places(spark, tmp_path):
+    """Workspaces that no folder can be named like, ids that occur twice, and few tasks for many small files."""
+    places = ["a b", "x/y", "p:q%2F*", "src=1", "Ümlaut~v9", None]
+    docs = [(i, f"text {i}", places[i % 6]) for i in range(120)] + [(7, "again", "a b"), (7, "again", "a b")]
+    _write(spark, tmp_path, "documents", docs, "doc_id long, text string, source string")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "8m")  # a task for two files, as each counts as 4 MB
+    try:
+        found = registry.QUERIES["s1_read_files"](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        got = sorted((r["workspace_id"] or "", r["file_id"], r["version"], r["size_bytes"], r["checksum"]) for r in found.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert got == sorted((w or "", str(i), i % 3 + 1, len(t) + 1, hashlib.sha256(f"{t}\n".encode()).hexdigest()) for i, t, w in docs)
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
