@@ -131,6 +131,16 @@ def test_files_of_odd_places(spark, tmp_path):
     assert got == sorted((w or "", str(i), i % 3 + 1, len(t) + 1, hashlib.sha256(f"{t}\n".encode()).hexdigest()) for i, t, w in docs)
 
 
+LITERALS = {0: ([-1e-9, 0.5], "[-0.0000000,0.5000000]"), 1: ([0.00390625, -0.01171875], "[0.0039062,-0.0117188]"), 3: ([1e20, -3.0], "[100000002004087734272.0000000,-3.0000000]"), 6: ([float("nan"), float("-inf")], "[nan,-inf]"), 9: ([], "[]")}
+
+
+def test_upserted_literals_of_all_vectors(spark, tmp_path):
+    """Signs of what rounds to zero, halves to even, large and odd numbers."""
+    _write(spark, tmp_path, "embeddings", [(i, 0, v) for i, (v, _) in LITERALS.items()], "vec_id long, label int, embedding array<float>")
+    got = {r["chunk_id"]: r["embedding"] for r in _rows(spark, "c5_upsert_embeddings", tmp_path)}
+    assert got == {i: want if i % 3 == 0 else "[0.0000000]" for i, (_, want) in LITERALS.items()}
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
