@@ -141,6 +141,12 @@ def test_upserted_literals_of_all_vectors(spark, tmp_path):
     assert got == {i: want if i % 3 == 0 else "[0.0000000]" for i, (_, want) in LITERALS.items()}
 
 
+def test_literals_of_all_vectors(spark, tmp_path):
+    rows = [(i, 0, v) for i, (v, _) in LITERALS.items()] + [(100, 0, None)]
+    _write(spark, tmp_path, "embeddings", rows, "vec_id long, label int, embedding array<float>")
+    assert {r["vec_id"]: r["literal"] for r in _rows(spark, "s5_vector_literal", tmp_path)} == {i: want for i, (_, want) in LITERALS.items()} | {100: None}
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
