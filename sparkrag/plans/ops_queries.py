@@ -19,9 +19,12 @@ BATCH_BYTES = 64 << 20
 _FOLDERS = 40
 
 
-def streamed(spark, sf_dir, name):
-    """A given table, a file or a folder of files, as a stream of its rows that ends."""
-    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("maxBytesPerTrigger", str(BATCH_BYTES * spark.sparkContext.defaultParallelism)).parquet(f"{sf_dir}/{name}.parquet*")
+def streamed(spark, sf_dir, name, at_once=False):
+    """A given table, a file or a folder of files, as a stream of its rows that ends. at_once: in one micro-batch, for
+    what depends on the order of arrival across micro-batches."""
+    source = spark.readStream.schema(read(spark, sf_dir, name).schema)
+    source = source if at_once else source.option("maxBytesPerTrigger", str(BATCH_BYTES * spark.sparkContext.defaultParallelism))
+    return source.parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @query("s1_read_files", "SELECT source AS workspace_id, CAST(doc_id AS VARCHAR) AS file_id, CAST(doc_id % 3 + 1 AS INTEGER) AS version, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS checksum FROM documents")
@@ -200,15 +203,17 @@ def k2_rate_limit_of_users(spark, sf_dir):
 f AS (SELECT *, key IS NOT NULL AND row_number() OVER w > 1 AS again, first_value(response) OVER w AS answer, first_value(request_hash) OVER w AS hash FROM r WINDOW w AS (PARTITION BY user_id, endpoint, key ORDER BY ts, request_id))
 SELECT request_id, again AS replayed, CASE WHEN again THEN answer ELSE response END AS answer, again AND hash <> request_hash AS conflict FROM f""")
 def k3_dedup_requests(spark, sf_dir):
-    """What the stream answers to each request: its own response, or that of the first request with its key."""
+    """What the stream answers to each request: its own response, or that of the first request with its key. First by time,
+    in whichever order the files hold them, so they are one micro-batch; its buckets grow in number with the rows."""
     path = _scratch(spark, "requests")
     key = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")))
     hashed, response = F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("r"), F.col("event_id").cast("string"))
-    rows = streamed(spark, sf_dir, "events").select(
+    buckets = max(256, read(spark, sf_dir, "events").count() // 20_000)
+    rows = streamed(spark, sf_dir, "events", at_once=True).select(
         F.col("event_id").alias("request_id"), "user_id", F.col("event_type").alias("endpoint"), key.alias("key"), hashed.alias("request_hash"), response.alias("response"), F.col("ts").cast("timestamp").alias("ts")
     )
     with K.rocksdb(spark):
-        K.dedup_stream(rows).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        K.dedup_stream(rows, buckets=buckets).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("request_id", "replayed", "answer", "conflict")
 
 

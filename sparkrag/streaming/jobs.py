@@ -203,7 +203,8 @@ class _Replay(StatefulProcessor):
                 self.first.updateValue((name,), (answer, request_hash))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
+        # A bucket of many rows comes in several frames, each numbered from 0; the rows are joined to their answers by number.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
         seen: dict[str, tuple] = {}
         out = []
         for name, response, request_hash in zip(batch["id"], batch["response"], batch["request_hash"], strict=True):

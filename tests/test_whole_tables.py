@@ -1,5 +1,6 @@
 """Queries over whole tables against plain restatements of their rules, with the rows that SQL leaves out."""
 
+import datetime as dt
 import hashlib
 import json
 import re
@@ -147,6 +148,28 @@ def test_literals_of_all_vectors(spark, tmp_path):
     assert {r["vec_id"]: r["literal"] for r in _rows(spark, "s5_vector_literal", tmp_path)} == {i: want for i, (_, want) in LITERALS.items()} | {100: None}
 
 
+def test_replies_to_all_requests(spark, tmp_path, monkeypatch):
+    """Buckets that come in several frames, and files whose requests are earlier than those of the files before."""
+    start = dt.datetime(2024, 1, 1)
+    events = [(i, start + dt.timedelta(seconds=(i * 7919) % 400), i % 3, "ab"[i % 2]) for i in range(400)]
+    for part in (events[:200], events[200:]):
+        spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(ops_queries, "BATCH_BYTES", 1)
+    want, first = {}, {}
+    for i, ts, user, kind in sorted(events, key=lambda e: (e[1], e[0])):
+        key = (user, kind, i % 40) if i % 4 else None
+        known = first.setdefault(key, i) if key else i
+        want[i] = (known != i, f"r{known}", known != i and known % 3 != i % 3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        got = _rows(spark, "k3_dedup_requests", tmp_path)
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len(events) and {r["request_id"]: (r["replayed"], r["answer"], r["conflict"]) for r in got} == want
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
