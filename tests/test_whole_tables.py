@@ -170,6 +170,12 @@ def test_replies_to_all_requests(spark, tmp_path, monkeypatch):
     assert len(got) == len(events) and {r["request_id"]: (r["replayed"], r["answer"], r["conflict"]) for r in got} == want
 
 
+def test_deleted_chunks_of_blank_texts(spark, tmp_path):
+    texts = ["a" * 4001, "", " \n\t\f\r", None, "\x0b", "\u00a0", " " * 4000 + "x", " " * 9000]
+    _write(spark, tmp_path, "documents", [(3 * i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["file_id"]: r["n_deleted"] for r in _rows(spark, "g9_delete_chunks", tmp_path)} == {1: 2, 13: 1, 16: 1, 19: 2}
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
