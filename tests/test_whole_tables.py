@@ -176,6 +176,20 @@ def test_deleted_chunks_of_blank_texts(spark, tmp_path):
     assert {r["file_id"]: r["n_deleted"] for r in _rows(spark, "g9_delete_chunks", tmp_path)} == {1: 2, 13: 1, 16: 1, 19: 2}
 
 
+def test_addresses_of_many_pages(spark, tmp_path):
+    """Every first group of the unique local kind, and that link-local stays blocked."""
+    from sparkrag.functions import urls as U
+
+    spark.range(8 * 800).select(F.col("id").alias("page_id")).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = _rows(spark, "t16_address_spellings", tmp_path)
+    assert len(rows) == 4 * 8 * 800
+    kinds = {1: lambda x: x % 768 < 512, 2: lambda x: x % 128 < 64}
+    wrong = [r for r in rows if r["page_id"] % 8 in kinds and r["blocked"] != kinds[r["page_id"] % 8](r["page_id"] // 8)]
+    assert wrong == []
+    ends = spark.createDataFrame([("fdff::1", True), ("fe00::1", False), ("fe7f::1", False), ("fe80:280::1", True), ("febf:2bf::1", True), ("fec0::1", False)], "a string, want boolean")
+    assert all(r["got"] == r["want"] for r in ends.select("want", U.url_static_check(F.concat(F.lit("http://["), "a", F.lit("]/"))).isNotNull().alias("got")).collect())
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
