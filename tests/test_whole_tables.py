@@ -190,6 +190,22 @@ def test_addresses_of_many_pages(spark, tmp_path):
     assert all(r["got"] == r["want"] for r in ends.select("want", U.url_static_check(F.concat(F.lit("http://["), "a", F.lit("]/"))).isNotNull().alias("got")).collect())
 
 
+CUT = "<title>A &amp;&amp</title><p>x &lt;b&gt; &ampc; &am</p>&copy; y&copy"
+
+
+def _cut_page(spark, folder, name):
+    _write(spark, folder, "pages", [(1, "https://a.org/x", CUT)], "page_id long, url string, html string")
+    return _rows(spark, name, folder)[0]
+
+
+def test_web_text_of_cut_references(spark, tmp_path):
+    """As SQL reads them; by default as HTML does."""
+    from sparkrag.functions import text as T
+
+    assert _cut_page(spark, tmp_path, "t2_sanitize_web_text")["clean"] == "A &&amp x <b> &ampc; &am © y&copy"
+    assert spark.range(1).select(T.sanitize_web_text(F.lit(CUT)).alias("t")).first()["t"] == "A && x <b> &c; &am © y©"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
