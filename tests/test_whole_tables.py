@@ -206,6 +206,13 @@ def test_web_text_of_cut_references(spark, tmp_path):
     assert spark.range(1).select(T.sanitize_web_text(F.lit(CUT)).alias("t")).first()["t"] == "A && x <b> &c; &am © y©"
 
 
+def test_page_text_of_cut_references(spark, tmp_path):
+    from sparkrag.functions import text as T
+
+    assert _cut_page(spark, tmp_path, "t4_html_to_text")["content"] == "A &&amp x <b> &ampc; &am © y&copy"
+    assert spark.range(1).select(T.html_to_text(F.lit(CUT)).alias("t")).first()["t"] == "A && x <b> &c; &am © y©"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
