@@ -213,6 +213,13 @@ def test_page_text_of_cut_references(spark, tmp_path):
     assert spark.range(1).select(T.html_to_text(F.lit(CUT)).alias("t")).first()["t"] == "A && x <b> &c; &am © y©"
 
 
+def test_inline_text_of_cut_references(spark, tmp_path):
+    from sparkrag.functions import text as T
+
+    assert _cut_page(spark, tmp_path, "t6_clean_inline_html")["clean"] == "A &&ampx <b> &ampc; &am© y&copy"
+    assert spark.range(1).select(T.clean_inline_html(F.lit(CUT)).alias("t")).first()["t"] == "A &&x <b> &c; &am© y©"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
