@@ -220,6 +220,18 @@ def test_inline_text_of_cut_references(spark, tmp_path):
     assert spark.range(1).select(T.clean_inline_html(F.lit(CUT)).alias("t")).first()["t"] == "A &&x <b> &c; &am© y©"
 
 
+def test_results_with_cut_references(spark, tmp_path):
+    from sparkrag.operators import web as W
+
+    title = "A &amp;&amp &copy"
+    _write(spark, tmp_path, "benchmark", [(i, f"words {i}") for i in range(3)], "item_id long, text string")
+    _write(spark, tmp_path, "pages", [(i, f"https://a.org/?x={i}&copy=1", f"<title>{title}</title>") for i in range(3)], "page_id long, url string, html string")
+    got = {r["query_id"]: (r["title"], r["url"]) for r in _rows(spark, "w1_parse_payloads", tmp_path)}
+    assert got == {i: (t, f"https://a.org/?x={i}&copy=1") for i, t in enumerate((title, title, "A &&amp &copy"))}
+    raw = spark.createDataFrame([(1, "a", "html", f'<a class="result__a" href="https://b.org">{title}</a>')], "query_id long, provider string, format string, body string")
+    assert W.parse_result_payloads(raw).first()["title"] == "A && ©"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
