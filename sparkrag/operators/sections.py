@@ -6,6 +6,7 @@ import csv
 import html.parser
 import io
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrag.functions.text import extract_title, html_to_text, markdown_title, strip
+from sparkrag.functions.text import extract_title, html_to_text, is_reference, markdown_title, strip
 from sparkrag.functions.urls import url_host
 from sparkrag.operators.ingest import extension
 
@@ -45,6 +46,10 @@ def md_title(text: Column) -> Column:
     return markdown_title(text)
 
 
+#: Stands for a & that starts no reference with a semicolon; no decoded text has it.
+_PLAIN = "\udc26"
+
+
 class _Visible(html.parser.HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -58,16 +63,20 @@ class _Visible(html.parser.HTMLParser):
 
     def handle_data(self, data):
         if not self.hidden and data.strip():
-            self.found.append(data.strip())
+            self.found.append(data.replace(_PLAIN, "&").strip())
+
 
+def _kept_plain(page: str) -> str:
+    return re.sub("&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z0-9]+;)?", lambda m: m[0] if len(m[0]) > 1 and is_reference(m[0]) else _PLAIN + m[0][1:], page)
 
-def _visible(pages: pd.Series) -> pd.Series:
+
+def _visible(pages: pd.Series, unended: bool = True) -> pd.Series:
     def one(page):
         if page is None:
             return None
         try:
             reader = _Visible()
-            reader.feed(page)
+            reader.feed(page if unended else _kept_plain(page))
             reader.close()
             return " ".join(reader.found)
         except Exception:  # noqa: BLE001  a page that can't be parsed is kept as it is
@@ -76,12 +85,17 @@ def _visible(pages: pd.Series) -> pd.Series:
     return pages.map(one, na_action="ignore")
 
 
-def visible_text(page: Column) -> Column:
-    return F.pandas_udf(_visible, "string")(page)
+def visible_text(page: Column, unended: bool = True) -> Column:
+    """unended: as for `decode_entities`."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        return _visible(pages, unended)
+
+    return F.pandas_udf(run, "string")(page)
 
 
-def html_sections(df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return char_sections(df.select(key, visible_text(F.col(text)).alias("_text")), size, key, "_text")
+def html_sections(df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", unended: bool = True) -> DataFrame:
+    return char_sections(df.select(key, visible_text(F.col(text), unended).alias("_text")), size, key, "_text")
 
 
 def _pretty(texts: pd.Series) -> pd.Series:

@@ -232,6 +232,15 @@ def test_results_with_cut_references(spark, tmp_path):
     assert W.parse_result_payloads(raw).first()["title"] == "A && ©"
 
 
+def test_sections_of_cut_references(spark, tmp_path):
+    from sparkrag.operators import sections
+
+    page = f"<html><head>{CUT[:26]}</head><body>{CUT[26:]}&#65;&#66 &&amp; <a href='?a=1&b'>Q&A</a><script>if (a && b) c()</script>&"
+    _write(spark, tmp_path, "pages", [(1, page)], "page_id long, html string")
+    assert [r["text"] for r in _rows(spark, "p3_html_sections", tmp_path)] == ["x <b> &ampc; &am © y&copyA&#66 && Q&A &"]
+    assert spark.range(1).select(sections.visible_text(F.lit(page)).alias("t")).first()["t"] == "x <b> &c; &am © y©AB && Q&A &"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
