@@ -217,7 +217,7 @@ def sections(files: DataFrame, fn: Callable[[str, bytes], list[tuple[str, str, i
     return exploded(read, F.col("r.sections"), key), read.where("r.error is not null").select(key, F.col("r.error").alias("error"))
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
-    """Pages (url, html) to (url, title, content, domain, source_type, content_type)."""
+def page_documents(pages: DataFrame, unended: bool = True) -> DataFrame:
+    """Pages (url, html) to (url, title, content, domain, source_type, content_type). unended: as for `decode_entities`."""
     page = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("url", extract_title(page).alias("title"), html_to_text(page).alias("content"), url_host(F.col("url")).alias("domain"), F.lit("web").alias("source_type"), F.lit("text/html").alias("content_type"))
+    return pages.select("url", extract_title(page).alias("title"), html_to_text(page, unended).alias("content"), url_host(F.col("url")).alias("domain"), F.lit("web").alias("source_type"), F.lit("text/html").alias("content_type"))

@@ -241,6 +241,14 @@ def test_sections_of_cut_references(spark, tmp_path):
     assert spark.range(1).select(sections.visible_text(F.lit(page)).alias("t")).first()["t"] == "x <b> &c; &am © y©AB && Q&A &"
 
 
+def test_documents_of_cut_references(spark, tmp_path):
+    from sparkrag.operators import sections
+
+    row = _cut_page(spark, tmp_path, "p9_page_documents")
+    assert (row["title"], row["content"]) == ("A &amp;&amp", "A &&amp x <b> &ampc; &am © y&copy")
+    assert sections.page_documents(spark.read.parquet(f"{tmp_path}/pages.parquet")).first()["content"] == "A && x <b> &c; &am © y©"
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
