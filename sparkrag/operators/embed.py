@@ -19,20 +19,28 @@ from sparkrag.settings import DEFAULTS, STOPWORDS
 _WORD = re.compile("[a-z0-9]{2,}")
 
 
-def hash_vectors(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
-    """Unit vectors of the counts of a text's content tokens over `dim` buckets, by an 8-byte BLAKE2b hash; no
-    tokens: zeros. The text goes to Python once and is cut into tokens there; each token is hashed once a worker."""
+def _blake2b(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+
+
+def _md5(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:7], 16)
+
+
+def _token_vectors(text: Column, dim: int, number: Callable[[str], int], kind: type) -> Column:
+    """Unit vectors of the counts of a text's content tokens over `dim` buckets, a token's number's remainder; no tokens:
+    zeros. The text goes to Python once and is cut into tokens there; each token is hashed once a worker."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bucket = dict.fromkeys(STOPWORDS, dim)  # one bucket more, which is thrown away
         for batch in batches:
-            out = np.zeros((len(batch), dim), np.float32)
+            out = np.zeros((len(batch), dim), kind)
             for i in range(len(batch)):
                 words = _WORD.findall(batch[i].as_py() or "")
                 at = list(map(bucket.get, words))
                 if None in at:
                     for w in {w for w, b in zip(words, at, strict=True) if b is None}:
-                        bucket[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % dim
+                        bucket[w] = number(w) % dim
                     at = [bucket[w] for w in words]
                 counts = np.bincount(at, minlength=dim + 1)[:dim].astype(float) if at else out[i]
                 n = np.sqrt((counts * counts).sum())
@@ -43,7 +51,12 @@ def hash_vectors(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
             yield pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)), mask=batch.is_null() if batch.null_count else None)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<float>")(F.lower(text))
+    return F.arrow_udf(run, "array<float>" if kind is np.float32 else "array<double>")(F.lower(text))
+
+
+def hash_vectors(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
+    """Vectors of a text's content tokens by an 8-byte BLAKE2b hash; null of null."""
+    return _token_vectors(text, dim, _blake2b, np.float32)
 
 
 def hash_embed(df: DataFrame, text: str = "content", dim: int = DEFAULTS.embed_dim, out: str = "embedding") -> DataFrame:
@@ -63,10 +76,8 @@ def md5_sparse(df: DataFrame, key: str = "chunk_id", text: str = "content", dim:
 
 
 def md5_embed(df: DataFrame, key: str = "chunk_id", text: str = "content", dim: int = DEFAULTS.embed_dim, out: str = "embedding") -> DataFrame:
-    """df with the vectors of `md5_sparse` as arrays of doubles; key is unique. No Python runs."""
-    weights = md5_sparse(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_w"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)))
-    return df.join(weights, key, "left").withColumn(out, vector).drop("_w")
+    """df with the vectors of `md5_sparse` as arrays of doubles, zeros of null. All tokens of a text are in its row, so nothing is shuffled."""
+    return df.withColumn(out, _token_vectors(F.coalesce(F.col(text), F.lit("")), dim, _md5, np.float64))
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str = "content", out: str = "embedding", batch: int = DEFAULTS.embed_batch) -> DataFrame:

@@ -249,6 +249,21 @@ def test_documents_of_cut_references(spark, tmp_path):
     assert sections.page_documents(spark.read.parquet(f"{tmp_path}/pages.parquet")).first()["content"] == "A && x <b> &c; &am © y©"
 
 
+def test_vectors_by_md5_of_all_texts(spark):
+    """The vectors that stay in a text's row against the built-in twin, which groups tokens over a shuffle."""
+    from sparkrag.operators import embed as E
+
+    texts = [(0, "the Fee is 40 fee fees"), (1, ""), (2, None), (3, "a the of"), (4, "Ünder İstanbul x1 y 22 fee"), (5, " ".join(f"w{i} w{i % 7}" for i in range(3000)))]
+    rows = spark.createDataFrame(texts, "chunk_id long, content string")
+    made = E.md5_embed(rows)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {i: [0.0] * 384 for i, _ in texts}
+    for r in E.md5_sparse(rows).collect():
+        want[r["chunk_id"]][r["bucket"]] = r["weight"]
+    got = {r["chunk_id"]: r["embedding"] for r in made.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-15) for i in want)
+
+
 def test_metadata_texts(spark):
     from sparkrag.functions import text as T
 
